@@ -1,7 +1,7 @@
 """Document fingerprints: Merkle trees over sections, paragraphs and their pieces.
 
 A document's root covers its sections, a section its paragraphs (lines), a paragraph
-its pieces (sentences, cut further where they are long). Roots are equal for equal
+its pieces (sentences, cut further where they are long; words in short texts). Roots are equal for equal
 texts; where roots differ, equal branches are skipped and the differing ones tell
 which spans of the text were edited. Sections end where the content says so, at a
 blank line or by a paragraph's own hash, so an edit moves only the borders near it.
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import shuffle_partitions
 
 PIECE = 96  # code points of a piece at most
+SHORT = 512  # code points under which a text's pieces are its words
 SECTION = 8  # a section has about so many paragraphs
 _PIECES = re.compile(rf"[^.!?]{{0,{PIECE - 1}}}(?:[.!?]+\s*|[^.!?]|\Z)", re.DOTALL)
+_WORDS = re.compile(r"\S+\s*|\s+")
 
 
 def _hash(data: bytes, size: int = 16) -> bytes:
@@ -45,6 +47,8 @@ class Tree:
         now: list[tuple[bytes, tuple[str, list[tuple[str, int]]]]] = []
         digests: list[bytes] = []
 
+        cut = (_WORDS if len(text) < SHORT else _PIECES).findall
+
         def end():
             if now:
                 digest = _hash(b"s" + b"".join(d for d, _ in now))
@@ -52,8 +56,8 @@ class Tree:
                 self.sections.append((_short(digest), [p for _, p in now]))
                 now.clear()
 
-        for line in text.splitlines(keepends=True) if "\r" in text else text.split("\n"):
-            pieces = [p for p in _PIECES.findall(line) if p]
+        for line in text.split("\n"):
+            pieces = [p for p in cut(line) if p]
             own = [_hash(p.encode("utf-8", "surrogatepass")) for p in pieces]
             digest = _hash(b"p" + b"".join(own))
             now.append((digest, (_short(digest), [(_short(d), len(p)) for d, p in zip(own, pieces)])))
