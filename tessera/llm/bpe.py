@@ -59,8 +59,7 @@ class PreTokenizer:
         """The pieces after the first space on, the new ones of them, and whether the
         text must be matched as a whole."""
         parts = text.split(" ")
-        new = set(parts)
-        new.difference_update(seen)
+        new = {p for p in set(parts) if p not in seen}
         for p in new:
             if not p or p[0].isspace() or p[-1].isspace():
                 self.loose.add(p)
@@ -167,7 +166,7 @@ def _assemble(path: str, pattern: str):
                     rows = pa.ipc.open_stream(data[at].as_buffer()).read_all()
                     out = []
                     for text in rows.column("text").to_pylist():
-                        parts, new, whole = cut.pieces(text, known.keys())
+                        parts, new, whole = cut.pieces(text, known)
                         if whole:
                             out.append(ids(text))
                             continue

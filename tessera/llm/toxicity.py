@@ -87,9 +87,9 @@ class Chain:
     after: list[np.ndarray]
 
     def predict(self, texts: list[str | None]) -> np.ndarray:
-        known, out = self.vocabulary.keys(), np.zeros((len(texts), len(self.categories)))
+        out = np.zeros((len(texts), len(self.categories)))
         for k, text in enumerate(texts):
-            rows = [self.vocabulary[f] for f in known & features(text)]
+            rows = [self.vocabulary[f] for f in features(text) if f in self.vocabulary]
             own = self.weights[rows].sum(axis=0)
             for c, after in enumerate(self.after):
                 out[k, c] = sigmoid(own[c] + out[k, :c] @ after[:-1] + after[-1])
