@@ -37,7 +37,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_NUMBER = re.compile(r"\+?\(?[0-9][0-9\x20()./:-]{5,}[0-9]")
+_NUMBER = re.compile(r"(?<!\w)\+?\(?[0-9](?:[\x20()./:-]{0,2}[0-9]){6,}(?!\w)")
 _SPELT = re.compile(r"(?<!\S)\S{1,64}\s?[\[(]at[\])]\s?\S{1,64}(?:\s?[\[(]dot[\])]\s?\S{1,64})*", re.IGNORECASE)
 _STRIP = ".,;:!?()[]{}<>\"'|=*"
 
