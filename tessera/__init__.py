@@ -1 +1,41 @@
 """tessera: lazy N-dimensional arrays as Spark relations."""
+
+from tessera.array import LazyArray, concatenate, wrap
+from tessera.operators import apply_over_blocks, apply_over_dimension, blocks, contents, map_blocks, to_coo, to_csc, to_csr, to_dense_array, to_sparse_array, to_sparse_matrix, write_parquet
+from tessera.plans.grid import AbstractGrid, CompositeGrid, RegularTicks, SimpleGrid, chunk_shape_to_grid, grid_of
+from tessera.plans.nodes import Binary, Cast, Combine, Node, Reduce, Round, Source, Subset, Transpose, Unary, WithArgs
+from tessera.sources import from_array_column, from_coo, from_coordinates, from_csc, from_csr, from_numpy, from_table, sparse_ndarray, validate
+
+
+def is_sparse(x) -> bool:
+    return isinstance(x, LazyArray | Node) and (x.is_sparse if isinstance(x, LazyArray) else x.sparse)
+
+
+def is_masked(x) -> bool:
+    if isinstance(x, LazyArray | Node):
+        return x.is_masked if isinstance(x, LazyArray) else x.masked
+    from numpy import ma, ndarray
+
+    if not isinstance(x, ndarray):
+        raise NotImplementedError(f"can't tell whether a {type(x).__name__} is masked")
+    return isinstance(x, ma.MaskedArray)
+
+
+def is_pristine(x) -> bool:
+    return x.is_pristine if isinstance(x, LazyArray) else not isinstance(x, Node) or isinstance(x, Source)
+
+
+def chunk_grid(x) -> AbstractGrid:
+    if not isinstance(x, LazyArray | Node):
+        raise NotImplementedError(f"no grid is known for a {type(x).__name__}")
+    return grid_of(x.node if isinstance(x, LazyArray) else x)
+
+
+def extract_dense_array(x: LazyArray, subset=None):
+    return to_dense_array(x if subset is None else x[tuple(subset)])
+
+
+def extract_sparse_array(x: LazyArray, subset=None):
+    if not x.is_sparse:
+        raise NotImplementedError("the array is not sparse")
+    return to_sparse_array(x if subset is None else x[tuple(subset)])
