@@ -170,18 +170,44 @@ def _with_vector(node: WithArgs) -> DataFrame:
     return explicit(node.seed).join(vector, at).withColumn("v", _operate(node, F.col("v"), F.col("_w"))).select(*own, "v")
 
 
+def _frame(node: Node) -> Node:
+    """The node whose cells an elementwise expression maps one by one; the node itself
+    if there is no such one."""
+    if _pointwise(node):
+        return _frame(node.seed)
+    if isinstance(node, Binary):
+        left = _frame(node.left)
+        if left is _frame(node.right):
+            return left
+    return node
+
+
+def _project(df: DataFrame, node: Node, base: Node, made: int = 0) -> tuple[DataFrame, str]:
+    """``df`` with a column that holds ``node``, an expression over ``base``'s cells, and the
+    column's name."""
+    if node is base:
+        return df, "v"
+    if isinstance(node, Binary):
+        df, left = _project(df, node.left, base)
+        df, right = _project(df, node.right, base)
+        value = numerics.binary(node.operation, F.col(left), node.left.dtype, F.col(right), node.right.dtype, node.dtype, node.masked)
+    else:
+        df, below = _project(df, node.seed, base)
+        value = _step(node, F.col(below))
+    name = f"_v{len(df.columns)}"
+    return df.withColumn(name, value), name
+
+
 # --- joins of arrays ---------------------------------------------------------------------
 
 
 def _binary(node: Binary) -> DataFrame:
     own = dims(len(node.shape))
-    left_base, left_steps = _chain(node.left)
-    right_base, right_steps = _chain(node.right)
     operate = lambda a, b: numerics.binary(node.operation, a, node.left.dtype, b, node.right.dtype, node.dtype, node.masked)
-    if left_base is right_base:  # one scan and no join: both sides are projections of the same cells
-        df = build(left_base).withColumn("_w", F.col("v"))
-        df = _apply_chain(_apply_chain(df, "v", left_steps), "_w", right_steps)
-        return df.select(*own, operate(F.col("v"), F.col("_w")).alias("v"))
+    base = _frame(node)
+    if base is not node:  # one scan and no join: all operands are projections of the same cells
+        df, made = _project(build(base), node, base)
+        return df.select(*own, F.col(made).alias("v"))
     a = build(node.left).select(*own, F.col("v").alias("_a"), F.lit(True).alias("_in_a"))
     b = build(node.right).select(*own, F.col("v").alias("_b"), F.lit(True).alias("_in_b"))
     how = {(False, False): "inner", (True, False): "right", (False, True): "left", (True, True): "full_outer"}[node.left.implicit, node.right.implicit]
