@@ -1,33 +1,39 @@
 """Byte-level BPE encoding and decoding by a global distinct-word shuffle.
 
 Each task cuts its texts into blocks and explodes the pre-tokens of a block to its
-distinct words. All blocks' words are shuffled by word and sorted, so that one task
-sees all rows of a word together and runs the merges once for each distinct word.
-The ids go back to the blocks, to which the texts came compressed, and each text is
-reassembled by walking its pre-tokens in order of position. Decoding joins the
+distinct words. All blocks' words are shuffled by hash buckets of words, so that one
+task sees every block's words of a bucket and runs the merges once for each distinct
+word. The ids go back to the blocks, to which the texts came compressed, and each text
+is reassembled by walking its pre-tokens in order of position. Decoding joins the
 token-byte table, whose size the vocabulary fixes.
 
 Positions are not shuffled: a text is a sequence of pre-tokens, and the walk over
-the text gives them in order again for less than it costs to move them.
+the text gives them in order again for less than it costs to move them. What is
+shuffled travels packed, a row for each block and bucket.
 """
 
 from __future__ import annotations
 
 import base64
+import pickle
+import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import shuffle_partitions
 
-BLOCK_CHARS = 16_000_000  # of text whose distinct words are looked up together
-CHUNK_CHARS = 250_000  # of text compressed into one row
+BLOCK_CHARS = 10_000_000  # of text whose distinct words are looked up together
+CHUNK_CHARS = 1_000_000  # of text compressed into one row
+BUCKETS = 8  # of words for each shuffle partition
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -53,17 +59,29 @@ class PreTokenizer:
 
     def __init__(self, pattern: str):
         self.find = regex.compile(pattern).findall
+        # letters with a space before them, and a comma or full stop after letters, are
+        # pre-tokens of this well-known pattern; others are always matched
+        self.plain = pattern.endswith(r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.loose: set[str] = set()  # pieces that show that their text has other spaces
 
     def pieces(self, text: str, seen) -> tuple[list[str], set[str], bool]:
-        """The pieces after the first space on, the new ones of them, and whether the
-        text must be matched as a whole."""
+        """The text cut at spaces, pieces that are not yet ``seen``, and whether the text
+        must be matched as a whole."""
         parts = text.split(" ")
-        new = {p for p in set(parts) if p not in seen}
+        new = {p for p in parts if p not in seen}
         for p in new:
             if not p or p[0].isspace() or p[-1].isspace():
                 self.loose.add(p)
-        return parts, new, not self.loose.isdisjoint(parts)
+        return parts, new, bool(self.loose) and not self.loose.isdisjoint(parts)
+
+    def words(self, piece: str) -> list[str]:
+        """Pre-tokens of a piece and the space before it."""
+        if self.plain:
+            if piece.isalpha():
+                return [" " + piece]
+            if piece[-1] in ",." and piece[:-1].isalpha():
+                return [" " + piece[:-1], piece[-1]]
+        return self.find(" " + piece)
 
 
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
@@ -82,16 +100,26 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list, list
             yield block, ids[at:], texts[at:]
 
 
-def _distinct_words(pattern: str):
+def _pack(value) -> bytes:
+    return zstandard.compress(pickle.dumps(value, 5), 3)
+
+
+def _unpack(data: bytes):
+    return pickle.loads(zstandard.decompress(data))
+
+
+def _distinct_words(pattern: str, buckets: int):
     def run(batches):
         cut = PreTokenizer(pattern)
         now, words, seen = None, set(), set()
 
         def rows():
-            found = list(words)
-            for at in range(0, len(found), 50_000):
-                part = found[at : at + 50_000]
-                yield pa.record_batch({"block": pa.array([now] * len(part), pa.int64()), "word": pa.array(part, pa.string())})
+            dealt: dict[int, list[str]] = {}
+            for word in words:
+                dealt.setdefault(zlib.crc32(word.encode()) % buckets, []).append(word)
+            if dealt:
+                data = [_pack(sorted(part)) for part in dealt.values()]
+                yield pa.record_batch({"bucket": pa.array(dealt.keys(), pa.int32()), "block": pa.array([now] * len(data), pa.int64()), "words": pa.array(data, pa.binary())})
 
         for block, _, texts in _blocks(batches):
             if block != now:
@@ -105,7 +133,7 @@ def _distinct_words(pattern: str):
                 seen |= new
                 words.update(cut.find(parts[0]))
                 for p in new:
-                    words.update(cut.find(" " + p))
+                    words.update(cut.words(p))
         yield from rows()
 
     return run
@@ -119,24 +147,24 @@ def _packed(batches):
         for k in range(len(texts)):
             chars += len(texts[k])
             if chars >= CHUNK_CHARS or k + 1 == len(texts):
-                rows = pa.record_batch({"doc_id": pa.array(ids[at : k + 1], pa.int64()), "text": pa.array(texts[at : k + 1], pa.large_string())})
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_batch(rows)
-                yield pa.record_batch({"block": pa.array([block], pa.int64()), "seq": pa.array([seq := seq + 1], pa.int64()), "word": pa.array([None], pa.string()), "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+                yield pa.record_batch({"block": pa.array([block], pa.int64()), "seq": pa.array([seq := seq + 1], pa.int64()), "data": pa.array([_pack((ids[at : k + 1], texts[at : k + 1]))], pa.binary())})
                 at, chars = k + 1, 0
 
 
 def _encode_words(path: str, pattern: str):
     def run(batches):
-        encode, last, ids = WordEncoder(path, pattern), None, b""
+        encode, now, known = WordEncoder(path, pattern), None, {}
         for batch in batches:
-            data = []
-            for word in batch.column("word").to_pylist():
-                if word != last:
-                    last, ids = word, encode(word)
-                data.append(ids)
-            yield pa.record_batch({"block": batch.column("block"), "seq": pa.array([0] * len(data), pa.int64()), "word": batch.column("word"), "data": pa.array(data, pa.binary())})
+            buckets, data = batch.column("bucket").to_pylist(), []
+            for bucket, packed in zip(buckets, batch.column("words")):
+                if bucket != now:
+                    now, known = bucket, {}
+                words = _unpack(packed.as_py())
+                for word in words:
+                    if word not in known:
+                        known[word] = encode(word)
+                data.append(_pack((words, [known[w] for w in words])))
+            yield pa.record_batch({"block": batch.column("block"), "seq": pa.array([0] * len(data), pa.int64()), "data": pa.array(data, pa.binary())})
 
     return run
 
@@ -146,39 +174,79 @@ def _assemble(path: str, pattern: str):
         cut, encode = PreTokenizer(pattern), WordEncoder(path, pattern)
         now, ids_of, known = None, {}, {}
 
-        def ids(text: str) -> bytes:
+        def ids(words: list[str]) -> bytes:
             # a block that was cut otherwise when a task ran again may lack words
-            return b"".join([found if (found := ids_of.get(w)) is not None else ids_of.setdefault(w, encode(w)) for w in cut.find(text)])
+            return b"".join([found if (found := ids_of.get(w)) is not None else ids_of.setdefault(w, encode(w)) for w in words])
 
         for batch in batches:
-            blocks, seqs, words, data = (batch.column(c) for c in ("block", "seq", "word", "data"))
-            blocks, seqs = blocks.to_numpy(), seqs.to_numpy()
-            at = 0
-            while at < len(blocks):
-                if blocks[at] != now:
-                    now, ids_of, known = blocks[at], {}, {}
-                end = at + 1
-                if seqs[at] == 0:
-                    while end < len(blocks) and seqs[end] == 0 and blocks[end] == now:
-                        end += 1
-                    ids_of.update(zip(words[at:end].to_pylist(), data[at:end].to_pylist()))
-                else:
-                    rows = pa.ipc.open_stream(data[at].as_buffer()).read_all()
+            for block, seq, packed in zip(batch.column("block").to_pylist(), batch.column("seq").to_pylist(), batch.column("data")):
+                if block != now:
+                    now, ids_of, known = block, {}, {}
+                if seq == 0:
+                    ids_of.update(zip(*_unpack(packed.as_py())))
+                    continue
+                doc_ids, texts = _unpack(packed.as_py())
+                for at in range(0, len(texts), 128):
                     out = []
-                    for text in rows.column("text").to_pylist():
+                    for text in texts[at : at + 128]:
                         parts, new, whole = cut.pieces(text, known)
                         if whole:
-                            out.append(ids(text))
+                            out.append(ids(cut.find(text)))
                             continue
                         for p in new:
-                            known[p] = ids(" " + p)
-                        out.append(ids(parts[0]) + b"".join(map(known.__getitem__, parts[1:])))
-                    yield pa.record_batch({"doc_id": rows.column("doc_id").combine_chunks(), "ids": pa.array(out, pa.binary())})
-                at = end
+                            known[p] = ids(cut.words(p))
+                        out.append(ids(cut.find(parts[0])) + b"".join(map(known.__getitem__, parts[1:])))
+                    yield pa.record_batch({"doc_id": pa.array(doc_ids[at : at + 128], pa.int64()), "ids": pa.array(out, pa.binary())})
+
+    return run
+
+
+def _decode(path: str):
+    def run(batches):
+        ranks = load_ranks(path)
+        table: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
+        known = np.zeros(len(table), bool)
+        for token, rank in ranks.items():
+            table[rank], known[rank] = token, True
+        sizes = np.array([len(t) for t in table], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(table), np.uint8)
+
+        def text(data: bytes) -> bytes:
+            out = []
+            for at in range(0, len(data) // 4, 1 << 16):
+                ids = np.frombuffer(data, "<u4", min(1 << 16, len(data) // 4 - at), 4 * at)
+                if not known[ids].all():
+                    raise ValueError("an id is not in the table")
+                own = sizes[ids]
+                ends = np.cumsum(own)
+                out.append(flat[np.arange(ends[-1]) + np.repeat(starts[ids] - ends + own, own)].tobytes())
+            return b"".join(out)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [text(i.as_py() or b"") for i in part.column("ids")]
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "ids": part.column("ids"), "bytes": pa.array(texts, pa.binary())})
 
     return run
 
 
+ENCODED = "doc_id long, ids binary"
+DECODED = "doc_id long, ids binary, bytes binary"
+
+
+def _encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Rows (block, seq, data) from which ``_assemble`` makes the ids: of each block the
+    packed words with their ids (seq 0), then its packed texts."""
+    n = shuffle_partitions(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    words = rows.mapInArrow(_distinct_words(pattern, BUCKETS * n), "bucket int, block long, words binary")
+    schema = "block long, seq long, data binary"
+    coded = words.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(path, pattern), schema)
+    return coded.unionByName(rows.mapInArrow(_packed, schema)).repartition(n, "block").sortWithinPartitions("block", "seq")
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids) for each row of ``docs`` (doc_id, text; other columns are ignored):
     ids of the whole text as little-endian unsigned 32-bit integers, each match of
@@ -186,14 +254,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     Null and empty texts have no ids (an empty binary). Rows with equal or null
     doc_id are each encoded. An empty table gives an empty result."""
-    n = shuffle_partitions(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    words = rows.mapInArrow(_distinct_words(pattern), "block long, word string")
-    schema = "block long, seq long, word string, data binary"
-    coded = words.repartition(n, "word").sortWithinPartitions("word").mapInArrow(_encode_words(path, pattern), schema)
-    texts = rows.mapInArrow(_packed, schema)
-    both = coded.unionByName(texts).repartition(n, "block").sortWithinPartitions("block", "seq")
-    return both.mapInArrow(_assemble(path, pattern), "doc_id long, ids binary")
+    return _encoded(docs, path, pattern).mapInArrow(_assemble(path, pattern), ENCODED)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -201,22 +262,18 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     with the token-byte table of the rank file, in order. Null ids count as none; an
     id that the table lacks is an error."""
 
-    def run(batches):
-        table: list[bytes | None] = [None] * 0
-        for token, rank in load_ranks(path).items():
-            table.extend([None] * (rank + 1 - len(table)))
-            table[rank] = token
-        for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            texts = [b"".join(map(table.__getitem__, array("I", i or b""))) for i in ids]
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "ids": batch.column("ids"), "bytes": pa.array(texts, pa.binary())})
+    return encoded.select("doc_id", "ids").mapInArrow(_decode(path), DECODED)
+
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, bytes binary")
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``decode`` of ``encode``: (doc_id, ids, bytes), both steps in one process of a task."""
+    assemble, back = _assemble(path, pattern), _decode(path)
+    return _encoded(docs, path, pattern).mapInArrow(lambda batches: back(assemble(batches)), DECODED)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per document: number of ids and SHA-256 of ids and of the decoded bytes."""
-    return decode(encode(docs, path, pattern), path).select(
+    return round_trip(docs, path, pattern).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256")
     )
 
