@@ -54,9 +54,7 @@ def _is_nan(x: Column) -> Column:
 
 def _floor(x: Column, up: bool = False) -> Column:
     """Floor or ceiling as a double; numbers too large to have a fraction pass as they are."""
-    big = _is_nan(x) | (F.abs(x) >= 2.0**52)
-    whole = (F.ceil if up else F.floor)(F.when(~big, x)).cast("double")
-    return F.when(x.isNull(), None).when(big, x).otherwise(whole)
+    return F.when(_is_nan(x) | (F.abs(x) >= 2.0**52), x).otherwise((F.ceil if up else F.floor)(x).cast("double"))
 
 
 def wrap(x: Column, dtype) -> Column:
@@ -142,19 +140,15 @@ def unary(operation: str, x: Column, dtype, result, masked: bool) -> Column:
 
 
 def _float_divide(a: Column, b: Column, masked: bool) -> Column:
-    safe = a / F.when(b != 0, b)
-    if masked:
-        return F.when(a.isNull() | b.isNull(), None).otherwise(safe)
-    return F.when(a.isNull() | b.isNull(), None).when(b == 0, F.when((a == 0) | _is_nan(a), NAN).when(a > 0, INF).otherwise(-INF)).otherwise(safe)
+    # a signed zero, number or NaN times infinity is what division by zero gives
+    return F.when(b == 0, F.lit(None) if masked else F.signum(a) * INF).otherwise(a / F.when(b != 0, b))
 
 
 def _float_parts(a: Column, b: Column) -> tuple[Column, Column]:
     """Floor modulo of doubles (NaN for a zero divisor), and the quotient before rounding."""
-    nul = a.isNull() | b.isNull()
-    rest = F.when(nul, None).when(b == 0, NAN).otherwise(a % F.when(b != 0, b))
-    shift = _sure((rest != 0) & ((rest < 0) != (b < 0)) & ~_is_nan(rest))
-    quotient = (a - rest) / F.when(b != 0, b)
-    return F.when(shift, rest + b).otherwise(rest), F.when(shift, quotient - 1).otherwise(quotient)
+    rest = F.when(b == 0, a * NAN).otherwise(a % F.when(b != 0, b))
+    shift = rest * F.signum(b) < 0  # signs differ; not so for NaN, which compares as the largest
+    return F.when(shift, rest + b).otherwise(rest), (a - rest) / F.when(b != 0, b) - F.when(shift, 1.0).otherwise(0.0)
 
 
 def _compare(operation: str, a: Column, b: Column, floats: bool) -> Column:
@@ -203,9 +197,7 @@ def binary(operation: str, a: Column, a_type, b: Column, b_type, result, masked:
         made = _float_parts(a, b)[0]
         made = F.when(b != 0, made) if masked else made
     elif operation == "floor_divide":
-        q = _float_parts(a, b)[1]
-        low = _floor(q)
-        made = F.when(b == 0, _float_divide(a, b, masked)).otherwise(F.when(q - low > 0.5, low + 1).otherwise(low))
+        made = F.when(b == 0, F.lit(None) if masked else F.signum(a) * INF).otherwise(F.rint(_float_parts(a, b)[1]))
     elif operation == "power":
         made = F.when(a.isNull() | b.isNull(), None).when((a == 1) | ((a == -1) & (F.abs(b) == INF)), 1.0).otherwise(F.pow(a, b))
         made = F.when(~(_is_nan(made) | (F.abs(made) == INF)), made) if masked else made
