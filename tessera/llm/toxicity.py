@@ -97,8 +97,9 @@ class Chain:
 
 
 def sample(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], per_stratum: int) -> DataFrame:
-    """(doc_id, text, fold, population, labels...) of at most ``per_stratum`` documents of
-    each combination of labels, those first by a hash of the id. The sample's ids, whose
+    """(_id, text, population, labels...) of at most ``per_stratum`` documents of
+    each combination of labels, those first by a hash of the id; of rows of equal id the
+    first text counts. The sample's ids, whose
     number the parameter bounds, go to all tasks; texts of other documents stay put."""
     names = list(categories)
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), *[c.cast("double").alias(n) for n, c in categories.items()]).dropna()
@@ -114,7 +115,8 @@ def sample(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], pe
     chosen = parts[0]
     for part in parts[1:]:
         chosen = chosen.union(part)
-    return docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(chosen), "_id")
+    found = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(chosen), "_id")
+    return found.groupBy("_id").agg(F.min("text").alias("text"), *[F.max(c).alias(c) for c in ("population", *names)])
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], per_stratum: int = PER_STRATUM) -> Chain | None:
