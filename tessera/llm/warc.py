@@ -214,10 +214,12 @@ def op7_warc(spark, sf_dir: str) -> DataFrame:
     return read_warc(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-OP7_SQL = """
-WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
-     g AS (SELECT page_id, payload, max(page_id) OVER (PARTITION BY sha1(payload)) AS last FROM p)
-SELECT page_id, octet_length(payload) AS payload_bytes, NULL AS payload_digest,
+# five hex digits of a SHA-1 are four letters of base 32
+_LETTERS = "list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * (k // 4), 5))::INT >> (15 - 5 * (k % 4))) & 31)::INT, 1))"
+OP7_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+     g AS (SELECT page_id, payload, h, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, array_to_string({_LETTERS}, '') AS payload_digest,
        CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> last THEN last END AS refers_to
 FROM g
