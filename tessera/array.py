@@ -104,11 +104,11 @@ class LazyArray:
 
     @property
     def is_sparse(self) -> bool:
-        return self.node.sparse
+        return bool(self.node.sparse)
 
     @property
     def is_masked(self) -> bool:
-        return self.node.masked
+        return bool(self.node.masked)
 
     @property
     def is_pristine(self) -> bool:
