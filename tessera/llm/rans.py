@@ -17,6 +17,7 @@ import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,7 +54,7 @@ class Tokenizer:
     ODD = re.compile("[\x1c-\x1f\x85]")
     PLAIN = re.compile("[!-~\u00c0-\u00ff]+").fullmatch
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str, remember: int = 1_000_000):
         import tokenizers
 
         self.library = tokenizers.Tokenizer.from_file(path)
@@ -77,25 +78,39 @@ class Tokenizer:
     def word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
-            letters = word.encode().decode("latin-1").translate(self.letters)
-            ids = self.words[word] = np.array([t.id for t in self.library.model.tokenize(letters)], "<u4").tobytes()
+            letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            ids = self.words[word] = array("I", [t.id for t in self.library.model.tokenize(letters)]).tobytes()
+        return ids
+
+    def piece(self, piece: str) -> bytes:
+        if piece.isalpha() and (piece.isascii() or self.PLAIN(piece)):
+            ids = self.word(piece.lower())
+        elif not self.PLAIN(piece):
+            ids = self.whole(piece)
+        elif piece[-1] in ",." and piece[:-1].isalpha():
+            ids = self.word(piece[:-1].lower()) + self.word(piece[-1])
+        else:
+            ids = b"".join(map(self.word, self.find(piece.lower())))
+        self.known[piece] = ids
         return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [t.split() if self.by_piece and not self.ODD.search(t) else None for t in texts]
-        new: set[str] = set()
-        for pieces in cut:
-            new.update(pieces or ())
-        fresh = new.difference(self.known)
-        if len(self.known) + len(fresh) > self.remember:
-            self.known.clear()
-            fresh = new
-        if len(self.words) > self.remember:
-            self.words.clear()
-        for p in fresh:
-            self.known[p] = b"".join(map(self.word, self.find(p.lower()))) if self.PLAIN(p) else self.whole(p)
-        return [self.whole(t) if pieces is None else b"".join(map(self.known.__getitem__, pieces)) for t, pieces in zip(texts, cut)]
+        out = []
+        for text in texts:
+            if not self.by_piece or self.ODD.search(text):
+                out.append(self.whole(text))
+                continue
+            if len(self.known) > self.remember:
+                self.known.clear()
+            if len(self.words) > self.remember:
+                self.words.clear()
+            pieces = text.split()
+            ids = list(map(self.known.get, pieces))
+            if None in ids:
+                ids = [self.known.get(p) or self.piece(p) if i is None else i for p, i in zip(pieces, ids)]
+            out.append(b"".join(ids))
+        return out
 
 
 _tokenizers: dict[str, Tokenizer] = {}  # of a worker process, which serves many tasks
