@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shuffle_partitions
+from tessera.llm.common import bound_batches, shuffle_partitions
 
 BLOCK_CHARS = 10_000_000  # of text whose distinct words are looked up together
 CHUNK_CHARS = 1_000_000  # of text compressed into one row
@@ -239,6 +239,7 @@ DECODED = "doc_id long, ids binary, bytes binary"
 def _encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Rows (block, seq, data) from which ``_assemble`` makes the ids: of each block the
     packed words with their ids (seq 0), then its packed texts."""
+    bound_batches(docs.sparkSession)
     n = shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = rows.mapInArrow(_distinct_words(pattern, BUCKETS * n), "bucket int, block long, words binary")

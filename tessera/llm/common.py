@@ -4,6 +4,7 @@ sorted stream, and distributed connected components."""
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -35,6 +36,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
+BATCH_BYTES = 8 << 20  # of rows that go to a Python worker at once
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Rows of whole texts go to Python workers in batches of at most BATCH_BYTES (or one
+    row): a worker's memory follows from this, not from how long texts are."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(name))) > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: it is
     computed once, and a lost executor costs no more than a reread."""

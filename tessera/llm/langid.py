@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import bound_batches
+
 BUCKET_BITS = 15
 ORDERS = (1, 2, 3)
 SLICES = 16  # in which a task's counts travel
@@ -94,6 +96,8 @@ def train(docs: DataFrame) -> Model:
     """A model of all rows with text, non-null lang and an id that is not held out. What
     is collected has a fixed size for each language."""
 
+    bound_batches(docs.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         sizes: dict[str, int] = {}

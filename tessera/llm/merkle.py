@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shuffle_partitions
+from tessera.llm.common import bound_batches, shuffle_partitions
 
 PIECE = 96  # code points of a piece at most
 SHORT = 512  # code points under which a text's pieces are its words
@@ -192,6 +192,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     text, null doc_ids come first. A lone row is its own successor; an empty table
     gives an empty result."""
     spread, parts = with_next(docs)
+    bound_batches(docs.sparkSession)
     n = shuffle_partitions(docs.sparkSession)
     return spread.repartition(max(parts, n), "part").sortWithinPartitions("part", "role", "doc_id", "text").mapInArrow(
         _compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

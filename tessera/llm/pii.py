@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage
+from tessera.llm.common import bound_batches, stage
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -136,6 +136,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """Each row's base spans, and every seed and candidate with the words before it.
     ``row`` tells rows apart once the result is staged; ``key`` is a hash of id and text."""
 
+    bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])

@@ -172,7 +172,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, seed: int = 11) ->
         e, c = _links_of(reps.where(F.size("vector") == dimension), shared, threshold, n)
         edges, links = (e, c) if edges is None else (edges.union(e), links.union(c))
     if edges is None:
-        return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
+        return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     comps = connected_components(edges)
     joined = reps.select("rep", "low", "copies").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     lows = joined.groupBy("component").agg(F.min("low").alias("component_id"))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import new_path, shuffle_partitions, stage
+from tessera.llm.common import bound_batches, new_path, shuffle_partitions, stage
 from tessera.llm.files import Attempt, filesystem
 
 SCALE_BITS = 20
@@ -119,6 +119,7 @@ _tokenizers: dict[str, Tokenizer] = {}  # of a worker process, which serves many
 def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """Blocks of ids in ascending doc_id order: (part, seq, base, n_ids, doc_ids, lengths,
     ids): base counts the ids of the same part before the block."""
+    bound_batches(docs.sparkSession)
     n = shuffle_partitions(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, drop_staged, merge_labels, pairs_in_runs, run_bounds, shuffle_partitions, stage, whole_runs
+from tessera.llm.common import bound_batches, connected_components, merge_labels, pairs_in_runs, run_bounds, shuffle_partitions, stage, whole_runs
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (lowest bit, width)
 GENERATOR = 0b110001110101  # of the binary Golay code: x^11+x^10+x^6+x^5+x^4+x^2+1
@@ -61,6 +61,8 @@ def simhash(hashes: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp long) of every row of ``docs``; null and wordless texts: 0."""
 
+    bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [simhash(shingle_hashes(t.as_py() or b"", width, seed)) for t in batch.column(1)]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage
+from tessera.llm.common import bound_batches, stage
 
 PER_STRATUM = 4000  # labelled documents of each combination of labels that are fitted on, at most
 FEATURES = 4096  # of each category at most, those that tell most
@@ -184,6 +184,7 @@ def score(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], per
     doc_id one is. Null and empty texts are scored by what comes without words.
     Without labelled documents all probabilities are 0. Repeated rows are scored each;
     an empty table gives an empty result."""
+    bound_batches(docs.sparkSession)
     names = list(categories)
     chain = train(docs, labels, categories, per_stratum)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import new_path, stage
+from tessera.llm.common import bound_batches, new_path, stage
 from tessera.llm.files import Attempt, filesystem
 
 MAGIC = b"\x1f\x8b\x08"
@@ -69,6 +69,8 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, level: int = 6
     responses. An empty table gives no archive. The result is staged, so the
     archives are written when this returns."""
 
+    bound_batches(pages.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, out = TaskContext.get().partitionId(), 0, None
         for batch in batches:
