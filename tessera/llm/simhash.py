@@ -222,11 +222,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame
 def keep_one(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame:
     """``docs`` without near-duplicates: of each group the smallest doc_id stays, and of
     repeated rows of one doc_id one row."""
-    found = near_duplicates(docs, width, most)
-    keep = stage(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count(), "simhash-keep")
-    kept = docs.join(keep.select("doc_id"), docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    repeated = not keep.where("count > 1").isEmpty()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = stage(near_duplicates(docs, width, most).groupBy("doc_id").agg(F.max(own).alias("stays"), F.count("*").alias("n")), "simhash-ids")
+    # those that go are fewer than those that stay: their ids are joined, and texts stay put where Spark finds the ids few enough to send to all tasks
+    gone = ids.where("NOT stays").select(F.col("doc_id").alias("_gone"))
+    kept = docs.join(stage(gone, "simhash-gone"), F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    return kept if ids.where("stays AND n > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
 
 
 def fingerprint_hex(column: str = "fp"):
