@@ -21,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, connected_components, merge_labels, pairs_in_runs, run_bounds, shuffle_partitions, stage, whole_runs
+from tessera.llm.common import bound_batches, connected_components, drop_staged, merge_labels, pairs_in_runs, run_bounds, shuffle_partitions, stage, whole_runs
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (lowest bit, width)
 GENERATOR = 0b110001110101  # of the binary Golay code: x^11+x^10+x^6+x^5+x^4+x^2+1
@@ -219,11 +219,233 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame
     return fps.join(resolved, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame:
-    """``docs`` without near-duplicates: of each group the smallest doc_id stays, and of
-    repeated rows of one doc_id one row."""
-    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    ids = stage(near_duplicates(docs, width, most).groupBy("doc_id").agg(F.max(own).alias("stays"), F.count("*").alias("n")), "simhash-ids")
+# --- similar texts -----------------------------------------------------------------
+#
+# 64 bits do not tell a similarity: texts of Jaccard 0.8 differ in about ten bits, some
+# in twenty. So what a corpus stage keeps is decided on the shingles themselves. In one
+# order of all shingles, two sets of similarity t share one of the first n - ceil(t n) + 1
+# of each (n its size); every pair that meets so and may reach t by size and place is
+# computed exactly. The order puts shingles of many texts last; it bears on speed only.
+
+COMMON = 1 << 16  # shingles that the order puts last, at most
+OFTEN = 4  # texts of a task that hold a shingle, from which on it may be among them
+ALL_PAIRS = 16  # texts that share a shingle, up to which all their pairs are computed at once
+STARS = 3  # rounds in which larger buckets are computed around one text, before all pairs still apart
+_SETS = "key long, doc_id long, node long, size int, shingles binary"
+
+
+def shingle_sets(docs: DataFrame, width: int, seed: int = 42) -> DataFrame:
+    """(key, doc_id, node, size, shingles) of every row: a hash of id and text, a hash of
+    its distinct shingles, their number, and their sorted hashes."""
+    bound_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py() or b"", width, seed)).astype("<u8") for t in batch.column(2)]
+            held = [x.tobytes() for x in sets]
+            nodes = np.array([xxhash.xxh64_intdigest(x, seed) for x in held], np.uint64).view(np.int64)
+            yield pa.record_batch({"key": batch.column(0), "doc_id": batch.column(1), "node": pa.array(nodes), "size": pa.array([len(x) for x in sets], pa.int32()), "shingles": pa.array(held, pa.binary())})
+
+    return docs.select(_row_key(), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, _SETS)
+
+
+def _row_key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key")
+
+
+def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that many texts hold, and their counts: at most COMMON."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def counted():
+            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            return pa.record_batch({"h": pa.array(values[counts >= OFTEN].view(np.int64)), "n": pa.array(counts[counts >= OFTEN])})
+
+        for batch in batches:
+            for x in batch.column(0):
+                held.append(np.frombuffer(x.as_py(), np.uint64))
+                n += len(held[-1])
+                if n > 1 << 18:
+                    yield counted()
+                    held, n = [], 0
+        if held:
+            yield counted()
+
+    found = sets.select("shingles").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    hashes, counts = np.array([r[0] for r in found], np.int64).view(np.uint64), np.array([r[1] for r in found], np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def _up(x):
+    return np.ceil(x - 1e-9).astype(np.int64)
+
+
+def _may_reach(least: float, n, at, m, other) -> np.ndarray:
+    """Whether sets of n and m shingles that share the ones at these places can have the similarity."""
+    return np.minimum(at, other) + 1 + np.minimum(n - at - 1, m - other - 1) >= _up((n + m) * (least / (1 + least)))
+
+
+def _firsts(least: float, common: tuple[np.ndarray, np.ndarray]):
+    hashes, counts = common
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, nodes, sizes, places = [], [], [], []
+            for node, x in zip(batch.column(0).to_numpy(), batch.column(1)):
+                own = np.frombuffer(x.as_py(), np.uint64)
+                n = len(own)
+                if not n:
+                    continue
+                take = n - int(_up(least * n)) + 1
+                if len(hashes):
+                    place = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+                    own = own[np.lexsort((own, np.where(hashes[place] == own, counts[place], 0)))]
+                keys.append(own[:take])
+                nodes.append(np.full(take, node))
+                sizes.append(np.full(take, n, np.int32))
+                places.append(np.arange(take, dtype=np.int32))
+            if keys:
+                yield pa.record_batch({"key": pa.array(np.concatenate(keys).view(np.int64)), "node": pa.array(np.concatenate(nodes)), "size": pa.array(np.concatenate(sizes)), "at": pa.array(np.concatenate(places))})
+
+    return run
+
+
+_MET = "long boolean, u long, v long, size int, at int"
+
+
+def _meet(least: float):
+    """Pairs to compute (long false: u, v), and members of buckets of over ALL_PAIRS texts
+    (long true: u the shingle, v the text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, "key", 1 << 16):
+            key, node, size, at = (table.column(c).to_numpy() for c in ("key", "node", "size", "at"))
+            bounds = run_bounds(key)
+            i, j = pairs_in_runs(bounds, ALL_PAIRS)
+            ok = _may_reach(least, size[i], at[i], size[j], at[j])
+            pairs = np.unique(np.stack((node[i[ok]], node[j[ok]]), axis=1), axis=0)
+            yield pa.record_batch([pa.array(np.zeros(len(pairs), bool)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int32()), pa.nulls(len(pairs), pa.int32())], ["long", "u", "v", "size", "at"])
+            many = np.flatnonzero(np.repeat(np.diff(bounds) > ALL_PAIRS, np.diff(bounds)))
+            yield pa.record_batch({"long": pa.array(np.ones(len(many), bool)), "u": pa.array(key[many]), "v": pa.array(node[many]), "size": pa.array(size[many]), "at": pa.array(at[many])})
+
+    return run
+
+
+def _apart(least: float, star: int | None):
+    """Pairs of texts in different components that share a bucket: those of one text, or all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, "key", 1 << 16):
+            key, node, size, at, label = (table.column(c).to_numpy() for c in ("key", "node", "size", "at", "label"))
+            found = []
+            for s, e in zip((bounds := run_bounds(key))[:-1], bounds[1:]):
+                labels, where, counts = np.unique(label[s:e], return_inverse=True, return_counts=True)
+                if len(labels) == 1:
+                    continue
+                if star is None:
+                    hubs = range(s, e)
+                else:  # the first round around the smallest node, later ones around the first outside the largest component
+                    hubs = [s + (int(np.flatnonzero(where != counts.argmax())[0]) if star else 0)]
+                for i in hubs:
+                    j = np.flatnonzero(label[s:e] != label[i]) + s
+                    j = j[j > i] if star is None else j
+                    j = j[_may_reach(least, size[i], at[i], size[j], at[j])]
+                    if len(j):
+                        found.append(np.stack((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])), axis=1))
+                    if sum(map(len, found)) > 1 << 18:
+                        pairs = np.unique(np.concatenate(found), axis=0)
+                        yield pa.record_batch({"u": pa.array(pairs[:, 0]), "v": pa.array(pairs[:, 1])})
+                        found = []
+            if found:
+                pairs = np.unique(np.concatenate(found), axis=0)
+                yield pa.record_batch({"u": pa.array(pairs[:, 0]), "v": pa.array(pairs[:, 1])})
+
+    return run
+
+
+def _similar(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+            yield pa.record_batch({"u": batch.column(0), "v": batch.column(1)}).filter(pa.array(near, pa.bool_()))
+
+    return run
+
+
+SENT = 2_000_000  # nodes up to which their list goes to all tasks; a longer one is joined by shuffle
+
+
+def similar_links(nodes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose sets in ``nodes`` (node, shingles) have the similarity."""
+    pairs = stage(pairs.distinct(), "similar-pairs")
+    ids = stage(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "similar-ids")
+    listed = F.broadcast(ids) if ids.count() <= SENT else ids
+    held = stage(nodes.join(listed, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "similar-sets")
+    both = pairs.join(held.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    links = stage(both.select("u", "v", "a", "b").mapInArrow(_similar(least), "u long, v long"), "similar-links")
+    for done in (pairs, ids, held):
+        drop_staged(done)
+    return links
+
+
+def similar_components(sets: DataFrame, least: float) -> DataFrame:
+    """(node, component) of all nodes of ``sets`` (node, shingles) that links of Jaccard
+    similarity ``least`` or more join to others; no pair is left out."""
+    n = shuffle_partitions(sets.sparkSession)
+    nodes = sets.select("node", "shingles")
+    first = nodes.mapInArrow(_firsts(least, common_shingles(sets)), "key long, node long, size int, at int")
+    met = stage(first.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_meet_distinct(least), _MET), "similar-met")
+    links = similar_links(nodes, met.where("NOT long").select("u", "v"), least)
+    members = met.where("long").select(F.col("u").alias("key"), F.col("v").alias("node"), "size", "at")
+    comps = stage(connected_components(links), "similar-components")
+    for star in () if members.isEmpty() else (*range(STARS), None):
+        now = members.join(comps, "node", "left").select("key", "node", "size", "at", F.coalesce("component", "node").alias("label"))
+        more = similar_links(nodes, now.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_apart(least, star), "u long, v long"), least)
+        if not more.isEmpty():
+            links = links.union(more)
+            comps = stage(connected_components(links), "similar-components")
+    return comps
+
+
+def _meet_distinct(least: float):
+    """``_meet`` over each node once in a bucket: rows of equal texts are one node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def once():
+            last = None
+            for batch in batches:
+                key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                if not len(key):
+                    continue
+                fresh = np.ones(len(key), bool)
+                fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+                fresh[0] = last != (key[0], node[0])
+                last = (key[-1], node[-1])
+                yield batch.filter(pa.array(fresh))
+
+        return _meet(least)(once())
+
+    return run
+
+
+def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` without near-duplicates: of each group that links of Jaccard similarity
+    ``least`` or more on shingles of ``width`` words join, the smallest doc_id stays, and of
+    repeated rows of one doc_id one row. Wordless and null texts are one group."""
+    sets = stage(shingle_sets(docs, width), "similar-rows")
+    comps = similar_components(sets, least)
+    found = sets.select("doc_id", "node").join(comps, "node", "left").select("doc_id", F.coalesce("component", "node").alias("root"))
+    lows = found.groupBy("root").agg(F.min("doc_id").alias("low"))
+    own = F.col("doc_id").eqNullSafe(F.col("low"))
+    ids = stage(found.join(lows, "root").groupBy("doc_id").agg(F.max(own).alias("stays"), F.count("*").alias("n")), "simhash-ids")
+    drop_staged(sets)
     # those that go are fewer than those that stay: their ids are joined, and texts stay put where Spark finds the ids few enough to send to all tasks
     gone = ids.where("NOT stays").select(F.col("doc_id").alias("_gone"))
     kept = docs.join(stage(gone, "simhash-gone"), F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
