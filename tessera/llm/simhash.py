@@ -437,19 +437,24 @@ def _meet_distinct(least: float):
 
 def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """``docs`` without near-duplicates: of each group that links of Jaccard similarity
-    ``least`` or more on shingles of ``width`` words join, the smallest doc_id stays, and of
-    repeated rows of one doc_id one row. Wordless and null texts are one group."""
+    ``least`` or more on shingles of ``width`` words join, one row stays, that of the smallest
+    doc_id; null ids come last, rows of one id by a hash of their text. Rows are told apart
+    by id and text: unlike texts that share an id, or have none, all stay. Wordless and
+    null texts are one group."""
     sets = stage(shingle_sets(docs, width), "similar-rows")
     comps = similar_components(sets, least)
-    found = sets.select("doc_id", "node").join(comps, "node", "left").select("doc_id", F.coalesce("component", "node").alias("root"))
-    lows = found.groupBy("root").agg(F.min("doc_id").alias("low"))
-    own = F.col("doc_id").eqNullSafe(F.col("low"))
-    ids = stage(found.join(lows, "root").groupBy("doc_id").agg(F.max(own).alias("stays"), F.count("*").alias("n")), "simhash-ids")
+    found = sets.select("key", "doc_id", "node").join(comps, "node", "left").select("key", "doc_id", F.coalesce("component", "node").alias("root"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("first"))
+    keys = stage(found.join(first, "root").groupBy("key").agg(F.max(F.col("key") == F.col("first")).alias("stays"), F.count("*").alias("n")), "similar-keys")
     drop_staged(sets)
-    # those that go are fewer than those that stay: their ids are joined, and texts stay put where Spark finds the ids few enough to send to all tasks
-    gone = ids.where("NOT stays").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(stage(gone, "simhash-gone"), F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
-    return kept if ids.where("stays AND n > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    # those that go are fewer than those that stay: their keys are joined, and texts stay put where Spark finds the keys few enough to send to all tasks
+    keyed = docs.withColumn("_key", _row_key())
+    gone = stage(keys.where("NOT stays OR n > 1").select(F.col("key").alias("_key")), "similar-gone")
+    kept = keyed.join(gone, "_key", "left_anti").drop("_key")
+    repeated = keys.where("stays AND n > 1").select(F.col("key").alias("_key"))
+    if repeated.isEmpty():
+        return kept
+    return kept.union(keyed.join(repeated, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key"))
 
 
 def fingerprint_hex(column: str = "fp"):

@@ -145,3 +145,12 @@ def test_pairs_of_similarity_stay_once(spark, monkeypatch):
     for longest in (16, 2):
         monkeypatch.setattr(simhash, "ALL_PAIRS", longest)
         assert sorted(r[0] for r in simhash.keep_one(df).select("doc_id").collect()) == want
+
+
+def test_rows_without_an_id_or_of_one_id_are_rows_of_their_own(spark):
+    random.seed(9)
+    texts = [" ".join(f"w{random.randint(0, 9999)}" for _ in range(30)) for _ in range(8)]
+    rows = [(None, t) for t in texts[:4]] + [(None, texts[0]), (None, texts[4]), (1, texts[4]), (2, texts[5]), (2, texts[6]), (2, texts[6]), (3, texts[6]), (3, texts[7])]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, t) for t in texts[:4]] + [(1, texts[4]), (2, texts[5]), (2, texts[6]), (3, texts[7])]
+    assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
