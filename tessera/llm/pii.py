@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -28,8 +29,9 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 SURE = 0.8  # score of a pattern that finds
 SEEDS = 3  # different seeds that a pattern rests on at least
-SPECIFIC = 0.3  # share of all places of a pattern's word that stand before an identifier, at least
+SPECIFIC = 0.3  # share of all places of a pattern's word or words that stand before an identifier, at least
 COUNTED = 400_000  # words that a task counts before it passes them on
+LISTED = 50_000  # last words of patterns up to which tasks know them all and count no other pairs
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -184,6 +186,33 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def pair_counts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(word, before, n) over all texts for those of ``pairs`` (word, before) that occur, words
+    following each other as in ``words_before``."""
+    lasts = pairs.select("word").distinct()
+    listed = {r[0] for r in lasts.collect()} if lasts.count() <= LISTED else None  # other words' pairs need not be passed on
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def rows():
+            found = pa.record_batch({"word": pa.array([w for _, w in counts], pa.string()), "before": pa.array([b for b, _ in counts], pa.string()), "n": pa.array(counts.values(), pa.int64())})
+            counts.clear()
+            return found
+
+        of = lru_cache(1 << 16)(word_of)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = [w for w in map(of, (text or "").split()) if w]
+                counts.update(p for p in zip(words, words[1:]) if listed is None or p[1] in listed)
+                if len(counts) > COUNTED:
+                    yield rows()
+        yield rows()
+
+    counted = docs.select("text").mapInArrow(run, "word string, before string, n long")
+    return counted.join(pairs.distinct(), ["word", "before"], "left_semi").groupBy("word", "before").agg(F.sum("n").alias("n"))
+
+
 def sure_patterns(scanned: DataFrame, docs: DataFrame) -> DataFrame:
     """(kind, word, before): patterns that find. ``before`` is null for patterns of one word.
 
@@ -201,7 +230,11 @@ def sure_patterns(scanned: DataFrame, docs: DataFrame) -> DataFrame:
         return able.select("kind", "word", "before")
     # places of a word before any identifier, by all kinds, cannot exceed the places of the word
     total = word_counts(docs).join(able.select("word").distinct(), "word", "left_semi")
-    specific = able.join(total, "word").where(F.col("places") / F.col("n") >= SPECIFIC)
+    specific = able.where("before IS NULL").join(total, "word")
+    pairs = able.where("before IS NOT NULL")
+    if not pairs.isEmpty():  # a pattern of two words by the places of both
+        specific = specific.unionByName(pairs.join(pair_counts(docs, pairs.select("word", "before")), ["word", "before"]))
+    specific = specific.where(F.col("places") / F.col("n") >= SPECIFIC)
     graph = edges.withColumn("pattern", F.xxhash64("kind", "word", "before")).join(specific.select("pattern"), "pattern", "left_semi")
     graph = stage(graph.select("pattern", F.xxhash64("kind", "value").alias("instance"), "seed"), "pii-graph")
     score = F.when(F.col("seed"), 1.0).otherwise(0.0)

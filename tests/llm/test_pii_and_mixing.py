@@ -89,3 +89,14 @@ def test_mix(spark, docs, none):
     assert sorted((r["doc_id"], r["epoch"], r["slot"]) for r in again) == sorted((r["doc_id"], r["epoch"], r["slot"]) for r in got)
     assert mixing.mix(none).count() == 0 and mixing.mix(docs).drop("_mix").columns == docs.columns
     assert math.isclose(sum(p.weights), 1)
+
+
+def test_two_words_count_by_their_own_places(spark):
+    rows = [(k, f"you can reach me at +1 456 555 {1000 + k} or not {k % 7}") for k in range(12)]
+    rows += [(100, "please reach me at 456 555 7777 today"), (101, "we are at 456 555 8888 now"), (102, "sat (me, at) 12345678 once")]
+    rows += [(200 + k, "he looked at it at noon at home at last") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: [(f["kind"], f["start"], f["end"]) for f in r["found"]] for r in pii.extract(df).collect()}
+    assert found[100] == [("phone", 19, 31)] and found[101] == []
+    counts = {(r["before"], r["word"]): r["n"] for r in pii.pair_counts(df, spark.createDataFrame([("at", "me"), ("at", "it"), ("noon", "at"), ("x", "y")], "word string, before string")).collect()}
+    assert counts == {("me", "at"): 14, ("it", "at"): 60, ("at", "noon"): 60}
