@@ -1,10 +1,11 @@
 """Document fingerprints: Merkle trees over sections, paragraphs and their pieces.
 
 A document's root covers its sections, a section its paragraphs (lines), a paragraph
-its pieces (sentences, cut further where they are long; words in short texts). Roots are equal for equal
+its pieces (runs of about four words, cut the same way at every length of text). Roots are equal for equal
 texts; where roots differ, equal branches are skipped and the differing ones tell
 which spans of the text were edited. Sections end where the content says so, at a
-blank line or by a paragraph's own hash, so an edit moves only the borders near it.
+blank line or by a paragraph's own hash, and pieces after words whose hash says so, so
+an edit moves only the borders near it.
 """
 
 from __future__ import annotations
@@ -12,8 +13,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,10 +27,33 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bound_batches, shuffle_partitions
 
 PIECE = 96  # code points of a piece at most
-SHORT = 512  # code points under which a text's pieces are its words
+RUN = 4  # a piece has about so many words
 SECTION = 8  # a section has about so many paragraphs
-_PIECES = re.compile(rf"[^.!?]{{0,{PIECE - 1}}}(?:[.!?]+\s*|[^.!?]|\Z)", re.DOTALL)
-_WORDS = re.compile(r"\S+\s*|\s+")
+# characters of scripts without spaces are words of their own; longer runs than 32 are cut
+_WORDS = re.compile(r"[\u3000-\U0010ffff]\s*|[^\s\u3000-\U0010ffff]{1,32}\s*|\s+")
+
+
+@lru_cache(1 << 16)
+def _ends(word: str) -> bool:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % RUN == 0
+
+
+def _pieces(line: str) -> list[str]:
+    """The line cut after words that end a piece, and where a piece would grow beyond PIECE
+    code points (but white space is never cut)."""
+    found, start, at = [], 0, 0
+    for word in _WORDS.findall(line):
+        end = at + len(word)
+        if end - start > PIECE and at > start:
+            found.append(line[start:at])
+            start = at
+        if _ends(word.rstrip()):
+            found.append(line[start:end])
+            start = end
+        at = end
+    if at > start:
+        found.append(line[start:at])
+    return found
 
 
 def _hash(data: bytes, size: int = 16) -> bytes:
@@ -47,8 +73,6 @@ class Tree:
         now: list[tuple[bytes, tuple[str, list[tuple[str, int]]]]] = []
         digests: list[bytes] = []
 
-        cut = (_WORDS if len(text) < SHORT else _PIECES).findall
-
         def end():
             if now:
                 digest = _hash(b"s" + b"".join(d for d, _ in now))
@@ -57,7 +81,7 @@ class Tree:
                 now.clear()
 
         for line in text.split("\n"):
-            pieces = [p for p in cut(line) if p]
+            pieces = _pieces(line)
             own = [_hash(p.encode("utf-8", "surrogatepass")) for p in pieces]
             digest = _hash(b"p" + b"".join(own))
             now.append((digest, (_short(digest), [(_short(d), len(p)) for d, p in zip(own, pieces)])))

@@ -40,3 +40,15 @@ def test_likeness_and_edits():
     assert likeness(fingerprint(text), fingerprint("nothing alike.")) == 0
     assert fingerprint(None) == fingerprint("") != fingerprint(" ")
     assert fingerprint("a\nb") != fingerprint("a b") and fingerprint("a\n") != fingerprint("a")
+
+
+def test_likeness_does_not_depend_on_length():
+    random.seed(2)
+    words = ["".join(random.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    for n in (60, 72, 74, 100, 140, 400):  # 420 to 2,800 code points
+        text = " ".join(words[:n])
+        edited = text[: len(text) - len(text) // 2] + "a short next document"
+        assert 0.5 < likeness(fingerprint(text), fingerprint(edited)) < 0.9, n
+        assert sum(e - s for s, e in edits(Tree(text), Tree(edited))) < 0.65 * len(text), n
+    line = "".join(random.choice("日本語文書木林森山川") for _ in range(900))
+    assert "".join(merkle._pieces(line)) == line and likeness(fingerprint(line), fingerprint(line[:430])) > 0.5
