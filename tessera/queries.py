@@ -261,6 +261,17 @@ add("reduce_any_masked", lambda a: (a.EM > 0.4).any(axis=1), "SELECT d0, bool_or
 add("reduce_all_masked", lambda a: (a.EM < 0.4).all(axis=1), "SELECT d0, bool_and(v < 0.4) AS v FROM em GROUP BY d0")
 add("reduce_sum_transposed_slice", lambda a: a.E.T[3:9].sum(axis=1), "SELECT d1 - 3 AS d0, round(sum(v), 6) + 0.0 AS v FROM e WHERE d1 BETWEEN 3 AND 8 GROUP BY d1")
 
+# --- all cells of sparse arrays: as the queries on 60 parts and 10 suppliers, over every part and supplier
+
+WHOLE = ", sw AS (SELECT i::BIGINT AS d0, j::BIGINT AS d1, coalesce(s.v, 0) AS v, coalesce(s.w, 0) AS w FROM n, range(0, n.parts) t(i), range(0, n.supps) x(j) LEFT JOIN s ON s.d0 = i AND s.d1 = j)\n"
+for _name, _f, _text, _real in _AROUND:
+    if _name in ("equal", "greater_equal", "less_equal"):
+        add(f"binary_{_name}_sparse_whole", lambda a, f=getattr(np, _f): f(a.Q, a.P[:, ::-1]), WHOLE + cells("sw", _text.format(a="v", b="w"), _real), True)
+add("binary_power_sparse_dense_whole", lambda a: (a.Q / 100) ** (a.P[:, ::-1] / 1000000), WHOLE + cells("sw", "pow(v / 100, w / 1000000)"), True)
+add("unary_exp_sparse_dense_whole", lambda a: np.exp(a.Q / 100), WHOLE + "SELECT d0, d1, round(exp(v / 100), 6) AS v FROM sw", True)
+add("combine_sparse_with_dense_whole", lambda a: np.concatenate([a.Q, np.exp(a.Q * 0) * 2.0]), WHOLE + "SELECT d0, d1, round(v, 6) AS v FROM sw UNION ALL SELECT d0 + n.parts, d1, 2.0 FROM sw, n", True)
+add("dense_sparse_whole", lambda a: a.Q, WHOLE + "SELECT d0, d1, round(v, 6) AS v FROM sw", True)
+
 # --- formats and blocks
 
 add("dense_sparse", lambda a: a.Q[:60, :10], "SELECT d0, d1, round(v, 6) AS v FROM sd", True)

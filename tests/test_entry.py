@@ -34,3 +34,20 @@ def test_against_duckdb(spark):
         for a, b in zip(got, want):
             assert all(x == y or (isinstance(x, float) and math.isclose(x, y, abs_tol=2e-6)) for x, y in zip(a, b)), (name, a, b)
     assert not entry.entry(spark).isEmpty()
+
+
+WHOLE = "binary_equal_sparse binary_greater_equal_sparse binary_less_equal_sparse binary_power_sparse_dense unary_exp_sparse_dense combine_sparse_with_dense dense_sparse".split()
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
+def test_all_cells_are_there(spark):
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    for name in os.listdir(FOLDER):
+        c.execute(f"create view {name.removesuffix('.parquet')} as select * from '{FOLDER}/{name}'")
+    n = c.execute("select (select max(p_partkey) + 1 from part) * (select max(s_suppkey) + 1 from supplier)").fetchone()[0]
+    for name in (f"{x}_whole" for x in WHOLE):
+        got, want = rows(entry.queries()[name](spark, FOLDER).toPandas()), rows(c.execute(entry.oracle_sql()[name]).fetchdf())
+        assert len(got) == len(want) == n * (1 + name.startswith("combine")), name
+        for a, b in zip(got, want):
+            assert all(x == y or (isinstance(x, float) and math.isclose(x, y, abs_tol=2e-6)) for x, y in zip(a, b)), (name, a, b)
