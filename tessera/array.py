@@ -2,14 +2,40 @@
 
 from __future__ import annotations
 
+from functools import singledispatch
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tessera.plans import nodes
 from tessera.plans.compile import dims, to_df
 
-_NAMES = {"true_divide": "divide", "absolute": "abs", "fabs": "abs", "conjugate": None}
+COLLECTED = 1 << 24  # cells up to which an array comes to the driver in one job
+_NAMES = {"true_divide": "divide", "absolute": "abs"}
+#: Positions of arguments after the array in NumPy's functions that have a method here.
+_ARGUMENTS = {
+    "sum": ("axis", "dtype", "out", "keepdims", "initial", "where"),
+    "mean": ("axis", "dtype", "out", "keepdims", "where"),
+    "var": ("axis", "dtype", "out", "ddof", "keepdims", "where", "mean", "correction"),
+    "any": ("axis", "out", "keepdims", "where"),
+    "all": ("axis", "out", "keepdims", "where"),
+    "round": ("decimals", "out"),
+    "transpose": ("axes",),
+    "concatenate": ("axis", "out", "dtype", "casting"),
+}
+_TAKEN = ("axis", "dtype", "ddof", "decimals", "axes")
+
+
+def _arguments(name: str, given: tuple, named: dict) -> dict:
+    """Arguments of a NumPy function by name. Those that have no counterpart here must have
+    the value that changes nothing."""
+    found = dict(zip(_ARGUMENTS[name], given, strict=False)) | named
+    taken = {k: v for k, v in found.items() if k in _TAKEN and not (name == "concatenate" and k == "dtype")}
+    for k, v in found.items():
+        if k not in taken and not (v is None or v is np._NoValue or (k == "keepdims" and v is False) or (k == "where" and v is True)):
+            raise TypeError(f"numpy.{name} of a lazy array does not take '{k}'")
+    return taken
 
 
 def _node(value) -> nodes.Node:
@@ -70,6 +96,27 @@ def _position(index, n: int):
     return np.arange(n)[index if len(index) else np.zeros(0, np.int64)], False
 
 
+def _packed(shape: tuple[int, ...], dtype: np.dtype):
+    """Cells as rows of flat positions, values and whether they are masked, as bytes."""
+    names = dims(len(shape))
+    steps = [int(np.prod(shape[k + 1 :], dtype=object)) for k in range(len(shape))]
+
+    def run(batches):
+        for batch in batches:
+            at = np.zeros(batch.num_rows, np.int64)
+            for name, step in zip(names, steps):
+                at += batch.column(name).to_numpy() * step
+            values = batch.column("v")
+            absent = values.is_null().to_numpy(zero_copy_only=False)
+            if dtype == np.dtype("uint64"):  # decimals
+                data = np.array([int(x or 0) for x in values.to_pylist()], np.uint64)
+            else:
+                data = values.fill_null(False if dtype.kind == "b" else 0).to_numpy(zero_copy_only=False).astype(dtype)
+            yield pa.record_batch({"at": pa.array([at.tobytes()], pa.binary()), "v": pa.array([data.tobytes()], pa.binary()), "absent": pa.array([absent.tobytes()], pa.binary())})
+
+    return run
+
+
 class LazyArray:
     """An array of which only the operation tree exists until its cells are asked for.
 
@@ -77,7 +124,18 @@ class LazyArray:
 
     def __init__(self, node: nodes.Node):
         self.node = node
-        self.index_dtype = np.dtype("int64")
+
+    def copy(self) -> LazyArray:
+        """Another array over the same tree: nodes never change."""
+        return type(self)(self.node)
+
+    @property
+    def index_dtype(self) -> np.dtype:
+        """The type of coordinates of the (first) source, through all operations."""
+        node = self.node
+        while below := nodes.children(node):
+            node = below[0]
+        return np.dtype(getattr(node, "index_dtype", None) or "int64")
 
     # --- what is known without data
 
@@ -129,6 +187,9 @@ class LazyArray:
         corner = LazyArray(nodes.subset(self.node, [np.array(e, np.int64) for e in ends]))
         return f"{self!r}\n{corner.to_numpy()!r}"
 
+    def __str__(self) -> str:
+        return self.preview()
+
     def like(self, values) -> LazyArray:
         from tessera.sources import from_numpy
         from tessera.plans.compile import _session
@@ -141,24 +202,21 @@ class LazyArray:
         """The relation; with ``dense`` one row for every cell."""
         return to_df(self.node, dense)
 
-    def to_numpy(self):
-        """All cells, on the driver; a masked array if the array has a mask."""
-        fill, n = self.node.fill if self.node.implicit else 0, self.ndim
-        table = self.to_df().toArrow()
-        values, absent = table.column("v"), None
-        absent = values.is_null().to_numpy()
-        data = values.to_pandas().to_numpy()
-        if absent.any() or data.dtype == object:
-            data = np.array([0 if a or x is None else x for a, x in zip(absent, data)])
-        out = np.empty(self.shape, self.dtype)
-        mask = np.zeros(self.shape, bool)
-        out[...] = 0 if fill is None else fill
-        mask[...] = self.node.implicit and fill is None
-        place = tuple(table.column(d).to_numpy() for d in dims(n)) if n else ()
-        if len(data):
+    def to_numpy(self, dtype=None):
+        """All cells, on the driver, in the array's type or another one; a masked array if
+        the array has a mask. Cells come packed and go straight to their places; of arrays
+        of over COLLECTED cells a partition at a time."""
+        fill, shape, own = self.node.fill if self.node.implicit else 0, self.shape, self.dtype
+        with np.errstate(all="ignore"):
+            out = np.full(shape, np.zeros(1, own)[0] if fill is None else np.asarray(fill, own)[()], own).astype(dtype or own)
+        mask = np.full(shape, self.node.implicit and fill is None)
+        flat, hidden = out.reshape(-1), mask.reshape(-1)
+        packed = self.to_df().mapInArrow(_packed(shape, own), "at binary, v binary, absent binary")
+        for row in packed.collect() if self.size <= COLLECTED else packed.toLocalIterator():
+            at, absent = np.frombuffer(row["at"], np.int64), np.frombuffer(row["absent"], bool)
             with np.errstate(all="ignore"):
-                out[place if n else ...] = data.astype(self.dtype) if n else data.astype(self.dtype)[0]
-            mask[place if n else ...] = absent if n else absent[0]
+                flat[at] = np.frombuffer(row["v"], own)
+            hidden[at] = absent
         return np.ma.masked_array(out, mask) if self.is_masked else out
 
     def item(self):
@@ -166,8 +224,7 @@ class LazyArray:
         return np.ma.masked if self.is_masked and np.ma.getmaskarray(out).reshape(-1)[0] else np.ma.getdata(out).reshape(-1)[0]
 
     def __array__(self, dtype=None, copy=None):
-        out = self.to_numpy()
-        return out if dtype is None or np.dtype(dtype) == out.dtype else out.astype(dtype)
+        return self.to_numpy(dtype)
 
     def __float__(self) -> float:
         return float(self.item())
@@ -222,10 +279,15 @@ class LazyArray:
     def __abs__(self) -> LazyArray:
         return LazyArray(nodes.Unary(self.node, "abs"))
 
-    def __array_ufunc__(self, ufunc, method, *inputs, **_):
+    def __array_ufunc__(self, ufunc, method, *inputs, **given):
         name = _NAMES.get(ufunc.__name__, ufunc.__name__)
         if method != "__call__":
             raise NotImplementedError(f"'{ufunc.__name__}.{method}' is not supported")
+        if given := [k for k, v in given.items() if v is not None and not (k == "where" and v is True)]:
+            raise TypeError(f"numpy.{ufunc.__name__} of a lazy array does not take '{given[0]}'")
+        if name == "fabs":  # of floats only, as NumPy has it
+            real = np.fabs(np.zeros(1, self.dtype)).dtype
+            return abs(self if real == self.dtype else self.astype(real))
         if len(inputs) == 1:
             return LazyArray(nodes.Unary(self.node, name))
         if isinstance(inputs[0], LazyArray) and (not isinstance(inputs[1], LazyArray) or len(inputs[0].shape) >= len(inputs[1].shape)):
@@ -233,15 +295,15 @@ class LazyArray:
         return operate(inputs[1], inputs[0], name, False)
 
     def __array_function__(self, function, types, args, kwargs):
-        name = function.__name__
-        if name == "concatenate":
-            axis = kwargs.get("axis", args[1] if len(args) > 1 else 0)
-            return concatenate(args[0], axis)
+        name = {"around": "round"}.get(function.__name__, function.__name__)
         if name == "shape":
             return self.shape
-        if name in ("transpose", "sum", "mean", "var", "any", "all") or name in ("round", "around"):
-            return getattr(self, "round" if name == "around" else name)(*args[1:], **{k: v for k, v in kwargs.items() if k not in ("out", "keepdims", "where", "copy")})
-        raise NotImplementedError(f"'{name}' is not supported")
+        if name not in _ARGUMENTS:
+            raise NotImplementedError(f"'{name}' is not supported")
+        taken = _arguments(name, args[1:], kwargs)
+        if name == "concatenate":
+            return concatenate(args[0], **taken)
+        return getattr(args[0], name)(**taken)
 
     # --- reductions
 
@@ -261,10 +323,12 @@ class LazyArray:
         return self._reduce("var", axis, dtype, ddof)
 
     def any(self, axis=None, dtype=None, buffer_size=None) -> LazyArray:
-        return self._reduce("any", axis)
+        found = self._reduce("any", axis)
+        return found if dtype is None else found.astype(dtype)
 
     def all(self, axis=None, dtype=None, buffer_size=None) -> LazyArray:
-        return self._reduce("all", axis)
+        found = self._reduce("all", axis)
+        return found if dtype is None else found.astype(dtype)
 
 
 def _method(operation: str, right: bool):
@@ -278,17 +342,28 @@ for _name, _operation in {"eq": "equal", "ne": "not_equal", "ge": "greater_equal
     setattr(LazyArray, f"__{_name}__", _method(_operation, True))
 
 
+@singledispatch
 def wrap(x) -> LazyArray:
-    """A LazyArray of a LazyArray (itself), a node or local data."""
-    if isinstance(x, LazyArray):
-        return x
-    if isinstance(x, nodes.Node):
-        return LazyArray(x)
+    """A LazyArray of a LazyArray (itself), a node, local data, or a sparse matrix object
+    (what has ``format`` csc, csr or coo and that format's vectors). Other types are
+    registered: ``@wrap.register`` a function that makes a LazyArray of them."""
     from tessera.plans.compile import _session
-    from tessera.sources import from_numpy
+    from tessera.sources import from_numpy, from_sparse_matrix
 
+    if getattr(x, "format", None) in ("csc", "csr", "coo") and hasattr(x, "shape"):
+        return from_sparse_matrix(_session(), x)
     return from_numpy(_session(), x)
 
 
+@wrap.register
+def _(x: LazyArray) -> LazyArray:
+    return x
+
+
+@wrap.register
+def _(x: nodes.Node) -> LazyArray:
+    return LazyArray(x)
+
+
 def concatenate(arrays, axis: int = 0) -> LazyArray:
     return LazyArray(nodes.combine([_node(wrap(a)) for a in arrays], axis))

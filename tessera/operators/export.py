@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from tessera.array import LazyArray
 from tessera.plans.compile import dims
+from tessera.plans.grid import grid_of
 from tessera.plans.nodes import is_zero
 
+PART = 1 << 20  # positions of the minor dimension that one row of a compressed format covers
+
 
 def to_dense_array(x: LazyArray):
     """All cells, local."""
@@ -59,19 +62,29 @@ def to_coo(x: LazyArray) -> DataFrame:
 
 def _compressed(x: LazyArray, major: str, minor: str) -> DataFrame:
     packed = F.array_sort(F.collect_list(F.struct(F.col(minor).alias("index"), F.col("v").alias("value"))))
-    return _explicit(x).groupBy(F.col(major).alias("major")).agg(packed.alias("cells")).select("major", F.col("cells.index").alias("indices"), F.col("cells.value").alias("values"))
+    part = F.expr(f"{minor} div {PART}L").alias("part")
+    return _explicit(x).groupBy(F.col(major).alias("major"), part).agg(packed.alias("cells")).select("major", "part", F.col("cells.index").alias("indices"), F.col("cells.value").alias("values"))
 
 
 def to_csc(x: LazyArray) -> DataFrame:
-    """(major, indices, values): a row for each column that has cells."""
+    """(major, part, indices, values): a row for each column and PART rows that have cells,
+    so that no cell of the result grows with the array."""
     return _compressed(x, "d1", "d0")
 
 
 def to_csr(x: LazyArray) -> DataFrame:
-    """(major, indices, values): a row for each row that has cells."""
+    """(major, part, indices, values): a row for each row and PART columns that have cells."""
     return _compressed(x, "d0", "d1")
 
 
+def create_dask_array(x: LazyArray):
+    """The array for dask, where that is installed: a chunk of dask's is one block of the
+    array's grid, and reads nothing until dask asks for it."""
+    from dask import array
+
+    return array.from_array(x, chunks=tuple(tuple(b - a for a, b in i) for i in grid_of(x.node).intervals(None, 10**6)), asarray=True, fancy=False, meta=np.zeros((0,) * x.ndim, x.dtype))
+
+
 def to_sparse_matrix(x: LazyArray, format: str = "csc") -> dict:
     """Local vectors of a matrix: data, indices and indptr (csc, csr), or data, row and col."""
     if x.ndim != 2:

@@ -60,6 +60,7 @@ class Source(Node):
     chunks: tuple[int, ...] | None = None  # extents that are read together
     cost: float = 1.0
     pristine: object = None  # what the user handed in
+    index_dtype: object = None  # of coordinates, where the user's data had one
 
     @property
     def fill(self):

@@ -6,6 +6,7 @@ type), L3 (sparse counts by supplier, line number and return flag)."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import cached_property
 
@@ -22,6 +23,9 @@ EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 FLAGS = ("A", "N", "R")
 
 
+_extents: dict[tuple, int] = {}
+
+
 class Arrays:
     """The arrays over one folder of tables. Extents come from the largest key."""
 
@@ -32,7 +36,12 @@ class Arrays:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def extent(self, table: str, key: str) -> int:
-        return self.table(table).agg(F.max(key)).first()[0] + 1
+        """One more than the largest key, read once for each session and folder: tables do
+        not change while queries over them run."""
+        asked = (self.spark.sparkContext.applicationId, self.folder, table, key)
+        if asked not in _extents:
+            _extents[asked] = self.table(table).agg(F.max(key)).first()[0] + 1
+        return _extents[asked]
 
     @cached_property
     def E(self) -> LazyArray:
@@ -66,17 +75,42 @@ class Arrays:
         return tessera.from_table(self.table("lineitem"), ["l_suppkey", F.col("l_linenumber") - 1, code], F.lit(1), (self.extent("supplier", "s_suppkey"), 7, 3), dtype="int64", aggregate="sum")
 
 
-SQL = """WITH e AS (SELECT vec_id::BIGINT AS d0, (i - 1)::BIGINT AS d1, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) t(i)),
-em AS (SELECT d0, d1, CASE WHEN (d0 * 31 + d1) % 5 <> 0 THEN v END AS v FROM e),
-q AS (SELECT l_partkey::BIGINT AS d0, l_suppkey::BIGINT AS d1, sum(l_quantity) AS v FROM lineitem GROUP BY ALL),
-p AS (SELECT l_partkey::BIGINT AS d0, l_suppkey::BIGINT AS d1, sum(l_extendedprice) AS v FROM lineitem GROUP BY ALL),
-u AS (SELECT user_id::BIGINT AS d0, (list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) - 1)::BIGINT AS d1, count(*)::BIGINT AS v FROM events GROUP BY ALL),
-l3 AS (SELECT l_suppkey::BIGINT AS d0, (l_linenumber - 1)::BIGINT AS d1, (list_position(['A', 'N', 'R'], l_returnflag) - 1)::BIGINT AS d2, count(*)::BIGINT AS v FROM lineitem GROUP BY ALL),
-n AS (SELECT (SELECT max(vec_id) + 1 FROM embeddings)::BIGINT AS e, (SELECT max(p_partkey) + 1 FROM part)::BIGINT AS parts, (SELECT max(s_suppkey) + 1 FROM supplier)::BIGINT AS supps, (SELECT max(user_id) + 1 FROM events)::BIGINT AS users),
-r AS (SELECT a.d0, a.d1, a.v, b.v AS w FROM e a JOIN n ON true JOIN e b ON b.d0 = n.e - 1 - a.d0 AND b.d1 = a.d1),
-s AS (SELECT coalesce(a.d0, b.d0) AS d0, coalesce(a.d1, b.d1) AS d1, coalesce(a.v, 0) AS v, coalesce(b.v, 0) AS w FROM q a FULL JOIN (SELECT d0, n.supps - 1 - d1 AS d1, v FROM p, n) b ON a.d0 = b.d0 AND a.d1 = b.d1),
-sd AS (SELECT i::BIGINT AS d0, j::BIGINT AS d1, coalesce(s.v, 0) AS v, coalesce(s.w, 0) AS w FROM range(0, 60) t(i) CROSS JOIN range(0, 10) x(j) LEFT JOIN s ON s.d0 = i AND s.d1 = j)
-"""
+#: The arrays as SQL: d0.., v, and what statements join with them; each statement gets those
+#: that it names. r and s pair an array with another one turned about, in sw and qw, uw all
+#: cells of a sparse array are there.
+VIEWS = {
+    "e": "SELECT vec_id::BIGINT AS d0, (i - 1)::BIGINT AS d1, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) t(i)",
+    "em": "SELECT d0, d1, CASE WHEN (d0 * 31 + d1) % 5 <> 0 THEN v END AS v FROM e",
+    "q": "SELECT l_partkey::BIGINT AS d0, l_suppkey::BIGINT AS d1, sum(l_quantity) AS v FROM lineitem GROUP BY ALL",
+    "p": "SELECT l_partkey::BIGINT AS d0, l_suppkey::BIGINT AS d1, sum(l_extendedprice) AS v FROM lineitem GROUP BY ALL",
+    "u": "SELECT user_id::BIGINT AS d0, (list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) - 1)::BIGINT AS d1, count(*)::BIGINT AS v FROM events GROUP BY ALL",
+    "l3": "SELECT l_suppkey::BIGINT AS d0, (l_linenumber - 1)::BIGINT AS d1, (list_position(['A', 'N', 'R'], l_returnflag) - 1)::BIGINT AS d2, count(*)::BIGINT AS v FROM lineitem GROUP BY ALL",
+    "n": "SELECT (SELECT max(vec_id) + 1 FROM embeddings)::BIGINT AS e, (SELECT max(p_partkey) + 1 FROM part)::BIGINT AS parts, (SELECT max(s_suppkey) + 1 FROM supplier)::BIGINT AS supps, (SELECT max(user_id) + 1 FROM events)::BIGINT AS users",
+    "turned": "SELECT (SELECT max(vec_id) FROM embeddings)::BIGINT - vec_id::BIGINT AS d0, embedding AS other FROM embeddings",
+    "r": "SELECT d0, (i - 1)::BIGINT AS d1, own[i]::DOUBLE AS v, other[i]::DOUBLE AS w FROM (SELECT a.d0, a.own, b.other FROM (SELECT vec_id::BIGINT AS d0, embedding AS own FROM embeddings) a JOIN turned b ON a.d0 = b.d0) ab, range(1, 65) t(i)",
+    "pt": "SELECT d0, (SELECT max(s_suppkey) FROM supplier)::BIGINT - d1 AS d1, v FROM p",
+    "s": "SELECT coalesce(a.d0, b.d0) AS d0, coalesce(a.d1, b.d1) AS d1, coalesce(a.v, 0) AS v, coalesce(b.v, 0) AS w FROM q a FULL JOIN pt b ON a.d0 = b.d0 AND a.d1 = b.d1",
+    "grid": "SELECT i::BIGINT AS d0, j::BIGINT AS d1 FROM (SELECT unnest(range(0, (SELECT max(p_partkey) + 1 FROM part)::BIGINT)) AS i) t CROSS JOIN (SELECT unnest(range(0, (SELECT max(s_suppkey) + 1 FROM supplier)::BIGINT)) AS j) x",
+    "sw": "SELECT g.d0, g.d1, coalesce(s.v, 0) AS v, coalesce(s.w, 0) AS w FROM grid g LEFT JOIN s ON s.d0 = g.d0 AND s.d1 = g.d1",
+    "qw": "SELECT g.d0, g.d1, coalesce(q.v, 0) AS v FROM grid g LEFT JOIN q ON q.d0 = g.d0 AND q.d1 = g.d1",
+    "uw": "SELECT g.d0, g.d1, coalesce(u.v, 0) AS v FROM (SELECT i::BIGINT AS d0, j::BIGINT AS d1 FROM (SELECT unnest(range(0, (SELECT max(user_id) + 1 FROM events)::BIGINT)) AS i) t CROSS JOIN range(0, 5) x(j)) g LEFT JOIN u ON u.d0 = g.d0 AND u.d1 = g.d1",
+}
+
+
+def with_views(sql: str) -> str:
+    """``sql`` behind the views that it and they name."""
+    needed: set[str] = set()
+
+    def take(text: str) -> None:
+        for name in re.findall(r"(?:FROM|JOIN|,) (\w+)", text):
+            if name in VIEWS and name not in needed:
+                needed.add(name)
+                take(VIEWS[name])
+
+    take(sql)
+    views = ", ".join(f"{name} AS ({text})" for name, text in VIEWS.items() if name in needed)
+    return f"WITH {views} {sql}" if views else sql
+
 
 _made: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -93,7 +127,7 @@ def finish(x: LazyArray | DataFrame, dense: bool = False) -> DataFrame:
 def add(name: str, build: Callable[[Arrays], LazyArray | DataFrame], sql: str | None, dense: bool = False) -> None:
     _made[name] = lambda spark, folder: finish(build(Arrays(spark, folder)), dense)
     if sql is not None:
-        _sql[name] = SQL + sql
+        _sql[name] = with_views(sql)
 
 
 def cells(source: str, value: str, real: bool = True, where: str = "") -> str:
@@ -140,7 +174,7 @@ add("unary_arcsin_masked", lambda a: np.arcsin(a.EM * 5), cells("em", "CASE WHEN
 add("unary_log1p_sparse", lambda a: np.log1p(a.Q), cells("q", "ln(1 + v)"))
 add("unary_sqrt_sparse", lambda a: np.sqrt(a.P), cells("p", "sqrt(v)"))
 add("unary_abs_sparse_int", lambda a: abs(-a.U), cells("u", "v", False))
-add("unary_exp_sparse_dense", lambda a: np.exp(a.Q[:60, :10] / 100), "SELECT d0, d1, round(exp(v / 100), 6) AS v FROM sd", True)
+add("unary_exp_sparse_dense", lambda a: np.exp(a.Q / 100), cells("qw", "exp(v / 100)"), True)
 add("cast_int", lambda a: (a.E * 100).astype("int32"), cells("e", "trunc(v * 100)::INT", False))
 add("cast_float32_back", lambda a: a.E.astype("float32"), cells("e", "v"))
 add("cast_bool_sparse", lambda a: a.Q.astype("bool"), cells("q", "v <> 0", False))
@@ -184,7 +218,7 @@ add("args_multiply_sparse", lambda a: a.Q * 3, cells("q", "v * 3"))
 add("args_greater_sparse", lambda a: a.Q > 30, cells("q", "v > 30", False))
 add("args_divide_column_sums_sparse", lambda a: a.Q / a.Q.sum(axis=0), "SELECT q.d0, q.d1, round(v / t, 6) AS v FROM q JOIN (SELECT d1, sum(v) AS t FROM q GROUP BY d1) g ON q.d1 = g.d1")
 add("args_integer_floor_divide", lambda a: a.U // 3, cells("u", "(v // 3)::BIGINT", False))
-add("args_integer_remainder", lambda a: (a.U - 7) % 3, "SELECT i::BIGINT AS d0, j::BIGINT AS d1, (((coalesce(v, 0) - 7) % 3 + 3) % 3)::BIGINT AS v FROM n, range(0, n.users) t(i), range(0, 5) x(j) LEFT JOIN u ON u.d0 = i AND u.d1 = j", True)
+add("args_integer_remainder", lambda a: (a.U - 7) % 3, cells("uw", "(((v - 7) % 3 + 3) % 3)::BIGINT", False), True)
 add("args_integer_power", lambda a: a.U**2, cells("u", "(v * v)::BIGINT", False))
 
 # --- two arrays
@@ -194,13 +228,12 @@ for _name, _f, _text, _real in (*_AROUND, ("power", "power", "pow(abs({a}), {b})
     add(f"binary_{_name}", lambda a, f=f: f(a.E, a.E[::-1]), cells("r", _text.format(a="v", b="w"), _real))
     if _f not in ("divide", "remainder", "floor_divide", "power"):
         stays = _f in ("add", "subtract", "multiply", "not_equal", "greater", "less", "logical_and", "logical_or", "logical_xor")
-        build = (lambda a, f=f: f(a.Q, a.P[:, ::-1])) if stays else (lambda a, f=f: f(a.Q, a.P[:, ::-1])[:60, :10])
-        add(f"binary_{_name}_sparse", build, cells("s" if stays else "sd", _text.format(a="v", b="w"), _real), not stays)
+        add(f"binary_{_name}_sparse", lambda a, f=f: f(a.Q, a.P[:, ::-1]), cells("s" if stays else "sw", _text.format(a="v", b="w"), _real), not stays)
 add("binary_divide_sparse_implicit", lambda a: a.Q / (a.P[:, ::-1] + 1), cells("s", "v / (w + 1)"))
 add("binary_remainder_sparse_int", lambda a: a.U % (a.U + 2), cells("u", "v % (v + 2)", False))
 add("binary_floor_divide_sparse_int", lambda a: (a.U * 5) // (a.U + 2), cells("u", "((v * 5) // (v + 2))::BIGINT", False))
-add("binary_power_sparse_dense", lambda a: (a.Q[:60, :10] / 100) ** (a.P[:, ::-1][:60, :10] / 1000000), cells("sd", "pow(v / 100, w / 1000000)"), True)
-add("binary_sparse_with_dense", lambda a: a.U + (a.U * 0 + 1), "SELECT i::BIGINT AS d0, j::BIGINT AS d1, (coalesce(v, 0) + 1)::BIGINT AS v FROM n, range(0, n.users) t(i), range(0, 5) x(j) LEFT JOIN u ON u.d0 = i AND u.d1 = j", True)
+add("binary_power_sparse_dense", lambda a: (a.Q / 100) ** (a.P[:, ::-1] / 1000000), cells("sw", "pow(v / 100, w / 1000000)"), True)
+add("binary_sparse_with_dense", lambda a: a.U + (a.U * 0 + 1), cells("uw", "(v + 1)::BIGINT", False), True)
 add("binary_add_masked", lambda a: a.EM + a.E, cells("em", "v * 2"))
 add("binary_logical_and_masked", lambda a: np.logical_and(a.EM > 0, a.E > 0.05).astype("float64"), "SELECT em.d0, em.d1, CASE WHEN em.v IS NOT NULL THEN (em.v > 0 AND e.v > 0.05)::DOUBLE END AS v FROM em JOIN e ON em.d0 = e.d0 AND em.d1 = e.d1")
 add("binary_same_source", lambda a: np.log1p(abs(a.E)) * a.E + a.E, cells("e", "ln(1 + abs(v)) * v + v"))
@@ -227,7 +260,7 @@ add("transpose_sparse", lambda a: a.Q.T, "SELECT d1 AS d0, d0 AS d1, round(v, 6)
 add("combine_rows", lambda a: np.concatenate([a.E, a.E * 2]), "SELECT d0, d1, round(v, 6) AS v FROM e UNION ALL SELECT d0 + n.e, d1, round(v * 2, 6) FROM e, n")
 add("combine_columns", lambda a: np.concatenate([a.E, a.E[:, :3]], axis=1), "SELECT d0, d1, round(v, 6) AS v FROM e UNION ALL SELECT d0, d1 + 64, round(v, 6) FROM e WHERE d1 < 3")
 add("combine_sparse", lambda a: np.concatenate([a.Q, a.P], axis=1), "SELECT d0, d1, round(v, 6) AS v FROM q UNION ALL SELECT d0, d1 + n.supps, round(v, 6) FROM p, n")
-add("combine_sparse_with_dense", lambda a: np.concatenate([a.Q[:60, :10], np.exp(a.Q[:60, :10] * 0) * 2.0]), "SELECT d0, d1, round(v, 6) AS v FROM sd UNION ALL SELECT d0 + 60, d1, 2.0 FROM sd", True)
+add("combine_sparse_with_dense", lambda a: np.concatenate([a.Q, np.exp(a.Q * 0) * 2.0]), "SELECT d0, d1, round(v, 6) AS v FROM qw UNION ALL SELECT d0 + n.parts, d1, 2.0 FROM qw, n", True)
 add("combine_masked", lambda a: np.concatenate([a.EM, a.E]), "SELECT d0, d1, round(v, 6) AS v FROM em UNION ALL SELECT d0 + n.e, d1, round(v, 6) FROM e, n")
 add("combine_types", lambda a: np.concatenate([a.U, a.U.astype("float64") / 2]), "SELECT d0, d1, v::DOUBLE AS v FROM u UNION ALL SELECT d0 + n.users, d1, round(v / 2, 6) FROM u, n")
 add("combine_slice_prunes", lambda a: np.concatenate([a.E, a.E + 1, a.E + 2])[a.E.shape[0] + 5 : a.E.shape[0] + 9], "SELECT d0 - 5 AS d0, d1, round(v + 1, 6) AS v FROM e WHERE d0 BETWEEN 5 AND 8")
@@ -240,7 +273,6 @@ for _name, _made_by, _agg in (("sum", "sum", "sum(v)"), ("mean", "mean", "avg(v)
         add(f"reduce_{_name}_axis{_axis}_masked", lambda a, m=_made_by, x=_axis: getattr(a.EM, m)(axis=x), f"SELECT {_keep} AS d0, round({_agg}, 6) + 0.0 AS v FROM em GROUP BY {_keep}")
     add(f"reduce_{_name}_all_axes", lambda a, m=_made_by: getattr(a.E, m)(), f"SELECT round({_agg}, 6) + 0.0 AS v FROM e")
 add("reduce_var_ddof1", lambda a: a.E.var(axis=0, ddof=1), "SELECT d1 AS d0, round(var_samp(v), 6) AS v FROM e GROUP BY d1")
-_ZEROS = "(SELECT i::BIGINT AS d0, j::BIGINT AS d1, coalesce(q.v, 0) AS v FROM n, range(0, n.parts) t(i), range(0, n.supps) x(j) LEFT JOIN q ON q.d0 = i AND q.d1 = j)"
 for _name, _call, _agg, _real in (
     ("sum", lambda x: x.sum(axis=0), "sum(v)", True),
     ("mean", lambda x: x.mean(axis=0), "avg(v)", True),
@@ -249,11 +281,11 @@ for _name, _call, _agg, _real in (
     ("any", lambda x: x.any(axis=0), "bool_or(v <> 0)", False),
     ("all", lambda x: x.all(axis=0), "bool_and(v <> 0)", False),
 ):
-    add(f"reduce_{_name}_sparse", lambda a, f=_call: f(a.Q), f"SELECT d1 AS d0, {f'round({_agg}, 6)' if _real else _agg} AS v FROM {_ZEROS} GROUP BY d1", True)
-    add(f"reduce_{_name}_sparse_filled", lambda a, f=_call: f(a.Q + 1), f"SELECT d1 AS d0, {f'round({_agg}, 6)' if _real else _agg} AS v FROM (SELECT d1, v + 1 AS v FROM {_ZEROS}) GROUP BY d1", True)
+    add(f"reduce_{_name}_sparse", lambda a, f=_call: f(a.Q), f"SELECT d1 AS d0, {f'round({_agg}, 6)' if _real else _agg} AS v FROM qw GROUP BY d1", True)
+    add(f"reduce_{_name}_sparse_filled", lambda a, f=_call: f(a.Q + 1), f"SELECT d1 AS d0, {f'round({_agg}, 6)' if _real else _agg} AS v FROM (SELECT d1, v + 1 AS v FROM qw) GROUP BY d1", True)
 add("reduce_sum_all_sparse", lambda a: a.Q.sum(), "SELECT round(sum(v), 6) AS v FROM q")
 add("reduce_sum_3d", lambda a: a.L3.sum(axis=(0, 2)), "SELECT d1 AS d0, sum(v)::BIGINT AS v FROM l3 GROUP BY d1", True)
-add("reduce_mean_3d", lambda a: a.L3.mean(axis=-1), "SELECT i::BIGINT AS d0, j::BIGINT AS d1, round(coalesce(sum(v), 0) / 3.0, 6)::DOUBLE AS v FROM n, range(0, n.supps) t(i), range(0, 7) x(j) LEFT JOIN l3 ON l3.d0 = i AND l3.d1 = j GROUP BY ALL", True)
+add("reduce_mean_3d", lambda a: a.L3.mean(axis=-1), "SELECT i::BIGINT AS d0, j::BIGINT AS d1, round(coalesce(sum(v), 0) / 3.0, 6)::DOUBLE AS v FROM (SELECT unnest(range(0, (SELECT max(s_suppkey) + 1 FROM supplier)::BIGINT)) AS i) t CROSS JOIN range(0, 7) x(j) LEFT JOIN l3 ON l3.d0 = i AND l3.d1 = j GROUP BY ALL", True)
 add("reduce_sum_int", lambda a: a.U.sum(axis=1), "SELECT d0, sum(v)::BIGINT AS v FROM u GROUP BY d0")
 add("reduce_any", lambda a: (a.E > 0.4).any(axis=1), "SELECT d0, bool_or(v > 0.4) AS v FROM e GROUP BY d0")
 add("reduce_all", lambda a: (a.E < 0.4).all(axis=1), "SELECT d0, bool_and(v < 0.4) AS v FROM e GROUP BY d0")
@@ -261,20 +293,9 @@ add("reduce_any_masked", lambda a: (a.EM > 0.4).any(axis=1), "SELECT d0, bool_or
 add("reduce_all_masked", lambda a: (a.EM < 0.4).all(axis=1), "SELECT d0, bool_and(v < 0.4) AS v FROM em GROUP BY d0")
 add("reduce_sum_transposed_slice", lambda a: a.E.T[3:9].sum(axis=1), "SELECT d1 - 3 AS d0, round(sum(v), 6) + 0.0 AS v FROM e WHERE d1 BETWEEN 3 AND 8 GROUP BY d1")
 
-# --- all cells of sparse arrays: as the queries on 60 parts and 10 suppliers, over every part and supplier
-
-WHOLE = ", sw AS (SELECT i::BIGINT AS d0, j::BIGINT AS d1, coalesce(s.v, 0) AS v, coalesce(s.w, 0) AS w FROM n, range(0, n.parts) t(i), range(0, n.supps) x(j) LEFT JOIN s ON s.d0 = i AND s.d1 = j)\n"
-for _name, _f, _text, _real in _AROUND:
-    if _name in ("equal", "greater_equal", "less_equal"):
-        add(f"binary_{_name}_sparse_whole", lambda a, f=getattr(np, _f): f(a.Q, a.P[:, ::-1]), WHOLE + cells("sw", _text.format(a="v", b="w"), _real), True)
-add("binary_power_sparse_dense_whole", lambda a: (a.Q / 100) ** (a.P[:, ::-1] / 1000000), WHOLE + cells("sw", "pow(v / 100, w / 1000000)"), True)
-add("unary_exp_sparse_dense_whole", lambda a: np.exp(a.Q / 100), WHOLE + "SELECT d0, d1, round(exp(v / 100), 6) AS v FROM sw", True)
-add("combine_sparse_with_dense_whole", lambda a: np.concatenate([a.Q, np.exp(a.Q * 0) * 2.0]), WHOLE + "SELECT d0, d1, round(v, 6) AS v FROM sw UNION ALL SELECT d0 + n.parts, d1, 2.0 FROM sw, n", True)
-add("dense_sparse_whole", lambda a: a.Q, WHOLE + "SELECT d0, d1, round(v, 6) AS v FROM sw", True)
-
 # --- formats and blocks
 
-add("dense_sparse", lambda a: a.Q[:60, :10], "SELECT d0, d1, round(v, 6) AS v FROM sd", True)
+add("dense_sparse", lambda a: a.Q, cells("qw", "v"), True)
 
 
 def _packed(df: DataFrame) -> DataFrame:

@@ -106,6 +106,17 @@ def from_coo(spark, shape, rows, columns, values) -> LazyArray:
     return from_coordinates(spark, shape, [np.asarray(rows), np.asarray(columns)], values, 5.0, shape)
 
 
+def from_sparse_matrix(spark: SparkSession, matrix) -> LazyArray:
+    """A sparse array of a matrix object that has ``format`` and ``shape`` and the vectors of
+    its format: indptr, indices and data (csc, csr), or row, col and data (coo)."""
+    if matrix.format == "coo":
+        made, own = from_coo(spark, matrix.shape, matrix.row, matrix.col, matrix.data), matrix.row
+    else:
+        made, own = {"csc": from_csc, "csr": from_csr}[matrix.format](spark, matrix.shape, matrix.indptr, matrix.indices, matrix.data), matrix.indices
+    made.node.pristine, made.node.index_dtype = matrix, np.asarray(own).dtype
+    return made
+
+
 def sparse_ndarray(spark: SparkSession, shape: Sequence[int], contents, dtype=None, index_dtype=None, is_masked: bool | None = None, check: bool = True) -> LazyArray:
     """A sparse array from nested lists: the outermost list runs along the last dimension,
     leaves are (indices, values) along the first, None stands for a part without
@@ -146,7 +157,7 @@ def sparse_ndarray(spark: SparkSession, shape: Sequence[int], contents, dtype=No
     joined = (np.ma.concatenate if is_masked else np.concatenate)([v for _, _, v in leaves]) if leaves else np.zeros(0)
     joined = np.ma.masked_array(joined, dtype=dtype) if is_masked else np.asarray(joined, dtype)
     array = from_coordinates(spark, shape, [first, *rest], joined)
-    array.index_dtype = np.dtype(index_dtype) if index_dtype is not None else (leaves[0][1].dtype if leaves else np.dtype("int32"))
+    array.node.index_dtype = np.dtype(index_dtype) if index_dtype is not None else (leaves[0][1].dtype if leaves else np.dtype("int32"))
     return array
 
 
