@@ -4,6 +4,8 @@ sorted stream, and distributed connected components."""
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import shutil
 import tempfile
@@ -20,12 +22,14 @@ _own_root: str | None = None
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir``
-    names it. Only where that is unset (tests on one machine) a folder of our
-    own is made, which goes with the process."""
+    names it. Only where that is unset and all tasks run in this process a folder of our
+    own is made, which goes with the process; on a cluster it is an error."""
     global _own_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own_root is None:
         _own_root = tempfile.mkdtemp(prefix="tessera_shared_")
         atexit.register(shutil.rmtree, _own_root, ignore_errors=True)
@@ -47,6 +51,37 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_BYTES)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def give_back() -> None:
+    """Return what a worker has freed to the system: workers outlive their tasks, and the
+    next stage's may be others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run):
+    """``run`` (batches to batches), giving back its memory at the end of each task."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: it is
     computed once, and a lost executor costs no more than a reread."""

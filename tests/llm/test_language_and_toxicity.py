@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, toxicity
@@ -32,16 +33,68 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in langid.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
-def test_counts_cover_all_training_rows(spark):
+def plain_grams(text):
+    """N-grams one by one: letters lower-cased, runs of the rest one space."""
+    found, codes = [], []
+    for c in text:
+        code = ord(c.lower()[0]) if c.isalpha() and ord(c) < 1 << 16 else ord(c) if c.isalpha() else 32
+        if code != 32 or not codes or codes[-1] != 32:
+            codes.append(code)
+    for order in (1, 2, 3):
+        for k in range(len(codes) - order + 1):
+            if order == 1 and codes[k] == 32:
+                continue
+            key = codes[k]
+            for c in codes[k + 1 : k + order]:
+                key = (key * 0x100000001B3 + c) % 2**64
+            found.append(((key + order) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - langid.BUCKET_BITS))
+    return found
+
+
+def test_predictions_against_brute_force(spark, monkeypatch):
     df = corpus(spark)
-    model = langid.train(df)
-    rows = [r for r in df.collect() if r["text"] is not None and r["lang"] is not None and r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5]
-    counts = np.array([np.bincount(np.concatenate([langid.grams(langid.letters(r["text"])) for r in rows if r["lang"] == lang]), minlength=1 << langid.BUCKET_BITS) for lang in model.languages]) + 0.5
-    assert np.allclose(model.log, np.log(counts / counts.sum(axis=1, keepdims=True)).T)
+    rows = df.collect()
+    learnt = [r for r in rows if r["text"] is not None and r["lang"] is not None and r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    languages = sorted({r["lang"] for r in learnt})
+    counts, sizes = np.full((3, 1 << langid.BUCKET_BITS), 0.5), np.ones(3)
+    for r in learnt:
+        sizes[languages.index(r["lang"])] += 1
+        for g in plain_grams(r["text"]):
+            counts[languages.index(r["lang"]), g] += 1
+    logs, prior = np.log(counts / counts.sum(axis=1, keepdims=True)), np.log(sizes / sizes.sum())
+    got = {r["doc_id"]: r for r in langid.identify(df).collect()}
+    for r in rows:
+        found = plain_grams(r["text"] or "")
+        if not found:
+            assert (got[r["doc_id"]]["lang_pred"], got[r["doc_id"]]["score"]) == ("und", 0.0)
+            continue
+        total = logs[:, found].sum(axis=1)
+        best = int(np.argmax(total + prior))
+        odds = total * min(1, 50 / len(found)) + prior
+        assert got[r["doc_id"]]["lang_pred"] == languages[best]
+        assert abs(got[r["doc_id"]]["score"] - 1 / np.exp(odds - odds[best]).sum()) < 1e-9
+
+
+def test_pieces_lose_no_gram(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = ["", "a", " ", "ab  c", "".join(rng.choice(list("ab \u00c9\U00010400 .1"), 700)), "x" * 65, " " * 130 + "y", "\u65e5\u672c\u8a9e"] * 3
+    for step in (64, 7, 1 << 19):
+        monkeypatch.setattr(langid, "STEP", step)
+        found = [[] for _ in texts]
+        for rows, buckets in langid.grams(texts):
+            for r, b in zip(rows.tolist(), buckets.tolist()):
+                found[r].append(b)
+        assert [sorted(f) for f in found] == [sorted(plain_grams(t)) for t in texts]
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    with pytest.raises(Exception, match="more than 2 languages"):
+        langid.train(corpus(spark))
 
 
 def test_rejected_documents_go(spark):
-    df = corpus(spark)
+    df = corpus(spark).withColumns({"label": F.lit("own"), "_label": F.lit(1), "Lang_pred": F.lit(2)})
     kept = langid.keep_identified(df)
     assert kept.columns == df.columns
     rows = {r["doc_id"]: r for r in kept.collect()}
