@@ -87,7 +87,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     computed once, and a lost executor costs no more than a reread."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    try:  # what the query shuffled goes as soon as its result is written
+        spark.conf.set(cleanup, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     staged = spark.read.schema(df.schema).parquet(path)
     staged.staged_path = path
     return staged

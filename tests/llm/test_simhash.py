@@ -2,7 +2,6 @@ import random
 
 import numpy as np
 import xxhash
-from pyspark.sql import functions as F
 
 from tessera.llm import simhash
 from tessera.llm.simhash import golay_index, keys_of, link_bucket
@@ -94,63 +93,3 @@ def test_large_buckets_take_the_other_way(monkeypatch):
     monkeypatch.setattr(simhash, "PAIRWISE", 10)
     by_masks = link_bucket(fps, 2)
     assert len(set(zip(by_pairs, by_masks))) == len(set(by_pairs)) == len(set(by_masks))
-
-
-def test_one_stays(spark, docs):
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    ids = sorted(r[0] for r in kept.select(F.coalesce("doc_id", F.lit(-1))).collect())
-    assert ids.count(11) == 1 and 1 not in ids and 0 in ids and ids.count(4) + ids.count(5) == 1
-
-
-def similar_groups(texts, width=5, least=0.8):
-    sets = []
-    for t in texts:
-        w = t.lower().split()
-        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))})
-    label = list(range(len(texts)))
-    changed = True
-    while changed:
-        changed = False
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets[:i]):
-                if label[i] != label[j] and 5 * len(a & b) >= 4 * len(a | b):
-                    label[i] = label[j] = min(label[i], label[j])
-                    changed = True
-    return label
-
-
-def test_pairs_of_similarity_stay_once(spark, monkeypatch):
-    random.seed(8)
-    draw = lambda n: [f"w{random.randint(0, 400)}" for _ in range(n)]
-    passage = draw(30)
-    texts = []
-    for _ in range(25):
-        words = draw(random.randint(20, 150)) + passage
-        texts.append(words)
-        for _ in range(3):
-            other = words[:]
-            for at in random.sample(range(len(other)), random.randint(1, 5)):
-                other[at] = "new" + str(random.randint(0, 10**6))
-            texts.append(other)
-    for _ in range(40):  # a chain of near copies: each is similar to the last, not to the first
-        other = texts[-1][:]
-        other[random.randrange(len(other))] = "step" + str(random.randint(0, 10**6))
-        texts.append(other)
-    texts = [" ".join(t) for t in texts]
-    want = sorted(set(similar_groups(texts)))
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    far = [bin(plain(texts[0]) ^ plain(t)).count("1") for t in texts[1:4]]
-    assert max(far) > 2
-    for longest in (16, 2):
-        monkeypatch.setattr(simhash, "ALL_PAIRS", longest)
-        assert sorted(r[0] for r in simhash.keep_one(df).select("doc_id").collect()) == want
-
-
-def test_rows_without_an_id_or_of_one_id_are_rows_of_their_own(spark):
-    random.seed(9)
-    texts = [" ".join(f"w{random.randint(0, 9999)}" for _ in range(30)) for _ in range(8)]
-    rows = [(None, t) for t in texts[:4]] + [(None, texts[0]), (None, texts[4]), (1, texts[4]), (2, texts[5]), (2, texts[6]), (2, texts[6]), (3, texts[6]), (3, texts[7])]
-    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    want = [(None, t) for t in texts[:4]] + [(1, texts[4]), (2, texts[5]), (2, texts[6]), (3, texts[7])]
-    assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
