@@ -17,6 +17,24 @@ def rows(table):
     return sorted((tuple(clean(x) for x in r) for r in table[names].astype(object).itertuples(index=False)), key=str)
 
 
+def test_only_the_absence_of_the_llm_parts_is_taken(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    here = Path(entry.__file__).parent
+    ask = "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') for n in e.queries()))"
+    copy = lambda name, *without: (shutil.copytree(here / "tessera", tmp_path / name / "tessera", ignore=shutil.ignore_patterns("__pycache__", *without)), shutil.copy(here / "__spark_entry__.py", tmp_path / name))
+    run = lambda name: subprocess.run([sys.executable, "-c", ask], cwd=tmp_path / name, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
+    copy("bare", "llm")
+    done = run("bare")
+    assert done.returncode == 0 and done.stdout.split()[1] == "False", done.stderr
+    copy("broken")
+    (tmp_path / "broken" / "corpus_pipeline.py").write_text("import no_such_module\n")
+    assert run("broken").returncode != 0
+
+
 def test_every_query_but_those_listed_has_sql():
     lacking = {n for n in entry.queries() if n not in entry.oracle_sql()}
     assert all(n == "pipeline" or n.startswith("op") for n in lacking)
