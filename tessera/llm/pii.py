@@ -1,11 +1,14 @@
 """Personal data by base patterns and bootstrapped contextual extraction.
 
-Matches of the base patterns are seeds. The words before seeds induce lexical
-patterns; identifier-like strings that no base pattern takes are candidates. Patterns
-and the instances they precede form a graph, which Spark scores in rounds: a pattern
-is as sure as its instances and as specific as its words are to identifiers; an
-instance is as sure as its patterns together. Patterns that end up sure and rest on
-enough different seeds find the candidates after them.
+Matches of the base patterns are seeds; identifier-like strings that no base pattern takes
+are candidates. The words around identifiers induce lexical patterns: the last word before,
+the last two, the first word after, and the words on both sides. Patterns and the instances
+that they surround form a graph, which Spark scores in rounds: a pattern is as sure as the
+share of its instances that are known or that other patterns vouch for, and it must be
+specific, its words standing around identifiers in a good share of all their places; an
+instance is as sure as its sure patterns together. Instances that are accepted are known from
+then on, induce patterns as seeds do, and so on until nothing new is accepted. All places of
+accepted instances are found, whatever stands around them.
 
 Spans are in code points, end exclusive.
 """
@@ -13,25 +16,28 @@ Spans are in code points, end exclusive.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, stage
+from tessera.llm.common import bound_batches, drop_staged, free_name, lean, stage
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
-SURE = 0.8  # score of a pattern that finds
-SEEDS = 3  # different seeds that a pattern rests on at least
-SPECIFIC = 0.3  # share of all places of a pattern's word or words that stand before an identifier, at least
+SCORINGS = 3  # of the graph in each round
+MOST_ROUNDS = 20  # of induction; a chain of contexts longer than this is followed no further
+SURE = 0.5  # score of a pattern that vouches, at least
+ACCEPTED = 0.5  # score of an instance that is known from then on, at least
+SUPPORT = 3  # different known instances that a pattern rests on, at least
+SPECIFIC = 0.3  # share of all places of a pattern's words that stand around an identifier, at least
 COUNTED = 400_000  # words that a task counts before it passes them on
-LISTED = 50_000  # last words of patterns up to which tasks know them all and count no other pairs
+LISTED = 200_000  # patterns up to which all tasks know them; beyond, all words and pairs are counted and joined
+GAP = 3  # tokens of an identifier between two words, at most
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -40,7 +46,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"(?<!\w)\+?\(?[0-9](?:[\x20()./:-]{0,2}[0-9]){6,}(?!\w)")
-_SPELT = re.compile(r"(?<!\S)\S{1,64}\s?[\[(]at[\])]\s?\S{1,64}(?:\s?[\[(]dot[\])]\s?\S{1,64})*", re.IGNORECASE)
+_SPELT = re.compile(r"(?<!\S)\S+\s?[\[(]at[\])]\s?\S+(?:\s?[\[(]dot[\])]\s?\S+)*", re.IGNORECASE)
+_TOKEN = re.compile(r"\S+")
 _STRIP = ".,;:!?()[]{}<>\"'|=*"
 
 
@@ -97,9 +104,9 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     at = text.find("@")
     while at >= 0:
         s, e = at, at + 1
-        while s and not text[s - 1].isspace() and text[s - 1] != "@" and at - s < 64:
+        while s and not text[s - 1].isspace() and text[s - 1] != "@":
             s -= 1
-        while e < len(text) and not text[e].isspace() and text[e] != "@" and e - at < 64:
+        while e < len(text) and not text[e].isspace() and text[e] != "@":
             e += 1
         if s < at and e > at + 1:
             spans.append((s, e))
@@ -123,19 +130,39 @@ def word_of(token: str) -> str:
     return token.lower().strip(_STRIP)
 
 
-def words_before(text: str, start: int) -> tuple[str | None, str | None]:
-    """The last word before a place and the one before it, as ``word_of`` gives them."""
-    near = text[max(0, start - 160) : start].split()
-    words = [w for w in map(word_of, near) if w]
-    return (words[-1] if words else None), (words[-2] if len(words) > 1 else None)
+class Words:
+    """The words of a text by place: tokens as ``word_of`` gives them, without empty ones."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.tokens = [m.span() for m in _TOKEN.finditer(text)]
+        self.starts = [s for s, _ in self.tokens]
+
+    def around(self, start: int, end: int) -> tuple[str | None, str | None, str | None]:
+        """The last word before a span, the one before that, and the first word after it.
+        Of tokens that the span cuts, what stands outside of it counts."""
+        before: list[str] = []
+        k = bisect_left(self.starts, start) - 1
+        while k >= 0 and len(before) < 2:
+            s, e = self.tokens[k]
+            if word := word_of(self.text[s : min(e, start)]):
+                before.append(word)
+            k -= 1
+        after, k = None, max(0, bisect_right(self.starts, end) - 1)
+        while k < len(self.tokens) and not after:
+            s, e = self.tokens[k]
+            after = word_of(self.text[max(s, end) : e]) or None
+            k += 1
+        before += [None, None]
+        return before[0], before[1], after
 
 
 SPANS = "array<struct<kind:string,start:long,end:long>>"
-_SCAN = f"row long, key long, doc_id long, base {SPANS}, seen array<struct<kind:string,start:long,end:long,value:string,word:string,before:string,seed:boolean>>"
+_SCAN = f"row long, key long, doc_id long, base {SPANS}, seen array<struct<kind:string,start:long,end:long,value:string,word:string,before:string,after:string,seed:boolean>>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Each row's base spans, and every seed and candidate with the words before it.
+    """Each row's base spans, and every seed and candidate with the words around it.
     ``row`` tells rows apart once the result is staged; ``key`` is a hash of id and text."""
 
     bound_batches(docs.sparkSession)
@@ -143,128 +170,144 @@ def scan(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-        seen_type = pa.struct([*span, pa.field("value", pa.string()), pa.field("word", pa.string()), pa.field("before", pa.string()), pa.field("seed", pa.bool_())])
+        seen_type = pa.struct([*span, *(pa.field(name, pa.string()) for name in ("value", "word", "before", "after")), pa.field("seed", pa.bool_())])
         for batch in batches:
             rows, bases, seens = [], [], []
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 base = base_spans(text)
-                seen = []
+                seen, words = [], None
                 for seed, spans in ((True, base), (False, candidates(text, base))):
                     for kind, s, e in spans:
-                        word, before = words_before(text, s)
-                        seen.append({"kind": kind, "start": s, "end": e, "value": text[s:e].lower(), "word": word, "before": before, "seed": seed})
+                        words = words or Words(text)
+                        word, before, after = words.around(s, e)
+                        seen.append({"kind": kind, "start": s, "end": e, "value": text[s:e].lower(), "word": word, "before": before, "after": after, "seed": seed})
                 row += 1
                 rows.append(row)
                 bases.append([{"kind": k, "start": s, "end": e} for k, s, e in base])
                 seens.append(seen)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), batch.column(2), batch.column(0), pa.array(bases, pa.list_(span)), pa.array(seens, pa.list_(seen_type))], ["row", "key", "doc_id", "base", "seen"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long"), "text")).mapInArrow(run, _SCAN)
-
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long"), "text")).mapInArrow(lean(run), _SCAN)
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts; tasks add up their own words first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
 
-        def rows():
-            own: Counter = Counter()
-            for token, n in counts.items():
-                own[word_of(token)] += n
-            counts.clear()
-            return pa.record_batch({"word": pa.array(own.keys(), pa.string()), "n": pa.array(own.values(), pa.int64())})
+SIDES = ("left", "two", "right", "both")  # which words: (word,), (before, word), (after,), (word, after)
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update((text or "").lower().split())
-                if len(counts) > COUNTED:
-                    yield rows()
-        yield rows()
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def edges(scanned: DataFrame) -> DataFrame:
+    """(kind, side, one, two, value, seed, n): each pair of a pattern and an instance once,
+    with the number of its places; copies of a text weigh no more than one in scores."""
+    each = scanned.select(F.explode("seen").alias("s")).select("s.*")
+    none = F.lit(None).cast("string")
+    pattern = lambda side, one, two=none: F.struct(F.lit(side).alias("side"), one.alias("one"), two.alias("two"))
+    word, before, after = F.col("word"), F.col("before"), F.col("after")
+    made = F.array(
+        F.when(word.isNotNull(), pattern("left", word)),
+        F.when(before.isNotNull(), pattern("two", before, word)),
+        F.when(after.isNotNull(), pattern("right", after)),
+        F.when(word.isNotNull() & after.isNotNull(), pattern("both", word, after)),
+    )
+    flat = each.select("kind", "value", "seed", F.explode(F.array_compact(made)).alias("p"))
+    return flat.groupBy("kind", "p.side", "p.one", "p.two", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
 
 
-def pair_counts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(word, before, n) over all texts for those of ``pairs`` (word, before) that occur, words
-    following each other as in ``words_before``."""
-    lasts = pairs.select("word").distinct()
-    listed = {r[0] for r in lasts.collect()} if lasts.count() <= LISTED else None  # other words' pairs need not be passed on
+def place_counts(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(side, one, two, n): how often the words of each of ``patterns`` (side, one, two) stand
+    as the pattern has them, over all texts: a word; two words that follow each other; two
+    words with up to GAP tokens between them."""
+    wanted = patterns.select("side", "one", "two").distinct()
+    listed = {tuple(r) for r in wanted.collect()} if wanted.count() <= LISTED else None
+    if listed is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(({p[1] for p in listed}, listed))  # LISTED patterns at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+        firsts, known = shared.value if listed is not None else (None, None)
+        of = lru_cache(1 << 16)(word_of)
 
         def rows():
-            found = pa.record_batch({"word": pa.array([w for _, w in counts], pa.string()), "before": pa.array([b for b, _ in counts], pa.string()), "n": pa.array(counts.values(), pa.int64())})
+            found = pa.record_batch({name: pa.array([p[k] for p in counts], pa.string()) for k, name in enumerate(("side", "one", "two"))} | {"n": pa.array(counts.values(), pa.int64())})
             counts.clear()
             return found
 
-        of = lru_cache(1 << 16)(word_of)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 words = [w for w in map(of, (text or "").split()) if w]
-                counts.update(p for p in zip(words, words[1:]) if listed is None or p[1] in listed)
+                places = range(len(words)) if firsts is None else [k for k, w in enumerate(words) if w in firsts]
+                for k in places:
+                    one = words[k]
+                    made = [("left", one, None), ("right", one, None)]
+                    if k + 1 < len(words):
+                        made.append(("two", one, words[k + 1]))
+                    made += [("both", one, w) for w in set(words[k + 2 : k + 2 + GAP])]
+                    counts.update(p for p in made if known is None or p in known)
                 if len(counts) > COUNTED:
                     yield rows()
         yield rows()
 
-    counted = docs.select("text").mapInArrow(run, "word string, before string, n long")
-    return counted.join(pairs.distinct(), ["word", "before"], "left_semi").groupBy("word", "before").agg(F.sum("n").alias("n"))
-
-
-def sure_patterns(scanned: DataFrame, docs: DataFrame) -> DataFrame:
-    """(kind, word, before): patterns that find. ``before`` is null for patterns of one word.
-
-    Copies of a text weigh no more than one: the graph holds each pair of pattern and
-    instance once. Only patterns with enough seeds that also precede a candidate are
-    scored, as no other can find anything."""
-    each = scanned.select(F.explode("seen").alias("s")).select("s.*").where("word IS NOT NULL")
-    one = each.select("kind", "word", F.lit(None).cast("string").alias("before"), "value", "seed")
-    two = each.where("before IS NOT NULL").select("kind", "word", "before", "value", "seed")
-    both = one.union(two)
-    edges = both.groupBy("kind", "word", "before", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
-    able = edges.groupBy("kind", "word", "before").agg(F.sum(F.col("seed").cast("int")).alias("seeds"), F.sum((~F.col("seed")).cast("int")).alias("open"), F.sum("n").alias("places")).where((F.col("seeds") >= SEEDS) & (F.col("open") > 0))
-    able = stage(able.withColumn("pattern", F.xxhash64("kind", "word", "before")), "pii-patterns")
-    if able.isEmpty():
-        return able.select("kind", "word", "before")
-    # places of a word before any identifier, by all kinds, cannot exceed the places of the word
-    total = word_counts(docs).join(able.select("word").distinct(), "word", "left_semi")
-    specific = able.where("before IS NULL").join(total, "word")
-    pairs = able.where("before IS NOT NULL")
-    if not pairs.isEmpty():  # a pattern of two words by the places of both
-        specific = specific.unionByName(pairs.join(pair_counts(docs, pairs.select("word", "before")), ["word", "before"]))
-    specific = specific.where(F.col("places") / F.col("n") >= SPECIFIC)
-    graph = edges.withColumn("pattern", F.xxhash64("kind", "word", "before")).join(specific.select("pattern"), "pattern", "left_semi")
-    graph = stage(graph.select("pattern", F.xxhash64("kind", "value").alias("instance"), "seed"), "pii-graph")
-    score = F.when(F.col("seed"), 1.0).otherwise(0.0)
-    now = graph.withColumn("sure", score)
-    for _ in range(ROUNDS):
-        patterns = now.groupBy("pattern").agg(F.avg("sure").alias("p"))
-        linked = graph.join(patterns, "pattern")
-        # an instance is wrong only if all its patterns are
-        instances = linked.groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.least("p", F.lit(0.999)))))).alias("s"))
-        now = graph.join(instances, "instance").withColumn("sure", F.when(F.col("seed"), 1.0).otherwise(F.col("s"))).select("pattern", "instance", "seed", "sure")
-    sure = now.groupBy("pattern").agg(F.avg("sure").alias("p")).where(F.col("p") >= SURE)
-    return stage(specific.join(sure, "pattern").select("kind", "word", "before"), "pii-sure")
+    counted = docs.select("text").mapInArrow(lean(run), "side string, one string, two string, n long").groupBy("side", "one", "two").agg(F.sum("n").alias("n"))
+    same = counted["side"].eqNullSafe(wanted["side"]) & counted["one"].eqNullSafe(wanted["one"]) & counted["two"].eqNullSafe(wanted["two"])
+    return counted.join(wanted, same, "left_semi")
+
+
+def accepted(scanned: DataFrame, docs: DataFrame) -> DataFrame:
+    """(kind, value) of the candidates that the bootstrap accepts."""
+    each = stage(edges(scanned).withColumn("pattern", F.xxhash64("kind", "side", "one", "two")), "pii-edges")
+    # others can never find anything: they have no candidate, or too few instances to rest on
+    able = each.groupBy("pattern", "kind", "side", "one", "two").agg(F.sum(F.col("seed").cast("int")).alias("seeds"), F.sum((~F.col("seed")).cast("int")).alias("open"), F.sum("n").alias("places"))
+    able = stage(able.where((F.col("seeds") + F.col("open") >= SUPPORT) & (F.col("open") > 0)), "pii-patterns")
+    nothing = each.select("kind", "value").where("false")
+    if able.where(F.col("seeds") >= SUPPORT).isEmpty():
+        return nothing
+    counts = place_counts(docs, able).withColumnsRenamed({"side": "s", "one": "o", "two": "t", "n": "all"})
+    specific = able.join(counts, able["side"].eqNullSafe(counts["s"]) & able["one"].eqNullSafe(counts["o"]) & able["two"].eqNullSafe(counts["t"]))
+    specific = specific.where(F.col("places") >= SPECIFIC * F.col("all")).select("pattern")
+    graph = stage(each.join(specific, "pattern", "left_semi").select("pattern", F.xxhash64("kind", "value").alias("instance"), "kind", "value", "seed"), "pii-graph")
+    known = stage(graph.where("seed").select("instance").distinct(), "pii-known")
+    for _ in range(MOST_ROUNDS):
+        fresh = stage(score(graph, known).join(known, "instance", "left_anti"), "pii-fresh")
+        if fresh.isEmpty():
+            break
+        old, known = known, stage(known.union(fresh), "pii-known")
+        drop_staged(old)
+        drop_staged(fresh)
+    found = graph.where("NOT seed").join(known, "instance", "left_semi").select("kind", "value").distinct()
+    return stage(found, "pii-accepted")
+
+
+def score(graph: DataFrame, known: DataFrame) -> DataFrame:
+    """(instance) of those in ``graph`` (pattern, instance) that its sure patterns vouch for,
+    known ones included. A pattern that rests on enough known instances is as sure as its
+    instances on average: a known one counts 1, another one what its other patterns give."""
+    marked = graph.select("pattern", "instance").join(known.withColumn("known", F.lit(True)), "instance", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    marked = stage(marked, "pii-marked")
+    sure = F.when(F.col("known"), 1.0).otherwise(0.0)
+    now = marked.withColumn("sure", sure)
+    for _ in range(SCORINGS):
+        patterns = now.groupBy("pattern").agg(F.avg("sure").alias("p"), F.sum(F.col("known").cast("int")).alias("support")).where(F.col("support") >= SUPPORT)
+        doubt = F.log1p(-F.least(F.coalesce(F.col("p"), F.lit(0.0)), F.lit(0.999)))
+        linked = marked.join(patterns.select("pattern", "p"), "pattern", "left").withColumn("doubt", doubt)
+        vouched = F.col("p") >= SURE
+        total = linked.groupBy("instance").agg(F.sum("doubt").alias("total"), F.sum(F.when(vouched, F.col("doubt")).otherwise(0.0)).alias("vouched"))
+        now = linked.join(total, "instance").withColumn("sure", F.when(F.col("known"), 1.0).otherwise(1 - F.exp(F.col("total") - F.col("doubt"))))
+    out = now.where(1 - F.exp("vouched") >= ACCEPTED).select("instance").distinct()
+    return out
 
 
 def extract(docs: DataFrame) -> DataFrame:
     """Personal data in each row of ``docs`` (doc_id, text; other columns are ignored):
     (row, key, doc_id, base, found): arrays of (kind, start, end), base ones sorted by kind
-    as in KINDS, then start; found ones are what patterns add.
+    as in KINDS, then start; found ones are what the bootstrap adds.
 
     Null and empty texts have none. Rows of equal or null doc_id are rows of their own.
     Of overlapping candidates the first, then longest counts. An empty table gives an
     empty result."""
     scanned = stage(scan(docs), "pii-scan")
-    patterns = sure_patterns(scanned, docs)
-    if patterns.isEmpty():
+    values = accepted(scanned, docs)
+    if values.isEmpty():
         return scanned.select("row", "key", "doc_id", "base", F.array().cast(SPANS).alias("found"))
     open_ = scanned.select("row", F.explode(F.filter("seen", lambda s: ~s["seed"])).alias("s")).select("row", "s.*")
-    hit = open_.join(patterns.where("before IS NULL").select("kind", "word").distinct(), ["kind", "word"], "left_semi").unionByName(
-        open_.join(patterns.where("before IS NOT NULL").select("kind", "word", "before").distinct(), ["kind", "word", "before"], "left_semi")
-    )
+    hit = open_.join(values, ["kind", "value"], "left_semi")
     found = hit.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("found"))
     return scanned.select("row", "key", "doc_id", "base").join(found, "row", "left").select("row", "key", "doc_id", "base", F.coalesce("found", F.array().cast(SPANS)).alias("found"))
 
@@ -277,19 +320,21 @@ def joined(spans: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in texts replaced by marks such as <EMAIL>, n_chars
-    renewed, other columns unchanged. Overlapping spans become one, named by the first."""
+    renewed, other columns, whatever their names, unchanged. Overlapping spans become one,
+    named by the first."""
     names = docs.columns
+    key, mark = free_name(docs, "key"), free_name(docs, "found")
     # rows are found again by what they hold: equal rows hold equal spans
-    held = stage(extract(docs).where(F.size("found") > 0).groupBy("key").agg(F.first("found").alias("_found")), "pii-found")
+    held = stage(extract(docs).where(F.size("found") > 0).groupBy("key").agg(F.first("found").alias(mark)), "pii-found")
     if held.isEmpty():
-        marked = docs.withColumn("_found", F.array().cast(SPANS))
+        marked = docs.withColumn(mark, F.array().cast(SPANS))
     else:
-        marked = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "text")).join(held.withColumnRenamed("key", "_key"), "_key", "left").withColumn("_found", F.coalesce("_found", F.array().cast(SPANS)))
+        marked = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), "text")).join(held.withColumnRenamed("key", key), key, "left").withColumn(mark, F.coalesce(mark, F.array().cast(SPANS)))
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series, founds: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def clean(texts: pa.Array, founds: pa.Array) -> pa.Array:
         out = []
-        for text, found in zip(texts, founds):
+        for text, found in zip(texts.to_pylist(), founds.to_pylist()):
             spans = [] if text is None else sorted([(s, -e, k) for k, s, e in base_spans(text)] + [(f["start"], -f["end"], f["kind"]) for f in found])
             parts, at = [], 0
             for s, minus, kind in spans:
@@ -297,9 +342,9 @@ def redact(docs: DataFrame) -> DataFrame:
                     parts += [text[at:s], f"<{kind.upper()}>"]
                 at = max(at, -minus)
             out.append(text if text is None or not spans else "".join(parts) + text[at:])
-        return pd.Series(out, dtype=object)
+        return pa.array(out, pa.string())
 
-    cleaned = marked.withColumn("text", clean("text", "_found"))
+    cleaned = marked.withColumn("text", clean.asNondeterministic()("text", mark))  # once, whatever follows
     if "n_chars" in names:
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast("long"))
     return cleaned.select(*names)

@@ -98,5 +98,121 @@ def test_two_words_count_by_their_own_places(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r["doc_id"]: [(f["kind"], f["start"], f["end"]) for f in r["found"]] for r in pii.extract(df).collect()}
     assert found[100] == [("phone", 19, 31)] and found[101] == []
-    counts = {(r["before"], r["word"]): r["n"] for r in pii.pair_counts(df, spark.createDataFrame([("at", "me"), ("at", "it"), ("noon", "at"), ("x", "y")], "word string, before string")).collect()}
-    assert counts == {("me", "at"): 14, ("it", "at"): 60, ("at", "noon"): 60}
+
+
+def plain_places(texts, pattern):
+    """How often the words of a pattern stand as it has them."""
+    side, one, two = pattern
+    n = 0
+    for text in texts:
+        words = [w for w in map(pii.word_of, (text or "").split()) if w]
+        for k, w in enumerate(words):
+            if w == one:
+                n += side in ("left", "right") or (side == "two" and words[k + 1 : k + 2] == [two]) or (side == "both" and two in words[k + 2 : k + 5])
+    return n
+
+
+def plain_bootstrap(texts):
+    """Accepted (kind, value), by loops over one graph."""
+    places, seeds = Counter(), set()
+    for text in texts:
+        text = text or ""
+        base = pii.base_spans(text)
+        for seed, spans in ((True, base), (False, pii.candidates(text, base))):
+            for kind, s, e in spans:
+                words = lambda part: [w for w in map(pii.word_of, part.split()) if w]
+                left, right = words(text[:s]), words(text[e:])
+                value = (kind, text[s:e].lower())
+                seeds |= {value} if seed else set()
+                if left:
+                    places[("left", left[-1], None), value] += 1
+                if len(left) > 1:
+                    places[("two", left[-2], left[-1]), value] += 1
+                if right:
+                    places[("right", right[0], None), value] += 1
+                if left and right:
+                    places[("both", left[-1], right[0]), value] += 1
+    of = {}
+    for p, v in places:
+        of.setdefault((v[0], p), set()).add(v)
+    keep = {}
+    for (kind, p), values in of.items():
+        if len(values) >= 3 and values - seeds:
+            all_ = plain_places(texts, p)
+            if sum(places[p, v] for v in values) >= 0.3 * all_:
+                keep[kind, p] = values
+    known = {v for values in keep.values() for v in values} & seeds
+    while True:
+        sure = {(p, v): float(v in known) for p, values in keep.items() for v in values}
+        for _ in range(3):
+            score = {p: sum(sure[p, v] for v in values) / len(values) for p, values in keep.items() if len(values & known) >= 3}
+            doubt = {(p, v): math.log1p(-min(score.get(p, 0.0), 0.999)) for p, v in sure}
+            total, vouched = Counter(), Counter()
+            for (p, v), d in doubt.items():
+                total[v] += d
+                vouched[v] += d if score.get(p, 0) >= 0.5 else 0
+            sure = {(p, v): 1.0 if v in known else 1 - math.exp(total[v] - doubt[p, v]) for p, v in sure}
+        fresh = {v for v in vouched if 1 - math.exp(vouched[v]) >= 0.5} - known
+        if not fresh:
+            return {v for values in keep.values() for v in values if v in known and v not in seeds}
+        known |= fresh
+
+
+def planted(seed):
+    """Texts with seeds in contexts, unseen identifiers in the same and in further contexts,
+    and numbers that are none; with the values that are identifiers."""
+    rng = random.Random(seed)
+    filler = [f"word{k}" for k in range(60)]
+    say = lambda n: " ".join(rng.choice(filler) for _ in range(n))
+    number = lambda: f"{rng.randint(200, 999)} {rng.randint(200, 999)} {rng.randint(1000, 9999)}"
+    texts, true = [], set()
+    for k in range(30):
+        texts.append(f"{say(5)} dial +1 {number()} {say(4)}")
+        texts.append(f"{say(3)} ring me under +1 {number()} anytime {say(4)}")
+        texts.append(f"{say(4)} mail to u{k}@mail.example.com please {say(2)}")
+    for _ in range(12):  # the context of the seeds, and a word after that seeds never have
+        n = number()
+        true.add(("phone", n))
+        texts.append(f"{say(3)} dial {n} extension {say(3)}")
+    for _ in range(8):  # only that word
+        n = number()
+        true.add(("phone", n))
+        texts.append(f"{say(2)} {n} extension {say(3)}")
+    for k in range(6):
+        true.add(("email", f"x{k}(at)mail(dot)org"))
+        texts.append(f"mail to x{k}(at)mail(dot)org please {say(3)}")
+    for _ in range(40):
+        texts.append(f"{say(3)} {number()} {say(3)} order {number()} pieces {say(2)}")
+    return texts, true
+
+
+def test_bootstrap_against_brute_force_and_planted_cases(spark, monkeypatch):
+    for seed in (1, 2):
+        texts, true = planted(seed)
+        df = spark.createDataFrame(list(enumerate(texts)) + [(None, None), (7, "")], "doc_id long, text string")
+        scanned = pii.stage(pii.scan(df), "test-scan")
+        want = plain_bootstrap(texts)
+        for listed in (200_000, 0):
+            monkeypatch.setattr(pii, "LISTED", listed)
+            assert {tuple(r) for r in pii.accepted(scanned, df).collect()} == want
+        assert len(want & true) >= 0.95 * len(true) and len(want - true) <= 0.05 * len(want)
+
+
+def test_places_are_counted_as_patterns_have_them(spark):
+    texts = ["he looked at it at noon at home at last", "(me, at) 1 x y z", "me at", None, "at a b c d e at"]
+    asked = [("left", "at", None), ("two", "me", "at"), ("right", "noon", None), ("both", "at", "at"), ("both", "at", "z"), ("both", "at", "e"), ("two", "x", "q")]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {(r["side"], r["one"], r["two"]): r["n"] for r in pii.place_counts(df, spark.createDataFrame(asked, "side string, one string, two string")).collect()}
+    assert got == {p: n for p in asked if (n := plain_places(texts, p))}
+
+
+def test_words_around_spans_have_no_limit():
+    text = "call " + "* " * 500 + "x" * 400 + " | 123 456 789 " + "| " * 300 + "now"
+    s = text.index("123")
+    assert pii.Words(text).around(s, s + 11) == ("x" * 400, "call", "now")
+    assert pii.Words("tel:123end").around(4, 7) == ("tel", None, "end")
+    assert pii.Words("123").around(0, 3) == (None, None, None)
+    long = "a" * 300 + "@" + "b" * 300
+    assert pii.candidates(long, []) == [("email", 0, 601)]
+    spelt = "c" * 200 + "(at)" + "d" * 200 + "(dot)org"
+    assert ("email", 0, len(spelt)) in pii.candidates(spelt, [])
