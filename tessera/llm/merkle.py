@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, shuffle_partitions
+from tessera.llm.common import bound_batches, lean, shuffle_partitions
 
 PIECE = 96  # code points of a piece at most
 RUN = 4  # a piece has about so many words
@@ -64,84 +64,115 @@ def _short(digest: bytes) -> str:
     return base64.urlsafe_b64encode(digest[:6]).decode()
 
 
+class Node:
+    """A branch or piece: hash (bytes), how many pieces and code points it has, and branches
+    below. A paragraph's code points hold its line's end."""
+
+    __slots__ = ("below", "digest", "length", "pieces")
+
+    def __init__(self, digest: bytes, length: int, below: list[Node] | None = None):
+        self.digest, self.length, self.below = digest, length, below
+        self.pieces = 1 if below is None else sum(b.pieces for b in below)
+
+
 class Tree:
-    """root (hex) and sections: lists of paragraphs (hash, pieces), a piece being
-    (hash, length in code points). A paragraph holds its line's end."""
+    """root (hex) and sections, nodes of paragraphs, which are nodes of pieces."""
 
     def __init__(self, text: str):
-        self.sections: list[tuple[str, list[tuple[str, list[tuple[str, int]]]]]] = []
-        now: list[tuple[bytes, tuple[str, list[tuple[str, int]]]]] = []
+        self.sections: list[Node] = []
+        now: list[Node] = []
         digests: list[bytes] = []
 
         def end():
             if now:
-                digest = _hash(b"s" + b"".join(d for d, _ in now))
+                digest = _hash(b"s" + b"".join(p.digest for p in now))
                 digests.append(digest)
-                self.sections.append((_short(digest), [p for _, p in now]))
+                self.sections.append(Node(digest, sum(p.length for p in now), list(now)))
                 now.clear()
 
         for line in text.split("\n"):
-            pieces = _pieces(line)
-            own = [_hash(p.encode("utf-8", "surrogatepass")) for p in pieces]
-            digest = _hash(b"p" + b"".join(own))
-            now.append((digest, (_short(digest), [(_short(d), len(p)) for d, p in zip(own, pieces)])))
+            pieces = [Node(_hash(p.encode("utf-8", "surrogatepass")), len(p)) for p in _pieces(line)]
+            digest = _hash(b"p" + b"".join(p.digest for p in pieces))
+            now.append(Node(digest, len(line) + 1, pieces))
             if not line.strip() or digest[0] % SECTION == 0:
                 end()
         end()
         self.root = _hash(b"d" + b"".join(digests) + hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()).hex()
+        self.pieces = sum(s.pieces for s in self.sections)
 
     def __str__(self) -> str:
-        return self.root + "|" + "/".join(f"{s}:" + ";".join(f"{p}=" + "".join(h for h, _ in pieces) for p, pieces in paragraphs) for s, paragraphs in self.sections)
-
-
-def leaves(fingerprint: str) -> list[str]:
-    """Hashes of all pieces, in order."""
-    found = []
-    for section in fingerprint.split("|", 1)[1].split("/"):
-        for paragraph in section.partition(":")[2].split(";"):
-            pieces = paragraph.partition("=")[2]
-            found += [pieces[k : k + 8] for k in range(0, len(pieces), 8)]
-    return found
+        return self.root + "|" + "/".join(f"{_short(s.digest)}:" + ";".join(f"{_short(p.digest)}=" + "".join(_short(x.digest) for x in p.below) for p in s.below) for s in self.sections)
+
+
+def parse(fingerprint: str) -> Tree:
+    """The tree of a fingerprint; it knows hashes (as the fingerprint has them), not lengths."""
+    tree = Tree.__new__(Tree)
+    tree.root, _, rest = fingerprint.partition("|")
+    tree.sections = []
+    for section in rest.split("/"):
+        own, _, paragraphs = section.partition(":")
+        below = []
+        for paragraph in paragraphs.split(";"):
+            name, _, pieces = paragraph.partition("=")
+            below.append(Node(name.encode(), 0, [Node(pieces[k : k + 8].encode(), 0) for k in range(0, len(pieces), 8)]))
+        tree.sections.append(Node(own.encode(), 0, below))
+    tree.pieces = sum(s.pieces for s in tree.sections)
+    return tree
+
+
+def compare(one: Tree, other: Tree) -> tuple[float, list[tuple[int, int]]]:
+    """How like two trees are, and the spans of code points of ``one`` whose pieces ``other``
+    lacks. Branches of equal hash are alike as wholes and not looked into; of the others the
+    branches below are compared, down to the pieces; repeats count. The likeness, 0 to 1, is
+    twice the common pieces over all, and 1 only if the roots are equal."""
+    if one.root == other.root:
+        return 1.0, []
+    own: list[tuple[Node, int]] = []
+    at = 0
+    for section in one.sections:
+        own.append((section, at))
+        at += section.length
+    theirs, common = list(other.sections), 0
+    for level in range(3):
+        there = Counter(node.digest for node in theirs)
+        alike = there & Counter(node.digest for node, _ in own)
+        left: list[tuple[Node, int]] = []
+        taken = Counter(alike)
+        for node, at in own:
+            if taken[node.digest] > 0:
+                taken[node.digest] -= 1
+                common += node.pieces
+            elif level == 2:
+                left.append((node, at))
+            else:
+                for below in node.below:
+                    left.append((below, at))
+                    at += below.length
+        rest: list[Node] = []
+        for node in theirs:
+            if alike[node.digest] > 0:
+                alike[node.digest] -= 1
+            elif level < 2:
+                rest += node.below
+        own, theirs = left, rest
+    spans: list[tuple[int, int]] = []
+    for node, at in own:
+        if spans and spans[-1][1] == at:
+            spans[-1] = (spans[-1][0], at + node.length)
+        else:
+            spans.append((at, at + node.length))
+    total = one.pieces + other.pieces
+    return (min(2.0 * common / total, 1 - 1e-9) if total else 0.0), spans
 
 
 def likeness(one: str, other: str) -> float:
-    """0 to 1: the share of pieces that two fingerprints have in common, repeats counted
-    (twice the common pieces over all). 1 only if the roots are equal."""
-    if one[:32] == other[:32]:
-        return 1.0
-    a, b = leaves(one), leaves(other)
-    if not a and not b:
-        return 0.0
-    common = sum((Counter(a) & Counter(b)).values())
-    return min(2.0 * common / (len(a) + len(b)), 1 - 1e-9)
+    """``compare`` of two fingerprints."""
+    return compare(parse(one), parse(other))[0]
 
 
 def edits(one: Tree, other: Tree) -> list[tuple[int, int]]:
-    """Spans of code points of ``one`` whose pieces ``other`` lacks: equal sections and
-    paragraphs are skipped by their hash alone. Line ends count with their line."""
-    if one.root == other.root:
-        return []
-    sections = Counter(s for s, _ in other.sections)
-    paragraphs = Counter(p for _, ps in other.sections for p, _ in ps)
-    pieces = Counter(h for _, ps in other.sections for _, hs in ps for h, _ in hs)
-    spans, at = [], 0
-    for s, ps in one.sections:
-        whole = sections[s] > 0
-        sections[s] -= whole
-        for p, hs in ps:
-            same = whole or paragraphs[p] > 0
-            paragraphs[p] -= same
-            for h, n in hs:
-                if not same and pieces[h] <= 0:
-                    if spans and spans[-1][1] == at:
-                        spans[-1] = (spans[-1][0], at + n)
-                    else:
-                        spans.append((at, at + n))
-                elif not same:
-                    pieces[h] -= 1
-                at += n
-            at += 1
-    return spans
+    """Spans of code points of ``one`` whose pieces ``other`` lacks."""
+    return compare(one, other)[1]
 
 
 def fingerprint(text: str | None) -> str:
@@ -182,21 +213,22 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(text)
         half = n // 2
         edited = text[: n - half] + after[1][:half]
-        fresh = fingerprint(edited)
-        return {"doc_id": doc_id, "n_chars": n, "edited_sha256": hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), "fingerprint": own, "edited_fingerprint": fresh, "near_edited": likeness(own, fresh), "near_next": likeness(own, after[2])}
+        fresh = Tree(edited)
+        like, spans = compare(own, fresh)
+        return {"doc_id": doc_id, "n_chars": n, "edited_sha256": hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), "fingerprint": str(own), "edited_fingerprint": str(fresh), "near_edited": like, "near_next": compare(own, after[2])[0], "edits": ",".join(f"{s}:{e}" for s, e in spans)}
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("edits", pa.string())])
     last, part, closed = None, None, False
     for batch in batches:
         parts, roles, ids = (batch.column(k).to_pylist() for k in (0, 1, 2))
-        for at in range(0, batch.num_rows, 500):
+        for at in range(0, batch.num_rows, 250):
             out = []
-            for k, text in enumerate(batch.column(3).slice(at, 500).to_pylist(), at):
+            for k, text in enumerate(batch.column(3).slice(at, 250).to_pylist(), at):
                 if parts[k] != part:
                     last, part, closed = None, parts[k], False
                 if closed:
                     continue
-                row = (ids[k], text or "", fingerprint(text))
+                row = (ids[k], text or "", Tree(text or ""))
                 if last is not None:
                     out.append(emit(last, row))
                 last, closed = row, roles[k] == 1
@@ -210,8 +242,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     all) of the next document by ascending doc_id; the first follows the last.
 
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next. A fingerprint is the root (32 hex digits), a bar, and the
-    tree's hashes: sections parted by /, with paragraphs parted by ;, with pieces.
+    near_edited, near_next, edits. A fingerprint is the root (32 hex digits), a bar, and the
+    tree's hashes: sections parted by /, with paragraphs parted by ;, with pieces. edits are
+    the spans of the text whose pieces the edited text lacks (start:end, comma-joined).
     Null texts count as empty. Rows with equal doc_id follow each other in order of
     text, null doc_ids come first. A lone row is its own successor; an empty table
     gives an empty result."""
@@ -219,7 +252,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     bound_batches(docs.sparkSession)
     n = shuffle_partitions(docs.sparkSession)
     return spread.repartition(max(parts, n), "part").sortWithinPartitions("part", "role", "doc_id", "text").mapInArrow(
-        _compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+        lean(_compare), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edits string"
     )
 
 

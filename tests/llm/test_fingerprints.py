@@ -1,5 +1,8 @@
 import hashlib
 import random
+import re
+import zlib
+from collections import Counter
 
 from tessera.llm import merkle
 from tessera.llm.merkle import Tree, edits, fingerprint, likeness
@@ -52,3 +55,45 @@ def test_likeness_does_not_depend_on_length():
         assert sum(e - s for s, e in edits(Tree(text), Tree(edited))) < 0.65 * len(text), n
     line = "".join(random.choice("日本語文書木林森山川") for _ in range(900))
     assert "".join(merkle._pieces(line)) == line and likeness(fingerprint(line), fingerprint(line[:430])) > 0.5
+
+
+def plain_pieces(line):
+    """Runs of words that end after a word whose CRC is 0 modulo 4, or before 96 code points are passed."""
+    words = re.findall(r"[　-\U0010ffff]\s*|[^\s　-\U0010ffff]{1,32}\s*|\s+", line)
+    found = [""]
+    for w in words:
+        if found[-1] and len(found[-1] + w) > 96:
+            found.append("")
+        found[-1] += w
+        if zlib.crc32(w.rstrip().encode()) % 4 == 0:
+            found.append("")
+    return [p for p in found if p]
+
+
+def plain_root(text):
+    h = lambda data: hashlib.blake2b(data, digest_size=16).digest()
+    sections, now = [], []
+    for line in text.split("\n"):
+        now.append(h(b"p" + b"".join(h(p.encode()) for p in plain_pieces(line))))
+        if not line.strip() or now[-1][0] % 8 == 0:
+            sections.append(h(b"s" + b"".join(now)))
+            now = []
+    sections += [h(b"s" + b"".join(now))] if now else []
+    return h(b"d" + b"".join(sections) + hashlib.sha256(text.encode()).digest()).hex()
+
+
+def test_trees_against_brute_force():
+    rng = random.Random(7)
+    line = lambda: " ".join(rng.choice(["aa", "bcd", "efgh", "日本", "i" * 40, "", "jk"]) for _ in range(rng.randint(0, 30)))
+    lines = [line() for _ in range(12)]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randint(0, 25))) for _ in range(40)]
+    for t in texts:
+        assert fingerprint(t)[:32] == plain_root(t) and str(merkle.parse(fingerprint(t))) .count("/") == fingerprint(t).count("/")
+    for a in texts:
+        for b in texts:
+            own, other = ([p for x in t.split("\n") for p in plain_pieces(x)] for t in (a, b))
+            common = sum((Counter(own) & Counter(other)).values())
+            want = 1.0 if a == b else min(2 * common / (len(own) + len(other)), 1 - 1e-9) if own or other else 0.0
+            assert merkle.compare(Tree(a), Tree(b))[0] == likeness(fingerprint(a), fingerprint(b)) == want
+            lacking = "".join(a[s:e] for s, e in edits(Tree(a), Tree(b))).replace("\n", "")
+            assert a == b or sorted(lacking) == sorted("".join((Counter(own) - Counter(other)).elements()))
