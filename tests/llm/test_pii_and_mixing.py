@@ -71,7 +71,7 @@ def test_mix(spark, docs, none):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, slot string")
     size = {r[0]: len(r[1] or "") // 4 for r in rows}
     source = {r[0]: r[2] for r in rows}
-    got = mixing.mix(df, max_repeats=2.0).select("doc_id", "slot", "_mix.*").toDF("doc_id", "own", "tokens", "epoch", "slot", "draw").collect()
+    got = mixing.mix(df, max_repeats=2.0).select("doc_id", "slot", "_mix.*").toDF("doc_id", "own", "tokens", "epoch", "block", "slot", "draw").collect()
     uses = Counter(r["doc_id"] for r in got)
     assert set(uses) == set(size) and max(uses.values()) <= 2 and {r["own"] for r in got} == {"z"}
     totals, out = Counter(), Counter()
@@ -87,10 +87,55 @@ def test_mix(spark, docs, none):
     assert all(r["epoch"] == 0 for r in budget if uses[r["doc_id"]] == 0) and 0 <= min(r["slot"] for r in got) and max(r["slot"] for r in got) < 1024
     again = mixing.mix(df, max_repeats=2.0).select("doc_id", "_mix.*").collect()
     assert sorted((r["doc_id"], r["epoch"], r["slot"]) for r in again) == sorted((r["doc_id"], r["epoch"], r["slot"]) for r in got)
+    clash = docs.withColumns({"_id": F.lit("i"), "_source": F.lit("s"), "_row": F.lit(0), "_mix": F.lit(1), "_block": F.lit(2)})
+    assert mixing.mix(clash).columns == [*clash.columns, "__mix"] and {r["_id"] for r in mixing.mix(clash).collect()} == {"i"}
     assert mixing.mix(none).count() == 0 and mixing.mix(docs).drop("_mix").columns == docs.columns
     assert math.isclose(sum(p.weights), 1)
 
 
+def test_limits_that_cannot_be_met_are_refused():
+    with pytest.raises(ValueError):
+        mixing.plan([1000, 100], budget=5000, max_repeats=2.0)
+    assert max(mixing.plan([1000, 100], budget=2200, max_repeats=2.0).epochs) <= 2 * (1 + 1e-9)
+
+
+def test_blocks_are_permuted_one_to_one(spark):
+    for bits in (0, 1, 2, 3, 7, 10):
+        df = spark.range(1 << bits).select("id", F.lit(bits).alias("bits"))
+        orders = [tuple(r[0] for r in df.select(mixing.permuted(F.col("id"), F.col("bits"), F.lit(key).cast("long"))).collect()) for key in (1, 2)]
+        assert all(sorted(o) == list(range(1 << bits)) for o in orders) and (bits < 3 or orders[0] != orders[1])
+    top = spark.createDataFrame([((1 << mixing.MOST_BITS) - 1, mixing.MOST_BITS)], "id long, bits int")
+    assert 0 <= top.select(mixing.permuted(F.col("id"), F.col("bits"), F.lit(5).cast("long"))).first()[0] < 1 << mixing.MOST_BITS
+
+
+def test_mix_against_draws_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 20)
+    rng = random.Random(6)
+    rows = [(k, "x" * rng.randint(0, 60), rng.choice(["a", "a", "a", "b", None])) for k in range(500)] + [(3, "yy", "a"), (None, "zzzz", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for options in ({"max_repeats": 2.5}, {"budget": 900.0, "max_repeats": None, "target_entropy": 0.8}):
+        want = Counter()
+        names = sorted({r[2] for r in rows}, key=lambda s: "n" if s is None else "s" + s)
+        of = {s: [(r[0], -(-len(r[1]) // 4)) for r in rows if r[2] == s] for s in names}
+        p = mixing.plan([sum(n for _, n in of[s]) for s in names], **options)
+        for s, epochs in zip(names, p.epochs):
+            total, full = sum(n for _, n in of[s]), math.floor(epochs + 1e-9)
+            bits = (len(of[s]) // 20).bit_length()
+            ids = spark.createDataFrame([(i, n, bits, "n" if s is None else "s" + s) for i, n in of[s]], "_id long, n long, _bits int, _source string").withColumn("_block", mixing._block(F.col("_bits"), 7))
+            want.update((i, e) for i, _ in of[s] for e in range(full))
+            left = int((epochs - full) * total)
+            groups = {}
+            for r in ids.select("_id", "n", mixing._rank(F.lit(full), 7).alias("rank"), mixing._draw(F.lit(full), 7).alias("draw")).collect():
+                groups.setdefault((r["rank"], r["draw"]), []).append((r["_id"], r["n"]))
+            for place in sorted(groups):  # documents of one id are drawn together
+                left -= sum(n for _, n in groups[place])
+                if left < 0 or epochs - full <= 0:
+                    break
+                want.update((i, full) for i, _ in groups[place])
+        got = mixing.mix(df, **options).select("doc_id", "_mix.epoch").collect()
+        assert Counter(map(tuple, got)) == want
+
+
 def test_two_words_count_by_their_own_places(spark):
     rows = [(k, f"you can reach me at +1 456 555 {1000 + k} or not {k % 7}") for k in range(12)]
     rows += [(100, "please reach me at 456 555 7777 today"), (101, "we are at 456 555 8888 now"), (102, "sat (me, at) 12345678 once")]
