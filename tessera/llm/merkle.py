@@ -17,6 +17,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -33,21 +34,28 @@ SECTION = 8  # a section has about so many paragraphs
 _WORDS = re.compile(r"[\u3000-\U0010ffff]\s*|[^\s\u3000-\U0010ffff]{1,32}\s*|\s+")
 
 
-@lru_cache(1 << 16)
+@lru_cache(1 << 17)
 def _ends(word: str) -> bool:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % RUN == 0
+    return zlib.crc32(word.rstrip().encode("utf-8", "surrogatepass")) % RUN == 0
 
 
 def _pieces(line: str) -> list[str]:
     """The line cut after words that end a piece, and where a piece would grow beyond PIECE
     code points (but white space is never cut)."""
+    words = _WORDS.findall(line)
+    places = list(accumulate(map(len, words)))
+    cuts = [at for at, end in zip(places, map(_ends, words)) if end]
+    if words and (not cuts or cuts[-1] < len(line)):
+        cuts.append(len(line))
+    pieces = [line[a:b] for a, b in zip([0, *cuts], cuts)]
+    if not pieces or max(map(len, pieces)) <= PIECE:
+        return pieces
     found, start, at = [], 0, 0
-    for word in _WORDS.findall(line):
-        end = at + len(word)
+    for word, end in zip(words, places):
         if end - start > PIECE and at > start:
             found.append(line[start:at])
             start = at
-        if _ends(word.rstrip()):
+        if _ends(word):
             found.append(line[start:end])
             start = end
         at = end
@@ -65,43 +73,51 @@ def _short(digest: bytes) -> str:
 
 
 class Node:
-    """A branch or piece: hash (bytes), how many pieces and code points it has, and branches
-    below. A paragraph's code points hold its line's end."""
+    """A branch or piece: hash (bytes, and as fingerprints have it), how many pieces and code
+    points it has, and branches below. A paragraph's code points hold its line's end."""
+
+    __slots__ = ("below", "digest", "length", "name", "pieces")
 
-    __slots__ = ("below", "digest", "length", "pieces")
+    def __init__(self, digest: bytes, length: int, below: list[Node] | None = None, name: str | None = None):
+        self.digest, self.length, self.below, self.name = digest, length, below, name or _short(digest)
+        self.pieces = 1 if below is None else sum([b.pieces for b in below])
 
-    def __init__(self, digest: bytes, length: int, below: list[Node] | None = None):
-        self.digest, self.length, self.below = digest, length, below
-        self.pieces = 1 if below is None else sum(b.pieces for b in below)
+
+@lru_cache(1 << 16)
+def _leaf(piece: str) -> Node:
+    return Node(_hash(piece.encode("utf-8", "surrogatepass")), len(piece))
 
 
 class Tree:
-    """root (hex) and sections, nodes of paragraphs, which are nodes of pieces."""
+    """root (hex) and sections, nodes of paragraphs, which are nodes of pieces. Paragraphs of
+    lines that ``known`` trees have are theirs."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, *known: Tree):
         self.sections: list[Node] = []
+        self.lines: dict[str, Node] = {}
         now: list[Node] = []
-        digests: list[bytes] = []
 
         def end():
-            if now:
-                digest = _hash(b"s" + b"".join(p.digest for p in now))
-                digests.append(digest)
-                self.sections.append(Node(digest, sum(p.length for p in now), list(now)))
-                now.clear()
+            digest = _hash(b"s" + b"".join([p.digest for p in now]))
+            self.sections.append(Node(digest, sum([p.length for p in now]), list(now)))
+            now.clear()
 
         for line in text.split("\n"):
-            pieces = [Node(_hash(p.encode("utf-8", "surrogatepass")), len(p)) for p in _pieces(line)]
-            digest = _hash(b"p" + b"".join(p.digest for p in pieces))
-            now.append(Node(digest, len(line) + 1, pieces))
-            if not line.strip() or digest[0] % SECTION == 0:
+            node = self.lines.get(line) or next((t.lines[line] for t in known if line in t.lines), None)
+            if node is None:
+                pieces = list(map(_leaf, _pieces(line)))
+                node = Node(_hash(b"p" + b"".join([p.digest for p in pieces])), len(line) + 1, pieces)
+            self.lines[line] = node
+            now.append(node)
+            if not line.strip() or node.digest[0] % SECTION == 0:
                 end()
-        end()
-        self.root = _hash(b"d" + b"".join(digests) + hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()).hex()
-        self.pieces = sum(s.pieces for s in self.sections)
+        if now:
+            end()
+        self.root = _hash(b"d" + b"".join([s.digest for s in self.sections]) + hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()).hex()
+        self.pieces = sum([s.pieces for s in self.sections])
 
     def __str__(self) -> str:
-        return self.root + "|" + "/".join(f"{_short(s.digest)}:" + ";".join(f"{_short(p.digest)}=" + "".join(_short(x.digest) for x in p.below) for p in s.below) for s in self.sections)
+        return self.root + "|" + "/".join([f"{s.name}:" + ";".join([f"{p.name}=" + "".join([x.name for x in p.below]) for p in s.below]) for s in self.sections])
 
 
 def parse(fingerprint: str) -> Tree:
@@ -114,8 +130,9 @@ def parse(fingerprint: str) -> Tree:
         below = []
         for paragraph in paragraphs.split(";"):
             name, _, pieces = paragraph.partition("=")
-            below.append(Node(name.encode(), 0, [Node(pieces[k : k + 8].encode(), 0) for k in range(0, len(pieces), 8)]))
-        tree.sections.append(Node(own.encode(), 0, below))
+            leaves = [pieces[k : k + 8] for k in range(0, len(pieces), 8)]
+            below.append(Node(name.encode(), 0, [Node(x.encode(), 0, None, x) for x in leaves], name))
+        tree.sections.append(Node(own.encode(), 0, below, own))
     tree.pieces = sum(s.pieces for s in tree.sections)
     return tree
 
@@ -213,7 +230,7 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(text)
         half = n // 2
         edited = text[: n - half] + after[1][:half]
-        fresh = Tree(edited)
+        fresh = Tree(edited, own, after[2])
         like, spans = compare(own, fresh)
         return {"doc_id": doc_id, "n_chars": n, "edited_sha256": hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), "fingerprint": str(own), "edited_fingerprint": str(fresh), "near_edited": like, "near_next": compare(own, after[2])[0], "edits": ",".join(f"{s}:{e}" for s, e in spans)}
 
