@@ -19,98 +19,289 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, new_path, shuffle_partitions, stage
+from tessera.llm.common import bound_batches, drop_staged, lean, new_path, shuffle_partitions, stage
 from tessera.llm.files import Attempt, filesystem
 
 SCALE_BITS = 20
 LOW = np.uint64(1 << 32)
 BLOCK_IDS = 1 << 20  # a block ends with the document that reaches this many
 FILE_BYTES = 256 << 20
+APART = 128  # steps from one checkpoint to the next
 MAGIC = b"TSRANS01"
-HEAD = struct.Struct("<4sQQQIIIIIIII")  # mark, body bytes, first id's place, ids, documents, lanes, steps, words, checkpoints, steps apart, CRC of ids, CRC of body
-
+HEAD = struct.Struct("<4sQQQIIIIIII")  # mark, bytes from the head to the words, first id's place, ids, documents, lanes, steps, words, parts, bytes of documents, CRC of all up to the words
+PART = struct.Struct("<IQI")  # first step, first word, CRC of ids; the states follow
+PIECES_CHARS = 4_000_000  # of texts whose distinct pieces are looked up together
+
+
+#: Kinds of bytes of lower-case text in UTF-8. Signs are of ASCII; × and ÷ are no letters and count as others.
+SPACE, LETTER, DIGIT, SIGN, SHORT, FIRST, SECOND, OTHER = range(8)
+KINDS = np.full(256, OTHER, np.uint8)
+KINDS[list(range(33, 127))] = SIGN
+KINDS[list(b" \t\n\x0b\x0c\r")] = SPACE
+KINDS[list(b"0123456789")] = DIGIT
+KINDS[list(b"abcdefghijklmnopqrstuvwxyz")] = LETTER
+KINDS[0xC3] = FIRST
+KINDS[[0x9F, *range(0xA0, 0xB7), *range(0xB8, 0xC0)]] = SECOND
+#: The pattern of words that is matched by kinds of bytes.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 # --- tokens -----------------------------------------------------------------
 
 
+LOWER = "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of words of lower-case Latin-1 letters in UTF-8: ASCII letters, the first byte of the others, and their second bytes.
+WORD_BYTES = [*LOWER.encode(), 0xC3, 0x9F, *range(0xA0, 0xB7), *range(0xB8, 0xC0)]
+
+
+NUMBERS = np.zeros(256, np.uint8)
+NUMBERS[WORD_BYTES] = np.arange(1, len(WORD_BYTES) + 1)
+
+
+@lru_cache(1)
+def word_ranks(path: str) -> tuple[dict[bytes, int], dict[int, int]]:
+    """For words of WORD_BYTES: ranks of tokens by merge, and the ids of the ranks. A byte is
+    written as its number in WORD_BYTES from 1 on, a word's last byte as one of as many
+    numbers more, so that each is one symbol.
+
+    Where a token's letters are alone, merges go the same way as inside a word up to the
+    token, so two neighbours that make a token are those that its last merge joins, and
+    merging by the rank of what two symbols make is merging by the rank of the pair.
+    Tokens that their own letters do not lead to are never made, and left out."""
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+    letter_of = {b: c for c, b in byte_of.items()}
+    number, n = {b: k for k, b in enumerate(WORD_BYTES, 1)}, len(WORD_BYTES)
+    merges = {tuple(m if isinstance(m, list) else m.split(" ")): rank for rank, m in enumerate(model["merges"])}
+    ranks, ids = {}, {}
+    for b, k in number.items():
+        for own, text in ((k, letter_of[b]), (k + n, letter_of[b] + "</w>")):
+            ranks[bytes([own])], ids[own] = own, model["vocab"][text]
+    for token in {a + b for a, b in merges}:
+        end = token.endswith("</w>")
+        letters = token.removesuffix("</w>")
+        if any(byte_of.get(c) not in number for c in letters):
+            continue
+        parts, last = list(letters), -1
+        parts[-1] += "</w>" * end
+        while len(parts) > 1:
+            rank, at = min((merges.get(pair, 1 << 60), k) for k, pair in enumerate(zip(parts, parts[1:])))
+            if rank == 1 << 60:
+                break
+            parts[at : at + 2], last = [parts[at] + parts[at + 1]], rank
+        if len(parts) == 1:
+            data = [number[byte_of[c]] for c in letters]
+            ranks[bytes([*data[:-1], data[-1] + n * end])], ids[256 + last] = 256 + last, model["vocab"][token]
+    return ranks, ids
+
+
 class Tokenizer:
     """Ids of whole texts as the tokenizers library gives them.
 
     For a file that folds white space, lower-cases, keeps the matches of a pattern and
-    maps bytes to letters (the steps are read from the file), pieces between white
-    space and their words are encoded once and remembered, at most ``remember`` of each;
-    a word's merges are the library's. Pieces with letters beyond Latin-1 go to the
-    library as they are, and so do whole texts with control characters that Python,
-    but not the library, takes for white space, or under a file of other steps."""
+    maps bytes to letters (the steps are read from the file), texts of ASCII and Latin-1
+    letters are cut into words by their bytes, many texts at once; words of letters are
+    merged together by tiktoken under the file's merges (``word_ranks``), other matches are
+    looked up. Of other texts the distinct pieces between white space are cut into words,
+    and each distinct word is encoded once and remembered, at most ``remember`` of them;
+    pieces with letters beyond Latin-1 go to the library as they are, and so do whole texts
+    that hold the string of an added token or control characters that Python, but not the
+    library, takes for white space, or under a file of other steps."""
 
     ODD = re.compile("[\x1c-\x1f\x85]")
     PLAIN = re.compile("[!-~\u00c0-\u00ff]+").fullmatch
+    SPACE = re.compile(r"\s")
+    END = 0xFFFFFFFF  # after each piece, in place of an id
 
-    def __init__(self, path: str, remember: int = 1_000_000):
+    def __init__(self, path: str, remember: int = 400_000):
         import tokenizers
 
-        self.library = tokenizers.Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.path, self.library = path, tokenizers.Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             steps = json.load(file)
+        self.added = [t["content"] for t in steps.get("added_tokens", [])]
         normal = [x["type"] for x in (steps["normalizer"] or {}).get("normalizers", [])]
         cut = (steps["pre_tokenizer"] or {}).get("pretokenizers", [])
-        self.by_piece = normal == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cut] == ["Split", "ByteLevel"] and cut[0]["invert"] and cut[0]["behavior"] == "Removed" and not cut[1]["use_regex"]
-        self.find = regex.compile(cut[0]["pattern"]["Regex"]).findall if self.by_piece else None
+        plain_added = all(not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]) for t in steps.get("added_tokens", []))
+        self.by_piece = plain_added and normal == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cut] == ["Split", "ByteLevel"] and cut[0]["invert"] and cut[0]["behavior"] == "Removed" and not cut[1]["use_regex"]
+        self.find = regex.compile(r"\n|" + cut[0]["pattern"]["Regex"]).findall if self.by_piece else None
         # the usual letters for bytes: printable Latin-1 stands for itself, the rest follow from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.letters = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
-        self.known: dict[str, bytes] = {}
+        if self.by_piece and cut[0]["pattern"]["Regex"] == WORDS and (steps["model"].get("end_of_word_suffix"), steps["model"].get("dropout"), steps["model"].get("continuing_subword_prefix")) == ("</w>", None, None):
+            ranks, ids = word_ranks(path)
+            self.merge = tiktoken.Encoding("words", pat_str=r"[^\x00]+", mergeable_ranks=ranks, special_tokens={})
+            self.id_of = np.zeros(max(ids) + 1, np.uint32)
+            self.id_of[list(ids)] = list(ids.values())
+        else:
+            self.merge = None
         self.words: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}
         self.remember = remember
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            ids = self.words[word] = array("I", [t.id for t in self.library.model.tokenize(letters)]).tobytes()
-        return ids
-
-    def piece(self, piece: str) -> bytes:
-        if piece.isalpha() and (piece.isascii() or self.PLAIN(piece)):
-            ids = self.word(piece.lower())
-        elif not self.PLAIN(piece):
-            ids = self.whole(piece)
-        elif piece[-1] in ",." and piece[:-1].isalpha():
-            ids = self.word(piece[:-1].lower()) + self.word(piece[-1])
-        else:
-            ids = b"".join(map(self.word, self.find(piece.lower())))
-        self.known[piece] = ids
-        return ids
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.library.model.tokenize(letters)]).tobytes()
+
+    def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, lengths) of each piece without white space."""
+        plain = np.fromiter((self.PLAIN(p) is not None for p in pieces), bool, len(pieces))
+        words = self.find("".join([p + "\n" for p, own in zip(pieces, plain) if own]).lower())
+        distinct = set(words) - {"\n"}
+        if len(self.words) + len(distinct) > self.remember:
+            self.words = {}
+        for word in distinct - self.words.keys():
+            self.words[word] = self.word(word)
+        self.words["\n"] = np.uint32(self.END).tobytes()
+        of_words = b"".join(map(self.words.__getitem__, words))
+        held = []
+        for p in (p for p, own in zip(pieces, plain) if not own):
+            if p not in self.odd:
+                if len(self.odd) >= self.remember // 16:
+                    self.odd = {}
+                self.odd[p] = self.whole(p)
+            held.append(self.odd[p])
+        ids = np.frombuffer(of_words + b"".join(held), "<u4")
+        ends = np.flatnonzero(ids[: len(of_words) // 4] == self.END)
+        starts, lengths = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        starts[plain] = np.concatenate(([0], ends[:-1] + 1))[: len(ends)]
+        lengths[plain] = ends - starts[plain]
+        sizes = np.array([len(x) // 4 for x in held], np.int64)
+        lengths[~plain] = sizes
+        starts[~plain] = len(of_words) // 4 + np.cumsum(sizes) - sizes
+        return ids, starts, lengths
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        cut = [t.split() for t in texts]
+        flat = [p for own in cut for p in own]
+        if not flat:
+            return [b""] * len(texts)
+        coded = pa.array(flat, pa.string()).dictionary_encode()
+        ids, starts, lengths = self.pieces(coded.dictionary.to_pylist())
+        index = coded.indices.to_numpy()
+        n = lengths[index]
+        ends = np.cumsum(n)
+        data = ids[np.repeat(starts[index] - (ends - n), n) + np.arange(ends[-1])].tobytes()
+        places = np.concatenate(([0], 4 * ends))[np.cumsum([0] + [len(own) for own in cut])].tolist()
+        return [data[s:e] for s, e in zip(places, places[1:])]
+
+    def _by_bytes(self, texts: list[str]) -> list[bytes | None]:
+        """Ids of texts of ASCII and Latin-1 letters; None for others."""
+        data = np.frombuffer("\n".join([*texts, ""]).lower().encode(), np.uint8)
+        kind = KINDS[data]
+        second = np.concatenate(([False], data[:-1] == 0xC3))
+        # second bytes stand after the first byte, which stands before nothing else
+        kind[second != (kind == SECOND)] = OTHER
+        kind[(kind == SECOND) | (data == 0xC3) & (kind == FIRST)] = LETTER
+        # an apostrophe that begins a run of signs goes with the letters that the pattern names
+        before, ahead = np.concatenate(([SPACE], kind[:-1])), np.concatenate((data, [0, 0]))
+        marks = np.flatnonzero((data == 39) & (before != SIGN))
+        one, two = ahead[marks + 1], ahead[marks + 2]
+        size = np.where(np.isin(one, list(b"stmd")), 2, np.where(((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108), 3, 0))
+        for k in range(3):
+            kind[marks[size > k] + k] = SHORT
+        # units: runs of letters, runs of signs, digits, apostrophes with their letters
+        starts = (kind != np.concatenate(([SPACE], kind[:-1]))) | (kind == DIGIT)
+        starts[marks[size > 0]] = True
+        starts = np.flatnonzero(starts & (kind != SPACE))
+        kinds = kind[starts]
+        stops = np.concatenate((starts[1:], [len(data)]))
+        # a unit ends where white space begins, too
+        gaps = np.flatnonzero((kind == SPACE) & (before != SPACE))
+        if len(gaps):
+            place = np.minimum(np.searchsorted(gaps, starts, "right"), len(gaps) - 1)
+            stops = np.where(gaps[place] > starts, np.minimum(stops, gaps[place]), stops)
+        letters = kinds == LETTER
+        symbols = np.where(kind == LETTER, NUMBERS[data], 0).astype(np.uint8)
+        symbols[stops[letters] - 1] += len(WORD_BYTES)
+        # words stand apart even where one follows another without a gap, as after an apostrophe's letters they do
+        merged = self.merge.encode_to_numpy(symbols.tobytes().decode("latin-1"), disallowed_special=()) if letters.any() else np.zeros(0, np.uint32)
+        own = self.id_of[merged]
+        # a token that ends a word holds a symbol of the upper half last
+        if not hasattr(self, "last"):
+            self.last = np.zeros(len(self.id_of), bool)
+            for token, rank in word_ranks(self.path)[0].items():
+                self.last[rank] = token[-1] > len(WORD_BYTES)
+        ends = np.flatnonzero(self.last[merged]) + 1
+        first, count = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        first[letters] = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+        count[letters] = np.diff(np.concatenate(([0], ends)))
+        held, at, raw = [own], len(own), data.tobytes()
+        places: dict[bytes, tuple[int, int]] = {}
+
+        def place_of(word: bytes) -> tuple[int, int]:
+            nonlocal at
+            if word not in places:
+                text = word.decode()
+                if text not in self.words:
+                    if len(self.words) >= self.remember:
+                        self.words = {}
+                    self.words[text] = self.word(text)
+                held.append(np.frombuffer(self.words[text], "<u4"))
+                places[word] = at, len(held[-1])
+                at += len(held[-1])
+            return places[word]
+
+        lone = ~letters & (kinds != OTHER) & (stops - starts == 1)
+        table = np.zeros((256, 2), np.int64)
+        for byte in np.unique(data[starts[lone]]).tolist():
+            table[byte] = place_of(bytes([byte]))
+        first[lone], count[lone] = table[data[starts[lone]]].T
+        for k in np.flatnonzero(~letters & (kinds != OTHER) & ~lone).tolist():
+            first[k], count[k] = place_of(raw[starts[k] : stops[k]])
+        ids = np.concatenate(held).astype("<u4")
+        total = np.cumsum(count)
+        n = int(total[-1]) if len(total) else 0
+        out = ids[np.repeat(first - (total - count), count) + np.arange(n)].tobytes()
+        lines = np.cumsum([0] + [len(t.lower().encode()) + 1 for t in texts])
+        cuts = np.concatenate(([0], total))[np.searchsorted(starts, lines)] * 4
+        odd = np.add.reduceat(kind == OTHER, lines[:-1]) > 0 if len(texts) else []
+        return [None if bad else out[s:e] for bad, s, e in zip(odd, cuts.tolist(), cuts[1:].tolist())]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        out = []
-        for text in texts:
-            if not self.by_piece or self.ODD.search(text):
-                out.append(self.whole(text))
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, str]] = []
+        size = 0
+
+        def look_up():
+            nonlocal held, size
+            parts = [part for _, part in held]
+            found = self._by_bytes(parts) if self.merge else [None] * len(parts)
+            rest = iter(self._together([part for part, ids in zip(parts, found) if ids is None]))
+            for (k, _), ids in zip(held, found):
+                out[k].append(next(rest) if ids is None else ids)
+            held, size = [], 0
+
+        for k, text in enumerate(texts):
+            if not self.by_piece or self.ODD.search(text) or any(t in text for t in self.added):
+                out[k].append(self.whole(text))
                 continue
-            if len(self.known) > self.remember:
-                self.known.clear()
-            if len(self.words) > self.remember:
-                self.words.clear()
-            pieces = text.split()
-            ids = list(map(self.known.get, pieces))
-            if None in ids:
-                ids = [self.known.get(p) or self.piece(p) if i is None else i for p, i in zip(pieces, ids)]
-            out.append(b"".join(ids))
-        return out
+            at = 0
+            while at < len(text):  # a long text is cut at white space
+                space = self.SPACE.search(text, at + PIECES_CHARS) if len(text) - at > PIECES_CHARS else None
+                end = space.start() if space else len(text)
+                held.append((k, text[at:end]))
+                size, at = size + end - at, end
+                if size >= PIECES_CHARS:
+                    look_up()
+        look_up()
+        return [b"".join(parts) for parts in out]
 
 
 _tokenizers: dict[str, Tokenizer] = {}  # of a worker process, which serves many tasks
@@ -136,22 +327,20 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             )
 
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for at in range(0, len(keys), 256):
-                texts = [t or "" for t in batch.column(1).slice(at, 256).to_pylist()]
-                for key, ids in zip(keys[at : at + 256], _tokenizers[path].encode(texts)):
-                    doc_ids.append(key)
-                    rows.append(ids + end)
-                    size += len(rows[-1]) // 4
-                    if size >= BLOCK_IDS:
-                        yield block()
-                        seq, base, size = seq + 1, base + size, 0
-                        doc_ids, rows = [], []
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for key, ids in zip(batch.column(0).to_pylist(), _tokenizers[path].encode(texts)):
+                doc_ids.append(key)
+                rows.append(ids + end)
+                size += len(rows[-1]) // 4
+                if size >= BLOCK_IDS:
+                    yield block()
+                    seq, base, size = seq + 1, base + size, 0
+                    doc_ids, rows = [], []
         if rows:
             yield block()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, "part int, seq long, base long, n_ids long, doc_ids array<long>, lengths array<long>, ids binary")
+    return ordered.mapInArrow(lean(run), "part int, seq long, base long, n_ids long, doc_ids array<long>, lengths array<long>, ids binary")
 
 
 def _narrow(ids: bytes) -> bytes:
@@ -209,8 +398,8 @@ class Table:
         return cls(np.frombuffer(data, "<u4", offset=4, count=struct.unpack_from("<I", data)[0]))
 
 
-def encode_block(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], place: int, table: Table, apart: int = 128) -> bytes:
-    n = len(ids)
+def encode_block(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], place: int, table: Table, apart: int | None = None) -> bytes:
+    n, apart = len(ids), apart or APART
     lanes = int(min(4096, max(1, n // 512)))
     steps = -(-n // lanes)
     states = np.full(lanes, LOW, np.uint64)
@@ -231,41 +420,58 @@ def encode_block(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int],
             points[step] = states.copy()
     words.reverse()
     sizes = np.cumsum([0] + [len(w) for w in words])
-    places = b"".join(struct.pack("<IQ", step, sizes[step]) + points[step].astype("<u8").tobytes() for step in sorted(points))
+    points[0] = states
+    firsts = sorted(points)
+    ids = np.ascontiguousarray(ids, "<u4")
+    parts = b"".join(PART.pack(step, sizes[step], zlib.crc32(ids[step * lanes : end * lanes])) + points[step].astype("<u8").tobytes() for step, end in zip(firsts, [*firsts[1:], steps]))
     known = np.array([d is not None for d in doc_ids], bool)
-    keys = np.packbits(known).tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array(lengths, "<u8").tobytes()
-    body = b"".join([struct.pack("<I", len(packed := zlib.compress(keys, 6))), packed, states.astype("<u8").tobytes(), places, *[w.tobytes() for w in words]])
-    return HEAD.pack(b"BLK1", len(body), place, n, len(doc_ids), lanes, steps, int(sizes[-1]), len(points), apart, zlib.crc32(np.ascontiguousarray(ids, "<u4")), zlib.crc32(body)) + body
+    keys = zlib.compress(np.packbits(known).tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array(lengths, "<u8").tobytes(), 6)
+    front = keys + parts
+    return HEAD.pack(b"BLK2", len(front), place, n, len(doc_ids), lanes, steps, int(sizes[-1]), len(firsts), len(keys), zlib.crc32(front)) + front + b"".join(w.tobytes() for w in words)
 
 
-class Block:
-    """A block read back; ids of all or of the steps between two checkpoints."""
+def parts_of(block: bytes) -> int:
+    return HEAD.unpack_from(block)[8]
 
-    def __init__(self, data: bytes):
-        mark, size, self.place, self.n, docs, self.lanes, self.steps, n_words, points, self.apart, self.ids_crc, crc = HEAD.unpack_from(data)
-        body = memoryview(data)[HEAD.size : HEAD.size + size]
-        if mark != b"BLK1" or len(body) != size or zlib.crc32(body) != crc:
+
+class Block:
+    """A block read back through ``read(offset, length)``, of which only what is asked for is
+    read: the documents, and the ids of each part."""
+
+    def __init__(self, read):
+        self.read = read
+        mark, size, self.place, self.n, docs, self.lanes, self.steps, self.n_words, parts, n_keys, crc = HEAD.unpack(read(0, HEAD.size))
+        front = read(HEAD.size, size)
+        if mark != b"BLK2" or len(front) != size or zlib.crc32(front) != crc:
             raise ValueError("the block's checksum does not match")
-        (packed,) = struct.unpack_from("<I", body)
-        keys = zlib.decompress(body[4 : 4 + packed])
+        keys = zlib.decompress(front[:n_keys])
         known = np.unpackbits(np.frombuffer(keys, np.uint8, -(-docs // 8)), count=docs).astype(bool)
         at = -(-docs // 8)
         self.doc_ids = [d if k else None for d, k in zip(np.frombuffer(keys, "<i8", docs, at).tolist(), known)]
         self.lengths = np.frombuffer(keys, "<u8", docs, at + 8 * docs).astype(np.int64)
-        at = 4 + packed
-        self.points = {0: (0, np.frombuffer(body, "<u8", self.lanes, at))}
-        at += 8 * self.lanes
-        for _ in range(points):
-            step, word = struct.unpack_from("<IQ", body, at)
-            self.points[step] = (word, np.frombuffer(body, "<u8", self.lanes, at + 12))
-            at += 12 + 8 * self.lanes
-        self.words = np.frombuffer(body, "<u4", n_words, at)
-
-    def decode(self, table: Table, first: int = 0, last: int | None = None) -> np.ndarray:
-        """Ids of steps first to last (exclusive); first must have a checkpoint."""
-        word, states = self.points[first]
-        states, last = states.astype(np.uint64), self.steps if last is None else min(last, self.steps)
-        out = np.empty(max(0, min(self.n, last * self.lanes) - first * self.lanes), np.uint32)
+        self.parts, at = [], n_keys
+        for _ in range(parts):
+            self.parts.append((*PART.unpack_from(front, at), np.frombuffer(front, "<u8", self.lanes, at + PART.size)))
+            at += PART.size + 8 * self.lanes
+        self.words_at = HEAD.size + size
+
+    def bounds(self, part: int) -> tuple[int, int]:
+        """The ids of a part: first and end, counted in the block."""
+        end = self.parts[part + 1][0] if part + 1 < len(self.parts) else self.steps
+        return min(self.n, self.parts[part][0] * self.lanes), min(self.n, end * self.lanes)
+
+    def decode(self, table: Table, part: int, most: int | None = None) -> np.ndarray:
+        """Ids of a part, from its own checkpoint; with ``most``, the first so many or a few
+        more. A checksum of a whole part that does not match is an error."""
+        first, word, crc, states = self.parts[part]
+        last, end = (self.parts[part + 1][:2]) if part + 1 < len(self.parts) else (self.steps, self.n_words)
+        whole = last
+        if most is not None:
+            last = min(last, first - (-most // self.lanes))
+        words = np.frombuffer(self.read(self.words_at + 4 * word, 4 * (end - word)), "<u4")
+        states, at = states.astype(np.uint64), 0
+        start, stop = self.bounds(part)
+        out = np.empty(min(stop, last * self.lanes) - start, np.uint32)
         bits, half, mask = np.uint64(SCALE_BITS), np.uint64(32), np.uint64((1 << SCALE_BITS) - 1)
         for step in range(first, last):
             s, e = (step - first) * self.lanes, min(len(out), (step - first + 1) * self.lanes)
@@ -276,9 +482,14 @@ class Block:
             x = table.freq[symbols] * (x >> bits) + slot - table.start[symbols]
             empty = x < LOW
             n = int(np.count_nonzero(empty))
-            x[empty] = (x[empty] << half) | self.words[word : word + n]
-            word += n
+            if at + n > len(words):
+                raise ValueError("the part's words end too early")
+            x[empty] = (x[empty] << half) | words[at : at + n]
+            at += n
             states[: e - s] = x
+        after = self.parts[part + 1][3] if part + 1 < len(self.parts) else LOW  # where the coder began
+        if last == whole and (zlib.crc32(out) != crc or at < len(words) or (states != after).any()):
+            raise ValueError("a part does not match its checksum")
         return out
 
 
@@ -312,7 +523,7 @@ def count_ids(blocks: DataFrame) -> np.ndarray:
 def write_ids(docs: DataFrame, folder: str, path: str, end_id: int) -> DataFrame:
     """Tokenize whole texts of ``docs`` (doc_id, text; other columns are ignored), append
     ``end_id`` to each and write all ids to files in ``folder`` in ascending order of
-    doc_id. Returns (path, offset, length) of each block, staged.
+    doc_id. Returns (path, offset, length, parts) of each block, staged.
 
     Null and empty texts have the end id alone. Null doc_ids come first; rows with
     equal doc_id follow each other in order of text. An empty table gives no file
@@ -339,19 +550,23 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int) -> DataFrame
                     out.write(MAGIC + table[-4:])
                 last = (row["part"], row["seq"])
                 data = encode_block(_wide(row["ids"]), row["doc_ids"], row["lengths"], bases[row["part"]] + row["base"], shared)
-                rows.append({"path": out.uri, "offset": out.write(data), "length": len(data)})
+                rows.append({"path": out.uri, "offset": out.write(data), "length": len(data), "parts": parts_of(data)})
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pylist(rows)
 
-    return stage(blocks.mapInArrow(run, "path string, offset long, length long"), "id-blocks")
+    written = stage(blocks.mapInArrow(lean(run), "path string, offset long, length long, parts long"), "id-blocks")
+    drop_staged(blocks)
+    return written
 
 
 def read_ids(blocks: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, start, ids) for each document of the blocks (path, offset, length): start
-    counts the ids of all documents before it; ids are little-endian unsigned 32-bit
-    integers, end id included. A checksum that does not match is an error."""
-    parts = shuffle_partitions(blocks.sparkSession)
+    """(doc_id, start, ids) for each document of the blocks (path, offset, length, parts):
+    start counts the ids of all documents before it; ids are little-endian unsigned 32-bit
+    integers, end id included. Every part of a block is decoded by itself from its
+    checkpoint, in any task, which owns the documents that begin in it and decodes the next
+    parts as far as the last of them goes. A checksum that does not match is an error."""
+    n = shuffle_partitions(blocks.sparkSession)
 
     def run(batches):
         table = None
@@ -362,16 +577,24 @@ def read_ids(blocks: DataFrame, folder: str) -> DataFrame:
                     shared, base = filesystem(folder)
                     with shared.open_input_stream(f"{base}/table.bin") as file:
                         table = Table.from_bytes(file.read())
+                part = row["part"]
                 with system.open_input_file(path) as file:
-                    block = Block(file.read_at(row["length"], row["offset"]))
-                ids = block.decode(table)
-                if zlib.crc32(ids) != block.ids_crc:
-                    raise ValueError(f"ids of {row} do not match their checksum")
-                ends = np.cumsum(block.lengths)
-                data, starts = ids.tobytes(), ends - block.lengths
-                yield pa.record_batch({"doc_id": pa.array(block.doc_ids, pa.int64()), "start": pa.array(starts + block.place), "ids": pa.array([data[4 * s : 4 * e] for s, e in zip(starts.tolist(), ends.tolist())], pa.binary())})
-
-    return blocks.repartition(parts, "path", "offset").mapInArrow(run, "doc_id long, start long, ids binary")
+                    block = Block(lambda at, size: file.read_at(size, row["offset"] + at))
+                    first, last = block.bounds(part)
+                    ends = np.cumsum(block.lengths)
+                    starts = ends - block.lengths
+                    own = np.flatnonzero((starts >= first) & (starts < last))
+                    ids = [block.decode(table, part)]
+                    while len(own) and last < ends[own[-1]]:
+                        part += 1
+                        ids.append(block.decode(table, part, int(ends[own[-1]]) - last))
+                        last = block.bounds(part)[1]
+                data = np.concatenate(ids).tobytes()
+                each = [data[4 * s : 4 * e] for s, e in zip((starts[own] - first).tolist(), (ends[own] - first).tolist())]
+                yield pa.record_batch({"doc_id": pa.array([block.doc_ids[k] for k in own], pa.int64()), "start": pa.array(starts[own] + block.place), "ids": pa.array(each, pa.binary())})
+
+    each = blocks.select("path", "offset", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    return each.repartition(n, "path", "offset", "part").mapInArrow(lean(run), "doc_id long, start long, ids binary")
 
 
 def op8_rans(spark, sf_dir: str) -> DataFrame:

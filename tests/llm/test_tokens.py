@@ -42,9 +42,9 @@ def test_pre_tokens_are_those_of_the_whole_text():
             assert [w for k, p in enumerate(parts) for w in (cut.words(p) if k else cut.find(p))] == cut.find(text), text
 
 
-def test_files_against_the_library(spark, docs, none):
+def test_files_against_the_library(spark, docs, none, monkeypatch):
     t = tokenizers.Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
+    monkeypatch.setattr(rans, "APART", 2)
     folder = new_path(spark, "rans-test")
     blocks = rans.write_ids(docs, folder, WORDS, 2)
     got = rans.read_ids(blocks, folder).collect()
@@ -55,17 +55,25 @@ def test_files_against_the_library(spark, docs, none):
         want.append((doc_id or -1, start, zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert sorted((r[0] or -1, r[1], zlib.crc32(r[2])) for r in got) == sorted(want)
+    assert blocks.agg({"parts": "max"}).first()[0] > 1
     empty = new_path(spark, "rans-test")
     assert rans.read_ids(rans.write_ids(none, empty, WORDS, 2), empty).count() == 0
 
 
-def test_tokenizer_memo_is_the_library():
-    own = rans.Tokenizer(WORDS)
+def test_tokenizer_memo_is_the_library(monkeypatch):
+    own = rans.Tokenizer(WORDS, remember=60)
+    library = tokenizers.Tokenizer.from_file(WORDS)
     assert own.by_piece
     random.seed(3)
+    texts = []
     for _ in range(3000):
-        text = "".join(random.choice("aAbZé ß'sŚİΣ\u0085\x1c\x1f\n\t 12٣.!?-日😀‍<|endoftext|>reÀÿ÷×ª\x00\x7f") for _ in range(random.randint(0, 20)))
-        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == own.library.encode(text, add_special_tokens=False).ids, text
+        text = "".join(random.choice([*"aAbZé ß'sŚİΣ\u0085\x1c\x1f\n\t 12٣.!?-日😀‍<|endoftext|>reÀÿ÷×ª\x00\x7f", "<|endoftext|>", "<|StartOfText|>", "the", " hello"]) for _ in range(random.randint(0, 20)))
+        texts.append(text)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for size in (4_000_000, 50, 1):
+        monkeypatch.setattr(rans, "PIECES_CHARS", size)
+        for text, ids, right in zip(texts, own.encode(texts), want):
+            assert np.frombuffer(ids, "<u4").tolist() == right, text
 
 
 @pytest.mark.parametrize("n", [0, 1, 700, 60_000])
@@ -74,16 +82,28 @@ def test_coder(n):
     table = rans.Table.scaled(np.bincount(ids))
     assert (rans.Table.from_bytes(table.to_bytes()).freq == table.freq).all()
     data = rans.encode_block(ids, [None, 5], [n, 0], 9, table, apart=16)
-    block = rans.Block(data)
-    assert (block.decode(table) == ids).all() and block.doc_ids == [None, 5] and block.place == 9
-    steps = sorted(block.points)
-    parts = [block.decode(table, a, b) for a, b in zip(steps, [*steps[1:], block.steps])]
-    assert (np.concatenate(parts) == ids).all()
+    reads = []
+    block = rans.Block(lambda at, size: reads.append((at, size)) or data[at : at + size])
+    assert block.doc_ids == [None, 5] and block.place == 9
+    assert len(block.parts) > 3 or n < 10_000
+    for part in reversed(range(len(block.parts))):  # each by itself, in any order
+        first, last = block.bounds(part)
+        assert (block.decode(table, part) == ids[first:last]).all()
+        assert (block.decode(table, part, 5)[:5] == ids[first:last][:5]).all() and len(block.decode(table, part, 5)) <= max(5, block.lanes)
+    reads.clear()
+    block = rans.Block(lambda at, size: reads.append((at, size)) or data[at : at + size])
+    for part in range(len(block.parts)):
+        block.decode(table, part)
+    assert sum(size for _, size in reads) == len(data)
+    wrong = data[:-1] + bytes([data[-1] ^ 1]) if n > 1 else data[:60] + b"x" + data[61:]
     with pytest.raises(ValueError):
-        rans.Block(data[:-1] + bytes([data[-1] ^ 1]))
+        block = rans.Block(lambda at, size: wrong[at : at + size])
+        [block.decode(table, k) for k in range(len(block.parts))]
+    with pytest.raises(ValueError):
+        rans.Block(lambda at, size: (data[: rans.HEAD.size + 3] + b"?" + data[rans.HEAD.size + 4 :])[at : at + size])
     with pytest.raises(ValueError):
         rans.Table.from_bytes(b"x" + table.to_bytes()[1:])
     counts = np.bincount(ids, minlength=2)
     if n > 10_000:
         p = counts[counts > 0] / n
-        assert len(data) < 1.15 * n * -(p * np.log2(p)).sum() / 8 + 2048 + len(block.points) * (12 + 8 * block.lanes)
+        assert len(data) < 1.15 * n * -(p * np.log2(p)).sum() / 8 + 2048 + len(block.parts) * (rans.PART.size + 8 * block.lanes)
