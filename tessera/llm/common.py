@@ -178,6 +178,17 @@ def merge_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray
     return labels
 
 
+FEW = 1 << 14  # links up to which one task joins them
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [np.stack((b.column(0).to_numpy(), b.column(1).to_numpy())) for b in batches]
+    nodes, place = np.unique(np.concatenate(held, axis=1) if held else np.zeros((2, 0), np.int64), return_inverse=True)
+    place = place.reshape(2, -1)
+    labels = merge_labels(np.arange(len(nodes)), place[0], place[1])
+    yield pa.record_batch({"node": pa.array(nodes), "component": pa.array(nodes[labels])})
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v); component is the
     smallest node that its links reach.
@@ -185,13 +196,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps alternate; each round is written to the shared
     folder, so lineage stays short and nothing is collected. A node with very many
     links is pre-aggregated to its smallest neighbour before the shuffle, and the
-    join that hands it back is one that adaptive execution splits. Nulls and loops
-    are ignored."""
+    join that hands it back is one that adaptive execution splits. At most FEW links are
+    joined by one task, with the same result. Nulls and loops are ignored."""
     spark = edges.sparkSession
     now = stage(
         edges.where("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "cc"
     )
     seen = None
+    if now.count() <= FEW:
+        return now.coalesce(1).mapInArrow(_joined, "node long, component long")
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:

@@ -24,10 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, connected_components, drop_staged, merge_labels, pairs_in_runs, run_bounds, shuffle_partitions, stage, whole_runs
+from tessera.llm.common import bound_batches, connected_components, lean, merge_labels, pairs_in_runs, run_bounds, shuffle_partitions, stage, whole_runs
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (lowest bit, width)
 GENERATOR = 0b110001110101  # of the binary Golay code: x^11+x^10+x^6+x^5+x^4+x^2+1
+HOT = 1 / 1000  # share of all rows beyond which a fingerprint's rows stay where they are
 PAIRWISE = 65536  # rows of a bucket up to which all its pairs are counted; beyond, every mask of one or two bits is looked up
 
 
@@ -68,7 +69,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
             fps = [simhash(shingle_hashes(t.as_py() or b"", width, seed)) for t in batch.column(1)]
             yield pa.record_batch({"doc_id": batch.column(0), "fp": pa.array(np.array(fps, np.uint64).view(np.int64))})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 # --- Golay keys ----------------------------------------------------------------
@@ -210,13 +211,16 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame
     doc_id takes part in linking but is never a component_id unless all are null.
     An empty table gives an empty result."""
     fps = stage(fingerprints(docs, width), "simhash")
-    firsts = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    firsts = fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     comps = stage(connected_components(link_fingerprints(fps, most)), "simhash-components")
     roots = firsts.join(comps.select(F.col("node").alias("fp"), F.col("component").alias("root")), "fp")
     smallest = roots.groupBy("root").agg(F.min("first").alias("low"))
     linked = roots.join(smallest, "root").select("fp", "low")
-    resolved = firsts.join(linked, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id"))
-    return fps.join(resolved, "fp").select("doc_id", "fp", "component_id")
+    resolved = stage(firsts.join(linked, "fp", "left").select("fp", "n", F.coalesce("low", "first").alias("component_id")), "simhash-resolved")
+    # fingerprints of more than a share of all rows, of which there are at most 1 / HOT, go to all tasks: their rows need not meet
+    hot = F.broadcast(resolved.where(F.col("n") > HOT * fps.count()).select("fp", "component_id"))
+    rest = fps.join(hot, "fp", "left_anti").join(resolved.select("fp", "component_id"), "fp")
+    return fps.join(hot, "fp").unionByName(rest).select("doc_id", "fp", "component_id")
 
 
 def fingerprint_hex(column: str = "fp"):

@@ -6,7 +6,8 @@ keys find the texts that differ little, and a prefix filter completes them: in o
 all shingles, two sets of similarity t share one of the first n - ceil(t n) + 1 of each (n its
 size), and every pair that meets so, may reach t by size and place and is not yet joined by
 other links is computed exactly. The order puts shingles of many texts last; it bears on
-speed only.
+speed only. Sketches of 256 parity bits bound how far two sets differ at least, and rule most
+pairs out before they leave a task.
 
 Sets hold 48 bits of a 64-bit polynomial hash of each shingle, computed for whole batches at
 once. Equal sets are one node; a node with its set travels once for each pair that is computed.
@@ -28,8 +29,10 @@ from tessera.llm.simhash import link_fingerprints, simhash
 CHUNK = 1 << 18  # bytes of texts hashed at once, or one text's shingle if that is longer
 COMMON = 1 << 16  # shingles that the order puts last, at most
 OFTEN = 4  # texts of a task that hold a shingle, from which on it may be among them
+CROWD = 64  # sets that meet at a shingle, beyond which the order should have it among them
+ORDERS = 3  # times that the order is mended by such shingles, at most
 REMEMBERED = 1 << 18  # nodes that a task remembers so as to pass copies on once
-STARS = 3  # rounds in which buckets are computed around one set, before all pairs still apart
+STARS = 2  # rounds in which buckets are computed around one set, before all pairs still apart
 SENT = 2_000_000  # nodes up to which their list goes to all tasks; a longer one is joined by shuffle
 
 # --- sets ---------------------------------------------------------------------------
@@ -116,7 +119,15 @@ def unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u4", n).astype(np.uint64) << np.uint64(16) | np.frombuffer(data, "<u2", n, 4 * n).astype(np.uint64)
 
 
-_SETS = "key long, doc_id long, node long, size int, fp long, shingles binary"
+_SETS = "key long, doc_id long, node long, size int, fp long, p0 long, p1 long, p2 long, p3 long, shingles binary"
+PARITIES = ("p0", "p1", "p2", "p3")
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """256 bits as four numbers: whether an odd number of hashes falls into each cell. Of two
+    sets the bits that differ are at most the hashes that only one of them has."""
+    odd = np.bincount((hashes >> np.uint64(16) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
 
 
 def row_key() -> Column:
@@ -124,18 +135,20 @@ def row_key() -> Column:
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(key, doc_id, node, size, fp, shingles) of every row: a hash of id and text, a hash of
-    its set, the set's size, its SimHash and the set."""
+    """(key, doc_id, node, size, fp, p0 to p3, shingles) of every row: a hash of id and text,
+    a hash of its set, the set's size, SimHash, parities and the set."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, fps = [], []
+            sets, fps, odd = [], [], []
             for h in shingle_hashes([t.as_py() or b"" for t in batch.column(2)], width):
                 sets.append(pack(h))
                 fps.append(simhash(h))
+                odd.append(parities(h))
+            odd = np.stack(odd, axis=1) if odd else np.zeros((4, 0), np.int64)
             nodes = np.array([xxhash.xxh64_intdigest(x, 42) for x in sets], np.uint64).view(np.int64)
-            yield pa.record_batch({"key": batch.column(0), "doc_id": batch.column(1), "node": pa.array(nodes), "size": pa.array([len(x) // 6 for x in sets], pa.int32()), "fp": pa.array(np.array(fps, np.uint64).view(np.int64)), "shingles": pa.array(sets, pa.binary())})
+            yield pa.record_batch({"key": batch.column(0), "doc_id": batch.column(1), "node": pa.array(nodes), "size": pa.array([len(x) // 6 for x in sets], pa.int32()), "fp": pa.array(np.array(fps, np.uint64).view(np.int64)), **{name: pa.array(odd[k]) for k, name in enumerate(PARITIES)}, "shingles": pa.array(sets, pa.binary())})
 
     return docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), _SETS)
 
@@ -169,6 +182,15 @@ def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], counts[order]
 
 
+def _merged(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of either with their larger counts; at most COMMON, those of most."""
+    hashes, place = np.unique(np.concatenate((one[0], other[0])), return_inverse=True)
+    counts = np.zeros(len(hashes), np.int64)
+    np.maximum.at(counts, place, np.concatenate((one[1], other[1])))
+    keep = np.sort(np.argsort(-counts, kind="stable")[:COMMON])
+    return hashes[keep], counts[keep]
+
+
 def _up(x):
     return np.ceil(x - 1e-9).astype(np.int64)
 
@@ -238,12 +260,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _apart(least: float, star: int | None):
     """Pairs of sets in different components that share a bucket, with their sizes and the
-    number of buckets: around one set of each bucket (the first in round 0, later the first
-    outside the largest component), or all."""
+    number of buckets: around one set of each bucket (in round 0 the one that shares most
+    buckets, later that one outside the largest component), or all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, "key", 1 << 16):
-            key, node, size, at, label = (table.column(c).to_numpy() for c in ("key", "node", "size", "at", "label"))
+            key, node, size, at, label, shared = (table.column(c).to_numpy() for c in ("key", "node", "size", "at", "label", "shared"))
+            odd = np.stack([table.column(c).to_numpy() for c in PARITIES]).view(np.uint64)
             bounds = run_bounds(key)
             i, j = pairs_in_runs(bounds, 2)
             found, held = [(i[label[i] != label[j]], j[label[i] != label[j]])], 0
@@ -252,6 +275,9 @@ def _apart(least: float, star: int | None):
                 i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
                 ok = _may_reach(least, size[i], at[i], size[j], at[j])
                 i, j = i[ok], j[ok]
+                apart = sum(np.bitwise_count(p[i] ^ p[j]).astype(np.int64) for p in odd)
+                ok = apart <= size[i] + size[j] - 2 * _up((size[i] + size[j]) * (least / (1 + least)))
+                i, j = i[ok], j[ok]
                 i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
                 order = np.lexsort((node[j], node[i]))
                 i, j = i[order], j[order]
@@ -266,10 +292,10 @@ def _apart(least: float, star: int | None):
                 if star is None:
                     hubs = range(s, e - 1)
                 elif star == 0:
-                    hubs = [s]
+                    hubs = [s + int(np.argmax(shared[s:e]))]
                 else:
                     labels, where, counts = np.unique(own, return_inverse=True, return_counts=True)
-                    hubs = [s + int(np.argmax(where != counts.argmax()))] if len(labels) > 1 else []
+                    hubs = [s + int(np.argmax(np.where(where != counts.argmax(), shared[s:e], 0)))] if len(labels) > 1 else []
                 for i in hubs:
                     j = np.flatnonzero(own != label[i]) + s
                     j = j[j > i] if star is None else j
@@ -310,13 +336,15 @@ def similar_links(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     """Those of the distinct ``pairs`` (u, v) whose sets in ``sets`` (node, shingles) have the
     similarity."""
     pairs = stage(pairs, "similar-pairs")
-    ids = stage(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "similar-ids")
-    listed = F.broadcast(ids) if ids.count() <= SENT else ids
-    held = stage(sets.select("node", "shingles").join(listed, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "similar-sets")
+    n = pairs.count()
+    if not n:
+        return pairs
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    held = stage(sets.select("node", "shingles").join(F.broadcast(ids) if 2 * n <= SENT else ids, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "similar-sets")
     both = pairs.join(held.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v").join(held.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
     links = stage(both.select("u", "v", "a", "b").mapInArrow(lean(_similar(least)), "u long, v long"), "similar-links")
-    for done in (pairs, ids, held):
-        drop_staged(done)
+    drop_staged(pairs)
+    drop_staged(held)
     return links
 
 
@@ -337,11 +365,23 @@ def similar_components(sets: DataFrame, least: float) -> DataFrame:
     n = shuffle_partitions(sets.sparkSession)
     links = similar_links(sets, fingerprint_pairs(sets), least)
     comps = stage(connected_components(links), "similar-components")
-    first = sets.select("node", "shingles").mapInArrow(lean(_firsts(least, common_shingles(sets))), "key long, node long, size int, at int")
-    members = stage(first.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(lean(_shared), "key long, node long, size int, at int"), "similar-members")
+    common = common_shingles(sets)
+    for k in range(ORDERS + 1):
+        first = sets.select("node", "shingles").mapInArrow(lean(_firsts(least, common)), "key long, node long, size int, at int")
+        met = stage(first.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(lean(_shared), "key long, node long, size int, at int"), "similar-met")
+        crowds = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
+        mended = _merged(common, (crowds.column("key").to_numpy().astype(np.uint64), crowds.column("n").to_numpy()))
+        if k == ORDERS or np.array_equal(mended[0], common[0]):
+            break
+        common = mended
+        drop_staged(met)
+    # a text that copies were made from shares more buckets than they: their edits are in none
+    known = sets.groupBy("node").agg(*[F.first(c).alias(c) for c in PARITIES]).join(met.groupBy("node").agg(F.count("*").alias("shared")), "node")
+    members = stage(met.join(known, "node"), "similar-members")
+    drop_staged(met)
     star: int | None = 0
     while True:
-        now = members.join(comps, "node", "left").select("key", "node", "size", "at", F.coalesce("component", "node").alias("label"))
+        now = members.join(comps, "node", "left").select("key", "node", "size", "at", "shared", *PARITIES, F.coalesce("component", "node").alias("label"))
         met = now.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(lean(_apart(least, star)), "u long, v long, size int, other int, n long")
         met = met.groupBy("u", "v").agg(F.first("size").alias("size"), F.first("other").alias("other"), F.sum("n").alias("n")).where(_enough(least)).select("u", "v")
         more = similar_links(sets, met, least)
@@ -366,8 +406,8 @@ def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     sets = stage(shingle_sets(docs, width), "similar-rows")
     comps = similar_components(sets, least)
     found = sets.select("key", "doc_id", "node").join(comps, "node", "left").select("key", "doc_id", F.coalesce("component", "node").alias("root"))
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("first"))
-    keys = stage(found.join(first, "root").groupBy("key").agg(F.max(F.col("key") == F.col("first")).alias("stays"), F.count("*").alias("n")), "similar-keys")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("key")).select("key", F.lit(True).alias("stays"))
+    keys = stage(found.groupBy("key").agg(F.count("*").alias("n")).join(first, "key", "left").select("key", "n", F.coalesce("stays", F.lit(False)).alias("stays")), "similar-keys")
     drop_staged(sets)
     # those that go are fewer than those that stay: their keys are joined, and texts stay put where Spark finds the keys few enough to send to all tasks
     name = free_name(docs, "key")

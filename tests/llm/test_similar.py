@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.llm import similar
+from tessera.llm import common, similar
 
 
 def shingles(text, width=5):
@@ -88,3 +88,21 @@ def test_rows_without_an_id_or_of_one_id_are_rows_of_their_own(spark):
     kept = similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = [(None, t) for t in texts[:4]] + [(1, texts[4]), (2, texts[5]), (2, texts[6]), (3, texts[7])]
     assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
+
+
+def test_components_are_the_same_by_one_task_or_many(spark, monkeypatch):
+    rng = random.Random(3)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(5, 5), (None, 3)] + [(400 + k, 401 + k) for k in range(60)]
+    df = spark.createDataFrame(pairs, "u long, v long")
+    label = {}
+    for u, v in pairs:
+        if u is not None and u != v:
+            label.setdefault(u, u), label.setdefault(v, v)
+    for _ in label:
+        for u, v in pairs:
+            if u in label and v in label:
+                label[u] = label[v] = min(label[u], label[v])
+    for few in (common.FEW, 0):
+        monkeypatch.setattr(common, "FEW", few)
+        assert dict(map(tuple, common.connected_components(df).collect())) == label
+        assert common.connected_components(df.where("false")).count() == 0
