@@ -2,17 +2,19 @@
 
 A unit vector is rotated at random and kept as the signs of its components, with two
 correction factors: the inner product of the code with the vector it stands for, and
-the width that follows from it. Of a code and another vector's rotation they give an
-unbiased estimate of the cosine and a confidence bound. Pairs whose upper bound stays
-under the threshold are done with; all others are computed again from the vectors in
-double precision, so no link is ever wrong.
+the width that follows from it. Of a code and another vector's rotation, kept in four bits a
+component, they give an unbiased estimate of the cosine and a confidence bound. Pairs whose
+upper bound stays under the threshold are done with; all others are computed again from the
+vectors in double precision, so no link is ever wrong.
 
 Which pairs meet: signs of further random directions form bands of bits, and vectors of
 equal label that agree in a whole band meet. The number of bits follows from the
 largest label's size, the number of bands from the wanted recall at the threshold, so
-work grows nearly in proportion at every size. A pair that agrees in several bands
-counts in the first only. Buckets beyond a size are dealt out in tiles, each pair of
-tiles to a task of its own. Equal vectors are one representative with a count.
+work grows nearly in proportion at every size. Codes alone travel to the bands. A pair
+counts in the first band that it agrees in only, and vectors follow only to where they have
+such a pair that the bounds leave open. Sums of codes and four-bit numbers are integers, so
+a pair is judged alike wherever it meets. Buckets beyond a size are dealt out in tiles, each
+pair of tiles to a task of its own. Equal vectors are one representative with a count.
 """
 
 from __future__ import annotations
@@ -26,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, merge_labels, pairs_in_runs, run_bounds, shuffle_partitions, stage, whole_runs
+from tessera.llm.common import connected_components, drop_staged, lean, merge_labels, pairs_in_runs, run_bounds, shuffle_partitions, stage, whole_runs
 
 TILE = 2048  # representatives of a bucket that meet at once
 SIGMAS = 5.0  # width of the confidence bounds
 RECALL = 0.999  # of pairs exactly at the threshold; closer pairs fare better
+LENGTHS = 64  # different lengths of vectors that one table may have
 
 
 @dataclass(frozen=True)
@@ -41,6 +44,12 @@ class Rotations:
     bits: int
     bands: int
     seed: int = 11
+    element: str = "<f8"  # of components as they travel
+
+    @property
+    def kind(self) -> str:
+        """Of a band's bits."""
+        return "<u1" if self.bits <= 8 else "<u2" if self.bits <= 16 else "<u4"
 
     def matrices(self) -> tuple[np.ndarray, np.ndarray]:
         rng = np.random.default_rng(self.seed)
@@ -56,6 +65,13 @@ def band_sizes(largest: int, threshold: float, recall: float = RECALL) -> tuple[
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - agree**bits)) if agree < 1 else 1
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, so that squares neither overflow nor vanish; their
+    cosines stay what they are, to the last bit."""
+    _, exponents = np.frexp(np.abs(vectors).max(axis=1))
+    return np.ldexp(vectors, -exponents[:, None])
+
+
 def encode(unit: np.ndarray, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(codes, corrections, widths) of unit vectors: packed signs of the rotated vectors,
     the inner product of code and vector, and the standard error that the code leaves."""
@@ -65,6 +81,14 @@ def encode(unit: np.ndarray, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.packbits(turned > 0, axis=1), inner, width
 
 
+def quantize(turned: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers from -7 to 7, steps) of rotated vectors: numbers times step are the components
+    on average, as they are rounded up or down at random."""
+    step = np.abs(turned).max(axis=1) / 7 + 1e-12
+    dither = np.random.default_rng(seed).random(turned.shape[1])  # the same for every vector, so that equal vectors have equal numbers
+    return np.clip(np.floor(turned / step[:, None] + dither), -7, 7).astype(np.int8), step
+
+
 def estimate(codes: np.ndarray, inner: np.ndarray, turned: np.ndarray) -> np.ndarray:
     """Unbiased estimates of the inner products of coded vectors (rows) with unit vectors
     given rotated (columns)."""
@@ -74,8 +98,7 @@ def estimate(codes: np.ndarray, inner: np.ndarray, turned: np.ndarray) -> np.nda
 
 
 def representatives(vectors: DataFrame) -> DataFrame:
-    """(rep, label, vector, copies): one row for each distinct valid vector of a label; rep
-    is the smallest vec_id, vector the components in double precision."""
+    """(vec_id, label, vector, valid) of each row, vector the components in double precision."""
     parts = F.col("embedding").cast("array<double>")
     valid = F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~F.exists(parts, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(parts, lambda x: x != 0)
     # -0.0 and 0.0 are one value
@@ -83,68 +106,103 @@ def representatives(vectors: DataFrame) -> DataFrame:
     return rows
 
 
-def _link_rows(table: pa.Table, threshold: float, shared: Rotations):
-    """Links inside the buckets of a table sorted by bucket: (representatives, their link
-    counts weighted by copies, forest u, forest v)."""
-    rotation, directions = shared.matrices()
-    keys = table.column("key").to_numpy()
-    reps = table.column("rep").to_numpy()
-    copies = table.column("copies").to_numpy()
-    band = table.column("band").to_numpy()
-    role = table.column("role").to_numpy()
-    vectors = table.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, shared.dimension)
-    norms = np.sqrt((vectors * vectors).sum(axis=1))
-    unit = vectors / norms[:, None]
-    signs = (unit @ directions > 0).reshape(len(keys), shared.bands, shared.bits)
-    bits = 1 << np.arange(shared.bits)
-    signature = (signs * bits).sum(axis=2)
-    codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(keys), -(-shared.dimension // 8))
-    inner, width = table.column("inner").to_numpy(), table.column("width").to_numpy()
-    turned = unit @ rotation
-    counts = np.zeros(len(keys), np.int64)
-    links: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def judge(i: np.ndarray, j: np.ndarray, guess: np.ndarray) -> None:
-        """Of the pairs that the bounds leave open, those that link are counted in the
-        first band that both share."""
-        open_ = guess + SIGMAS * width[i] >= threshold
-        i, j = i[open_], j[open_]
-        for at in range(0, len(i), 1 << 17):
-            a, b = i[at : at + (1 << 17)], j[at : at + (1 << 17)]
-            cosine = np.einsum("ij,ij->i", vectors[a], vectors[b]) / (norms[a] * norms[b])
-            hit = cosine >= threshold
-            a, b = a[hit], b[hit]
-            links.append((a, b))
-            first = np.argmax(signature[a] == signature[b], axis=1) == band[a]
-            np.add.at(counts, a[first], copies[b[first]])
-            np.add.at(counts, b[first], copies[a[first]])
-
-    bounds = run_bounds(keys)
-    i, j = pairs_in_runs(bounds, 64)
-    for at in range(0, len(i), 1 << 18):
-        a, b = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
-        ok = (role[a] < 0) | (role[a] != role[b])  # a pair of unlike tiles holds pairs between the tiles only
-        a, b = a[ok], b[ok]
-        signs_of = np.unpackbits(codes[a], axis=1, count=shared.dimension).astype(np.float32) * 2 - 1
-        judge(a, b, np.einsum("ij,ij->i", signs_of, turned[b].astype(np.float32)) / (math.sqrt(shared.dimension) * inner[a]))
-    for s, e in zip(bounds[:-1], bounds[1:]):
-        if e - s <= 64:
-            continue
-        own = np.arange(s, e)
-        left, right = (own, own) if role[s] < 0 else (own[role[s:e] == 0], own[role[s:e] == 1])
-        for at in range(0, len(left), 512):
-            rows = left[at : at + 512]
-            guess = estimate(codes[rows], inner[rows], turned[right])
-            a, b = np.nonzero(guess + SIGMAS * width[rows][:, None] >= threshold)
-            a_, b_ = rows[a], right[b]
-            once = a_ < b_ if role[s] < 0 else np.ones(len(a_), bool)
-            judge(a_[once], b_[once], guess[a, b][once])
-    nodes, node = np.unique(reps, return_inverse=True)
-    total = np.bincount(node, weights=counts, minlength=len(nodes)).astype(np.int64)
-    labels = np.arange(len(nodes))
-    for a, b in links:
-        labels = merge_labels(labels, node[a], node[b])
-    return nodes, total, nodes[labels]
+class Cell:
+    """Rows of a table sorted by key, read into arrays. Pairs (i, j) are ordered by ``rep``,
+    and judged by the code of i and the numbers of j."""
+
+    def __init__(self, table: pa.Table, shared: Rotations, threshold: float):
+        own = lambda name: table.column(name).to_numpy()
+        matrix = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind).reshape(table.num_rows, -1)
+        d = shared.dimension
+        self.d, self.threshold = d, threshold
+        self.key, self.rep, self.band, self.role = (own(c) for c in ("key", "rep", "band", "role"))
+        self.inner, self.width, self.step = (own(c).astype(np.float64) for c in ("inner", "width", "step"))
+        self.signs = np.unpackbits(matrix("code", np.uint8), axis=1, count=d).astype(np.float32) * 2 - 1
+        packed = matrix("numbers", np.uint8)
+        self.numbers = np.stack((packed & 15, packed >> 4), axis=2).reshape(table.num_rows, -1)[:, :d].astype(np.float32) - 8
+        self.signature = matrix("signature", shared.kind)
+
+    def upper(self, total: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Upper bounds of cosines from the integer sums of codes and numbers."""
+        guess = total * self.step[j] / (math.sqrt(self.d) * self.inner[i])
+        return guess + SIGMAS * np.sqrt(self.width[i] ** 2 + (self.step[j] / (2 * self.inner[i])) ** 2)
+
+    def open_pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs that count here: their bounds leave them open, and this is the first band in
+        which they agree."""
+
+        def kept(i: np.ndarray, j: np.ndarray, total: np.ndarray):
+            ok = self.upper(total, i, j) >= self.threshold
+            i, j = i[ok], j[ok]
+            for at in range(0, len(i), 1 << 17):
+                a, b = i[at : at + (1 << 17)], j[at : at + (1 << 17)]
+                first = np.argmax(self.signature[a] == self.signature[b], axis=1) == self.band[a]
+                yield a[first], b[first]
+
+        def ordered(i: np.ndarray, j: np.ndarray):
+            swap = self.rep[i] > self.rep[j]
+            return np.where(swap, j, i), np.where(swap, i, j)
+
+        bounds = run_bounds(self.key)
+        i, j = pairs_in_runs(bounds, 64)
+        for at in range(0, len(i), 1 << 18):
+            a, b = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
+            ok = ((self.role[a] < 0) | (self.role[a] != self.role[b])) & (self.rep[a] != self.rep[b])  # a pair of unlike tiles holds pairs between the tiles only
+            a, b = ordered(a[ok], b[ok])
+            yield from kept(a, b, np.einsum("ij,ij->i", self.signs[a], self.numbers[b]))
+        for s, e in zip(bounds[:-1], bounds[1:]):
+            if e - s <= 64:
+                continue
+            own = np.arange(s, e)[np.argsort(self.rep[s:e], kind="stable")]
+            for at in range(0, len(own), 512):
+                rows = own[at : at + 512]
+                later = own[at:]
+                total = self.signs[rows] @ self.numbers[later].T
+                a, b = np.nonzero(self.upper(total, rows[:, None], later[None, :]) >= self.threshold)
+                i, j = rows[a], later[b]
+                ok = (self.rep[i] < self.rep[j]) & ((self.role[i] < 0) | (self.role[i] != self.role[j]))
+                yield from kept(i[ok], j[ok], total[a, b][ok])
+
+
+def _active(threshold: float, shared: Rotations):
+    """(key, rep, band, role) of the rows that have a pair to be computed here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, "key", 8192):
+            cell = Cell(table, shared, threshold)
+            hit = np.zeros(table.num_rows, bool)
+            for i, j in cell.open_pairs():
+                hit[i] = hit[j] = True
+            yield from table.select(["key", "rep", "band", "role"]).filter(pa.array(hit)).combine_chunks().to_batches()
+
+    return run
+
+
+def _links(threshold: float, shared: Rotations):
+    """(rep, n, root): of each representative the rows that it links with, counted by copies,
+    and the smallest representative that links of the table reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, "key", 4096):
+            cell = Cell(table, shared, threshold)
+            _, label = np.unique(np.array(table.column("label").to_pylist(), object).astype(str), return_inverse=True)
+            copies = table.column("copies").to_numpy()
+            vectors = scaled(np.frombuffer(b"".join(table.column("data").to_pylist()), shared.element).reshape(table.num_rows, -1).astype(np.float64))
+            norms = np.sqrt((vectors * vectors).sum(axis=1))
+            nodes, node = np.unique(cell.rep, return_inverse=True)
+            counts, labels = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
+            for i, j in cell.open_pairs():
+                same = label[i] == label[j]  # buckets are hashes of labels and bands
+                i, j = i[same], j[same]
+                cosine = np.einsum("ij,ij->i", vectors[i], vectors[j]) / (norms[i] * norms[j])
+                i, j = i[cosine >= threshold], j[cosine >= threshold]
+                np.add.at(counts, node[i], copies[j])
+                np.add.at(counts, node[j], copies[i])
+                labels = merge_labels(labels, node[i], node[j])
+            keep = counts > 0
+            yield pa.record_batch({"rep": pa.array(nodes[keep]), "n": pa.array(counts[keep]), "root": pa.array(nodes[labels][keep])})
+
+    return run
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, seed: int = 11) -> DataFrame:
@@ -157,69 +215,84 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, seed: int = 11) ->
     null or non-finite component link with nothing, nor do vectors of unlike lengths.
     Rows of equal vectors link with each other. Rows of equal vec_id count as rows of
     their own, joined to the result of their own vector; a null vec_id is kept by
-    none. An empty table gives an empty result."""
-    spark = vectors.sparkSession
-    n = shuffle_partitions(spark)
-    rows = representatives(vectors).withColumn("size", F.coalesce(F.size("vector"), F.lit(0)))
+    none. An empty table gives an empty result. More than LENGTHS lengths are an error."""
+    n = shuffle_partitions(vectors.sparkSession)
+    rows = representatives(vectors)
+    names = (F.xxhash64("label", "vector").alias("h"), F.xxhash64(F.lit(1), "vector", "label").alias("g"))  # 128 bits stand for a vector where its own row is looked up
     groups = rows.where("valid").groupBy("label", "vector").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
-    reps = stage(groups.withColumn("rep", F.xxhash64("label", "vector")), "vectors")
-    sizes = [r["d"] for r in reps.select(F.size("vector").alias("d")).distinct().collect()]
+    reps = stage(groups.select("*", F.monotonically_increasing_id().alias("rep"), *names), "vectors")
+    sizes = sorted(r["d"] for r in reps.select(F.size("vector").alias("d")).distinct().limit(LENGTHS + 1).collect())
+    if len(sizes) > LENGTHS:
+        raise ValueError(f"vectors of more than {LENGTHS} different lengths")
     largest = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, bands = band_sizes(largest, threshold)
+    element = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
     edges = links = None
     for dimension in sizes:
-        shared = Rotations(dimension, bits, bands, seed)
-        e, c = _links_of(reps.where(F.size("vector") == dimension), shared, threshold, n)
+        found = _links_of(reps.where(F.size("vector") == dimension), Rotations(dimension, bits, bands, seed, element), threshold, n)
+        e, c = found.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v")), found.groupBy("rep").agg(F.sum("n").alias("n"))
         edges, links = (e, c) if edges is None else (edges.union(e), links.union(c))
     if edges is None:
         return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     comps = connected_components(edges)
-    joined = reps.select("rep", "low", "copies").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    joined = reps.select("rep", "low", "copies", "h", "g").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     lows = joined.groupBy("component").agg(F.min("low").alias("component_id"))
-    known = joined.join(lows, "component").join(links, "rep", "left").select("rep", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    own = rows.select("vec_id", F.when(F.col("valid"), F.xxhash64("label", "vector")).alias("rep"))
-    return own.join(known, "rep", "left").select(
+    known = joined.join(lows, "component").join(links, "rep", "left").select("h", "g", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    own = rows.select("vec_id", "valid", *names)
+    own = own.select("vec_id", F.when(F.col("valid"), F.col("h")).alias("h"), F.when(F.col("valid"), F.col("g")).alias("g"))
+    return own.join(known, ["h", "g"], "left").select(
         "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(False)).alias("kept")
     )
 
 
-def _links_of(reps: DataFrame, shared: Rotations, threshold: float, n: int) -> tuple[DataFrame, DataFrame]:
-    """Forest (u, v) and link counts (rep, n) among representatives of one length."""
+def _coded(shared: Rotations):
+    """Code, numbers and factors of each representative, its bits in each band, and its
+    components as bytes."""
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rotation, directions = shared.matrices()
+        weights = 1 << np.arange(shared.bits)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 vectors = part.column("vector").flatten().to_numpy().reshape(-1, shared.dimension)
-                unit = vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
+                unit = scaled(vectors)
+                unit = unit / np.sqrt((unit * unit).sum(axis=1))[:, None]
                 codes, inner, width = encode(unit, rotation)
-                signs = (unit @ directions > 0).reshape(len(unit), shared.bands, shared.bits)
-                keys = (signs * (1 << np.arange(shared.bits))).sum(axis=2)
-                m = len(unit)
-                take = pa.array(np.tile(np.arange(m), shared.bands))
-                table = pa.table({"rep": part.column("rep"), "label": part.column("label"), "copies": part.column("copies"), "vector": part.column("vector"), "code": pa.array([c.tobytes() for c in codes], pa.binary()), "inner": inner, "width": width}).take(take)
-                yield from table.append_column("band", pa.array(np.repeat(np.arange(shared.bands, dtype=np.int32), m))).append_column("bits", pa.array(keys.T.ravel().astype(np.int64))).combine_chunks().to_batches()
-
-    schema = "rep long, label string, copies long, vector array<double>, code binary, inner double, width double, band int, bits long"
-    banded = reps.select("rep", "label", "copies", "vector").mapInArrow(spread, schema)
-    keyed = banded.withColumn("bucket", F.xxhash64("label", "band", "bits"))
+                numbers, step = quantize(unit @ rotation, shared.seed)
+                even = np.zeros((len(unit), shared.dimension + shared.dimension % 2), np.uint8)
+                even[:, : shared.dimension] = numbers + 8
+                packed = even[:, ::2] | even[:, 1::2] << 4
+                bits = ((unit @ directions > 0).reshape(len(unit), shared.bands, shared.bits) * weights).sum(axis=2)
+                raw = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
+                yield pa.record_batch(
+                    {"rep": part.column("rep"), "label": part.column("label"), "copies": part.column("copies"), "data": raw(vectors.astype(shared.element)), "code": raw(codes), "numbers": raw(packed), "inner": pa.array(inner, pa.float32()), "width": pa.array(width, pa.float32()), "step": pa.array(step, pa.float32()), "bits": pa.array(bits.astype(np.int32).tolist(), pa.list_(pa.int32())), "signature": raw(bits.astype(shared.kind))}
+                )
+
+    return run
+
+
+CODES = ("code", "numbers", "inner", "width", "step", "signature")
+
+
+def _links_of(reps: DataFrame, shared: Rotations, threshold: float, n: int) -> DataFrame:
+    """(rep, n, root), as ``_links`` finds them, among representatives of one length."""
+    coded = stage(reps.select("rep", "label", "copies", "vector").mapInArrow(lean(_coded(shared)), "rep long, label string, copies long, data binary, code binary, numbers binary, inner float, width float, step float, bits array<int>, signature binary"), "vector-codes")
+    banded = coded.select("rep", "label", *CODES, F.posexplode("bits").alias("band", "own"))
+    keyed = banded.withColumn("bucket", F.xxhash64("label", "band", "own")).drop("label", "own")
     # sizes come from the keys alone; buckets beyond a tile meet by pairs of tiles
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("m")).where(f"m > {TILE}").withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int")).select("bucket", "tiles")
     placed = keyed.join(sizes, "bucket", "left").withColumn("tile", F.when(F.col("tiles").isNotNull(), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("tiles")).cast("int")))
     cells = F.when(F.col("tile").isNull(), F.array(F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.lit(-1).alias("role")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, "tile").alias("a"), F.greatest(t, "tile").alias("b"), F.when(t == F.col("tile"), -1).when(F.col("tile") < t, 0).otherwise(1).alias("role")))
     )
-    met = placed.withColumn("cell", F.explode(cells)).select(F.xxhash64("bucket", "cell.a", "cell.b").alias("key"), "rep", "copies", "vector", "code", "inner", "width", "band", F.col("cell.role").alias("role"))
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_runs(batches, "key", 8192):
-            nodes, counts, roots = _link_rows(table, threshold, shared)
-            keep = (counts > 0) | (roots != nodes)
-            yield pa.record_batch({"rep": pa.array(nodes[keep]), "n": pa.array(counts[keep]), "root": pa.array(roots[keep])})
-
-    found = stage(met.repartition(n, "key").sortWithinPartitions("key").mapInArrow(link, "rep long, n long, root long"), "vector-links")
-    return found.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v")), found.groupBy("rep").agg(F.sum("n").alias("n"))
+    met = placed.withColumn("cell", F.explode(cells)).select(F.xxhash64("bucket", "cell.a", "cell.b").alias("key"), "rep", *CODES, "band", F.col("cell.role").alias("role"))
+    active = stage(met.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lean(_active(threshold, shared)), "key long, rep long, band int, role int"), "vector-open")
+    open_ = active.join(coded.drop("bits"), "rep").select("key", "rep", "band", "role", "label", "copies", "data", *CODES)
+    found = stage(open_.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lean(_links(threshold, shared)), "rep long, n long, root long"), "vector-links")
+    drop_staged(active)
+    drop_staged(coded)
+    return found
 
 
 def op3_rabitq(spark, sf_dir: str) -> DataFrame:
