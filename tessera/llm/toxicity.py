@@ -4,12 +4,12 @@ Categories are predicted one after the other. The model of a category sees the w
 of a text (and the first letters of its longer words) and the probabilities of the
 categories before it. For training these are out-of-fold: each comes from a model
 that was fitted without the row. Models are fitted on a sample of labelled rows whose
-bound is a parameter; everything else covers all rows.
+bound is a parameter, in tasks, those of all folds at once; everything else covers all rows.
+Batches of texts are scored as sparse matrices.
 """
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, stage
+from tessera.llm.common import bound_batches, lean, stage
 
 PER_STRATUM = 4000  # labelled documents of each combination of labels that are fitted on, at most
+MOST_SAMPLED = 64_000  # of all combinations together
 FEATURES = 4096  # of each category at most, those that tell most
 LEAST_DOCS = 3  # of the sample that hold a feature
 FOLDS = 3
@@ -87,29 +88,29 @@ class Chain:
     after: list[np.ndarray]
 
     def predict(self, texts: list[str | None]) -> np.ndarray:
-        out = np.zeros((len(texts), len(self.categories)))
-        for k, text in enumerate(texts):
-            rows = [self.vocabulary[f] for f in features(text) if f in self.vocabulary]
-            own = self.weights[rows].sum(axis=0)
-            for c, after in enumerate(self.after):
-                out[k, c] = sigmoid(own[c] + out[k, :c] @ after[:-1] + after[-1])
+        """Probabilities, text x category. A text of any length is a set of known features."""
+        number = self.vocabulary.get
+        rows = [np.array([k for k in map(number, features(t)) if k is not None], np.int64) for t in texts]
+        x, out = Sparse(rows, len(self.vocabulary)), np.zeros((len(texts), len(self.categories)))
+        for c, after in enumerate(self.after):
+            out[:, c] = sigmoid(x.times(self.weights[:, c]) + out[:, :c] @ after[:-1] + after[-1])
         return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], per_stratum: int) -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], per_stratum: int) -> DataFrame | None:
     """(_id, text, population, labels...) of at most ``per_stratum`` documents of
-    each combination of labels, those first by a hash of the id; of rows of equal id the
-    first text counts. The sample's ids, whose
-    number the parameter bounds, go to all tasks; texts of other documents stay put."""
+    each combination of labels (and MOST_SAMPLED of all), those first by a hash of the id; of
+    rows of equal id the first text counts, and of contradicting labels the larger. The
+    sample's ids, whose number the bounds limit, go to all tasks; texts of other documents
+    stay put."""
     names = list(categories)
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), *[c.cast("double").alias(n) for n, c in categories.items()]).dropna()
-    known = known.where(" AND ".join(f"`{n}` IN (0, 1)" for n in names)).dropDuplicates(["_id"])
-    sizes = {tuple(r[n] for n in names): r["count"] for r in known.groupBy(*names).count().collect()}
+    known = known.where(" AND ".join(f"`{n}` IN (0, 1)" for n in names)).groupBy("_id").agg(*[F.max(n).alias(n) for n in names])
+    sizes = {tuple(r[n] for n in names): r["count"] for r in known.groupBy(*names).count().limit(MOST_SAMPLED).collect()}
     parts = []
-    for values in itertools.product((0.0, 1.0), repeat=len(names)):
-        if values in sizes:
-            own = known.where(" AND ".join(f"`{n}` = {v}" for n, v in zip(names, values)))
-            parts.append(own.orderBy(F.xxhash64("_id"), "_id").limit(per_stratum).withColumn("population", F.lit(float(sizes[values]))))
+    for values in sorted(sizes):
+        own = known.where(" AND ".join(f"`{n}` = {v}" for n, v in zip(names, values)))
+        parts.append(own.orderBy(F.xxhash64("_id"), "_id").limit(min(per_stratum, max(1, MOST_SAMPLED // len(sizes)))).withColumn("population", F.lit(float(sizes[values]))))
     if not parts:
         return None
     chosen = parts[0]
@@ -157,31 +158,55 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], per
     weight = table["population"].to_numpy(float) / strata
     fold = table["_id"].to_numpy(np.int64) % FOLDS
     chain = Chain(names, vocabulary, np.zeros((len(vocabulary), len(names))), [])
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast((rows, y, weight, fold))  # the sample: at most MOST_SAMPLED rows of as many numbers as the vocabulary has
     before = np.zeros((len(rows), 0))
-    x = Sparse(rows, len(vocabulary))
     for c in range(len(names)):
-        own, after = fit(x, before, y[:, c], weight)
-        chain.weights[:, c] = own
+        folds = range(-1, FOLDS if c + 1 < len(names) else 0)  # -1: all rows
+        made = _fits(docs, folds, shared, context.broadcast(before), c, len(vocabulary))
+        chain.weights[:, c], after = made[-1][0], made[-1][1]
         chain.after.append(after)
         if c + 1 < len(names):
-            out = np.zeros(len(rows))
-            for k in range(FOLDS):
-                rest, held_out = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-                if len(rest) and len(held_out):
-                    w, a = fit(Sparse([rows[i] for i in rest], len(vocabulary)), before[rest], y[rest, c], weight[rest])
-                    part = Sparse([rows[i] for i in held_out], len(vocabulary))
-                    out[held_out] = sigmoid(part.times(w) + np.hstack([before[held_out], np.ones((len(held_out), 1))]) @ a)
-            before = np.hstack([before, out[:, None]])
+            before = np.hstack([before, sum(made[k][2] for k in range(FOLDS))[:, None]])
+    shared.unpersist()
     return chain
 
 
+def fit_fold(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, fold: np.ndarray, before: np.ndarray, k: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The model of one category fitted without fold ``k`` (-1: on all rows), and its
+    probabilities for the fold's rows, 0 for others."""
+    rest, held_out = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+    out = np.zeros(len(rows))
+    if not len(rest):
+        return np.zeros(width), np.zeros(before.shape[1] + 1), out
+    w, a = fit(Sparse([rows[i] for i in rest], width), before[rest], y[rest], weight[rest])
+    if len(held_out):
+        part = Sparse([rows[i] for i in held_out], width)
+        out[held_out] = sigmoid(part.times(w) + np.hstack([before[held_out], np.ones((len(held_out), 1))]) @ a)
+    return w, a, out
+
+
+def _fits(docs: DataFrame, folds: range, shared, before, c: int, width: int) -> dict[int, tuple]:
+    """``fit_fold`` of category ``c`` for each of ``folds``, each in a task of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                rows, y, weight, fold = shared.value
+                made = fit_fold(rows, y[:, c], weight, fold, before.value, k, width)
+                yield pa.record_batch({"k": pa.array([k], pa.int64()), "made": pa.array([[m.tobytes() for m in made]], pa.list_(pa.binary()))})
+
+    tasks = docs.sparkSession.range(folds.start, folds.stop, 1, len(folds))
+    return {r["k"]: tuple(np.frombuffer(m) for m in r["made"]) for r in tasks.mapInArrow(lean(run), "k long, made array<binary>").collect()}
+
+
 def score(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], per_stratum: int = PER_STRATUM) -> DataFrame:
     """(doc_id, p_<category>...) for each row of ``docs`` (doc_id, text; other columns are
     ignored), by a chain fitted on ``labels`` (doc_id and the columns that
     ``categories`` names).
 
     Labels that are null or neither 0 nor 1 are not learnt from; of several rows for a
-    doc_id one is. Null and empty texts are scored by what comes without words.
+    doc_id the larger label of each category counts. Null and empty texts are scored by what comes without words.
     Without labelled documents all probabilities are 0. Repeated rows are scored each;
     an empty table gives an empty result."""
     bound_batches(docs.sparkSession)
@@ -197,7 +222,7 @@ def score(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], per
             p = shared.value.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(p[:, c]) for c in range(len(names))]], ["doc_id", *[f"p_{n}" for n in names]])
 
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"`p_{n}` double" for n in names))
+    return rows.mapInArrow(lean(run), "doc_id long, " + ", ".join(f"`p_{n}` double" for n in names))
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -129,3 +131,78 @@ def test_chain(spark):
     assert {r["p_toxic"] for r in toxicity.score(d, lab.where("false"), categories).collect()} == {0.0}
     few = toxicity.sample(d, lab, categories, 10)
     assert few.groupBy("low", "toxic").count().agg(F.max("count")).first()[0] <= 10
+
+
+def plain_chain(docs, labels, names):
+    """The chain over dense matrices: features, choice, fits and folds one by one."""
+    words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    marks = lambda t: {f for w in words(t) for f in [w] + ([w[:4] + "*"] if len(w) > 4 else []) + ([w[:5] + "*"] if len(w) > 5 else [])}
+    known = {}
+    for i, *values in labels:
+        if i is not None and all(v in (0, 1) for v in values):
+            known[i] = [max(p) for p in zip(known.get(i, values), values)]
+    texts = {}
+    for i, t in docs:
+        if i is not None:
+            texts.setdefault(i, []).append(t)
+    ids = sorted(i for i in known if i in texts)
+    rows = [marks(min((t for t in texts[i] if t is not None), default=None)) for i in ids]
+    y = np.array([known[i] for i in ids], float)
+    vocabulary = []
+    everything = sorted({f for r in rows for f in r})
+    has = np.array([[f in r for f in everything] for r in rows], float)
+    n = has.sum(axis=0)
+    for c in range(len(names)):
+        rate = y[:, c].mean()
+        told = (has.T @ y[:, c] - n * rate) ** 2 / np.maximum(n * rate * (1 - rate), 1e-9)
+        vocabulary += [everything[k] for k in np.lexsort((everything, -told)) if n[k] >= 3 and everything[k] not in vocabulary]
+    x = np.array([[f in r for f in vocabulary] for r in rows], float)
+    fold = np.array(ids) % 3
+    population, there = Counter(map(tuple, known.values())), Counter(tuple(known[i]) for i in ids)
+    weight = np.array([population[tuple(known[i])] / there[tuple(known[i])] for i in ids])  # for those that have no text
+
+    def model(x, y, weight):
+        x = np.hstack([x, np.ones((len(x), 1))])
+        t, m, v = np.zeros(x.shape[1]), 0, 0
+        for step in range(1, 151):
+            p = 1 / (1 + np.exp(-x @ t))
+            g = x.T @ (weight * (p - y)) / weight.sum() + 1e-3 * np.append(t[:-1], 0)
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            t = t - 0.1 * (1 if step <= 75 else 0.1) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+        return lambda z: 1 / (1 + np.exp(-np.hstack([z, np.ones((len(z), 1))]) @ t))
+
+    models, seen = [], x
+    for c in range(len(names)):
+        models.append(model(seen, y[:, c], weight))
+        out = np.zeros(len(ids))
+        for k in range(3):
+            out[fold == k] = model(seen[fold != k], y[fold != k, c], weight[fold != k])(seen[fold == k])
+        seen = np.hstack([seen, out[:, None]])
+
+    def predict(text):
+        z = np.array([[f in marks(text) for f in vocabulary]], float)
+        found = []
+        for m in models:
+            found.append(float(m(z)[0]))
+            z = np.hstack([z, [[found[-1]]]])
+        return found
+
+    return predict
+
+
+def test_chain_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"{a}{b}" for a in ("wort", "sp", "mori") for b in ("a", "bcd", "efghi", "jk")]
+    docs = [(k, " ".join(rng.choice(vocabulary, rng.integers(0, 9)))) for k in range(90)]
+    docs += [(5, "again spam"), (90, None), (91, ""), (None, "worta"), (92, "spa " * 60_000 + "moria"), (93, docs[3][1])]
+    labels = [(k, int(rng.random() < 0.4), int("moria" in docs[k][1])) for k in range(88)]
+    labels += [(7, 1, 1), (7, 0, 0), (8, 1, None), (9, 3, 0), (None, 1, 1), (500, 1, 1)]  # ties, absent ones and ids without a text
+    predict = plain_chain(docs, labels, ("low", "toxic"))
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, low int, toxic int")
+    rows = toxicity.score(d, lab, {"low": F.col("low"), "toxic": F.col("toxic")}).collect()
+    assert len(rows) == len(docs)
+    want = {}
+    for i, t in docs:
+        want.setdefault(i, []).append(predict(t))
+    for r in rows:
+        assert any(np.allclose((r["p_low"], r["p_toxic"]), w, atol=1e-6) for w in want[r["doc_id"]]), r
