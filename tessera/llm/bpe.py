@@ -1,21 +1,24 @@
 """Byte-level BPE encoding and decoding by a global distinct-word shuffle.
 
-Each task cuts its texts into blocks and explodes the pre-tokens of a block to its
-distinct words. All blocks' words are shuffled by hash buckets of words, so that one
+Texts are stored in blocks, compressed. The pre-tokens of a block are exploded to its
+distinct words; all blocks' words are shuffled by hash buckets of words, so that one
 task sees every block's words of a bucket and runs the merges once for each distinct
-word. The ids go back to the blocks, to which the texts came compressed, and each text
-is reassembled by walking its pre-tokens in order of position. Decoding joins the
-token-byte table, whose size the vocabulary fixes.
-
-Positions are not shuffled: a text is a sequence of pre-tokens, and the walk over
-the text gives them in order again for less than it costs to move them. What is
-shuffled travels packed, a row for each block and bucket.
+word. The ids go back to the blocks, and each text is reassembled from its block's by walking
+its pre-tokens in order of position. Decoding joins the token-byte table, whose size the
+vocabulary fixes.
+
+What is shuffled travels packed, a row for each block and bucket, and positions are not
+shuffled: a text is a sequence of pre-tokens, and the walk over it gives them in order again.
+As rows of document, position and word the 31 million pre-tokens of the 0.1 GB check table
+would be some 0.6 GB to shuffle, six times the input, and as much again on the ids' way back;
+packed words and ids are about half the input.
 """
 
 from __future__ import annotations
 
 import base64
 import pickle
+import uuid
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -29,7 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, shuffle_partitions
+from tessera.llm.common import bound_batches, lean, new_path, shuffle_partitions, stage
+from tessera.llm.files import Attempt, filesystem
 
 BLOCK_CHARS = 10_000_000  # of text whose distinct words are looked up together
 CHUNK_CHARS = 1_000_000  # of text compressed into one row
@@ -108,6 +112,37 @@ def _unpack(data: bytes):
     return pickle.loads(zstandard.decompress(data))
 
 
+def _store(folder: str):
+    """Writes texts in compressed chunks of blocks to a file for each task, and gives where they
+    are: rows that appear only when the file is whole, and name the file of their own attempt."""
+
+    def run(batches):
+        out, rows, seq = None, [], 0
+        for block, ids, texts in _blocks(batches):
+            at = chars = 0
+            for k in range(len(texts)):
+                chars += len(texts[k])
+                if chars >= CHUNK_CHARS or k + 1 == len(texts):
+                    out = out or Attempt(folder, f"texts-{uuid.uuid4().hex}")
+                    data = _pack((ids[at : k + 1], texts[at : k + 1]))
+                    rows.append({"block": block, "seq": (seq := seq + 1), "path": out.uri, "offset": out.write(data), "length": len(data)})
+                    at, chars = k + 1, 0
+        if out:
+            out.close()
+            yield pa.RecordBatch.from_pylist(rows)
+
+    return run
+
+
+def _read(batch: pa.RecordBatch) -> Iterator[tuple[int, list, list[str]]]:
+    """(block, doc_ids, texts) of each stored chunk."""
+    for row in batch.select(["block", "path", "offset", "length"]).to_pylist():
+        system, path = filesystem(row["path"])
+        with system.open_input_file(path) as file:
+            ids, texts = _unpack(file.read_at(row["length"], row["offset"]))
+        yield row["block"], ids, texts
+
+
 def _distinct_words(pattern: str, buckets: int):
     def run(batches):
         cut = PreTokenizer(pattern)
@@ -121,36 +156,25 @@ def _distinct_words(pattern: str, buckets: int):
                 data = [_pack(sorted(part)) for part in dealt.values()]
                 yield pa.record_batch({"bucket": pa.array(dealt.keys(), pa.int32()), "block": pa.array([now] * len(data), pa.int64()), "words": pa.array(data, pa.binary())})
 
-        for block, _, texts in _blocks(batches):
-            if block != now:
-                yield from rows()
-                now, words, seen = block, set(), set()
-            for text in texts:
-                parts, new, whole = cut.pieces(text, seen)
-                if whole:
-                    words.update(cut.find(text))
-                    continue
-                seen |= new
-                words.update(cut.find(parts[0]))
-                for p in new:
-                    words.update(cut.words(p))
+        for batch in batches:
+            for block, _, texts in _read(batch):
+                if block != now:
+                    yield from rows()
+                    now, words, seen = block, set(), set()
+                for text in texts:
+                    parts, new, whole = cut.pieces(text, seen)
+                    if whole:
+                        words.update(cut.find(text))
+                        continue
+                    seen |= new
+                    words.update(cut.find(parts[0]))
+                    for p in new:
+                        words.update(cut.words(p))
         yield from rows()
 
     return run
 
 
-def _packed(batches):
-    """Texts of each block, in compressed rows."""
-    seq = 0
-    for block, ids, texts in _blocks(batches):
-        at = chars = 0
-        for k in range(len(texts)):
-            chars += len(texts[k])
-            if chars >= CHUNK_CHARS or k + 1 == len(texts):
-                yield pa.record_batch({"block": pa.array([block], pa.int64()), "seq": pa.array([seq := seq + 1], pa.int64()), "data": pa.array([_pack((ids[at : k + 1], texts[at : k + 1]))], pa.binary())})
-                at, chars = k + 1, 0
-
-
 def _encode_words(path: str, pattern: str):
     def run(batches):
         encode, now, known = WordEncoder(path, pattern), None, {}
@@ -164,28 +188,27 @@ def _encode_words(path: str, pattern: str):
                     if word not in known:
                         known[word] = encode(word)
                 data.append(_pack((words, [known[w] for w in words])))
-            yield pa.record_batch({"block": batch.column("block"), "seq": pa.array([0] * len(data), pa.int64()), "data": pa.array(data, pa.binary())})
+            yield pa.record_batch({"block": batch.column("block"), "words": pa.array(data, pa.binary())})
 
     return run
 
 
-def _assemble(path: str, pattern: str):
+def _assemble(pattern: str):
     def run(batches):
-        cut, encode = PreTokenizer(pattern), WordEncoder(path, pattern)
+        cut = PreTokenizer(pattern)
         now, ids_of, known = None, {}, {}
 
         def ids(words: list[str]) -> bytes:
-            # a block that was cut otherwise when a task ran again may lack words
-            return b"".join([found if (found := ids_of.get(w)) is not None else ids_of.setdefault(w, encode(w)) for w in words])
+            return b"".join(map(ids_of.__getitem__, words))  # its words have met every block
 
         for batch in batches:
-            for block, seq, packed in zip(batch.column("block").to_pylist(), batch.column("seq").to_pylist(), batch.column("data")):
+            for k, (block, seq) in enumerate(zip(batch.column("block").to_pylist(), batch.column("seq").to_pylist())):
                 if block != now:
                     now, ids_of, known = block, {}, {}
                 if seq == 0:
-                    ids_of.update(zip(*_unpack(packed.as_py())))
+                    ids_of.update(zip(*_unpack(batch.column("words")[k].as_py())))
                     continue
-                doc_ids, texts = _unpack(packed.as_py())
+                ((_, doc_ids, texts),) = _read(batch.slice(k, 1))
                 for at in range(0, len(texts), 128):
                     out = []
                     for text in texts[at : at + 128]:
@@ -237,15 +260,18 @@ DECODED = "doc_id long, ids binary, bytes binary"
 
 
 def _encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Rows (block, seq, data) from which ``_assemble`` makes the ids: of each block the
-    packed words with their ids (seq 0), then its packed texts."""
-    bound_batches(docs.sparkSession)
-    n = shuffle_partitions(docs.sparkSession)
+    """Rows (block, seq, words, path, offset, length) from which ``_assemble`` makes the ids:
+    of each block the packed words with their ids (seq 0), then where its texts are. Texts are
+    read from what was stored once, so a task that runs again finds the same blocks."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    n = shuffle_partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    words = rows.mapInArrow(_distinct_words(pattern, BUCKETS * n), "bucket int, block long, words binary")
-    schema = "block long, seq long, data binary"
-    coded = words.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(path, pattern), schema)
-    return coded.unionByName(rows.mapInArrow(_packed, schema)).repartition(n, "block").sortWithinPartitions("block", "seq")
+    stored = stage(rows.mapInArrow(lean(_store(new_path(spark, "bpe-texts"))), "block long, seq long, path string, offset long, length long"), "bpe-blocks")
+    dealt = stored.repartition(4 * n, "block").sortWithinPartitions("block", "seq")
+    words = dealt.mapInArrow(lean(_distinct_words(pattern, BUCKETS * n)), "bucket int, block long, words binary")
+    coded = words.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_encode_words(path, pattern)), "block long, words binary").withColumn("seq", F.lit(0).cast("long"))
+    return coded.unionByName(stored, allowMissingColumns=True).repartition(4 * n, "block").sortWithinPartitions("block", "seq")
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -255,7 +281,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     Null and empty texts have no ids (an empty binary). Rows with equal or null
     doc_id are each encoded. An empty table gives an empty result."""
-    return _encoded(docs, path, pattern).mapInArrow(_assemble(path, pattern), ENCODED)
+    return _encoded(docs, path, pattern).mapInArrow(lean(_assemble(pattern)), ENCODED)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -268,8 +294,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``decode`` of ``encode``: (doc_id, ids, bytes), both steps in one process of a task."""
-    assemble, back = _assemble(path, pattern), _decode(path)
-    return _encoded(docs, path, pattern).mapInArrow(lambda batches: back(assemble(batches)), DECODED)
+    assemble, back = _assemble(pattern), _decode(path)
+    return _encoded(docs, path, pattern).mapInArrow(lean(lambda batches: back(assemble(batches))), DECODED)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
