@@ -16,8 +16,6 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -27,41 +25,20 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import bound_batches, lean, shuffle_partitions
 
-PIECE = 96  # code points of a piece at most
-RUN = 4  # a piece has about so many words
+PIECE = 96  # code points of a piece at most, besides the white space that ends it
 SECTION = 8  # a section has about so many paragraphs
-# characters of scripts without spaces are words of their own; longer runs than 32 are cut
-_WORDS = re.compile(r"[\u3000-\U0010ffff]\s*|[^\s\u3000-\U0010ffff]{1,32}\s*|\s+")
-
-
-@lru_cache(1 << 17)
-def _ends(word: str) -> bool:
-    return zlib.crc32(word.rstrip().encode("utf-8", "surrogatepass")) % RUN == 0
+#: A piece ends after a word whose last character is one of these, which about every fourth
+#: word of Latin script has, or after such a character of a script without spaces (about every
+#: fourth of them): where it ends depends on what it says, not on where it stands.
+LAST = "adhlt.T0"
+WIDE = re.escape("".join(chr(c) for c in range(0x3000, 0xD800) if c * 0x9E37 >> 3 & 3 == 0))
+_PIECES = re.compile(rf".{{0,{PIECE - 1}}}?(?:[{LAST}](?!\S)|[{WIDE}])\s*|.{{1,{PIECE}}}(?<=\s)|.{{1,{PIECE}}}\s*", re.DOTALL)
 
 
 def _pieces(line: str) -> list[str]:
-    """The line cut after words that end a piece, and where a piece would grow beyond PIECE
-    code points (but white space is never cut)."""
-    words = _WORDS.findall(line)
-    places = list(accumulate(map(len, words)))
-    cuts = [at for at, end in zip(places, map(_ends, words)) if end]
-    if words and (not cuts or cuts[-1] < len(line)):
-        cuts.append(len(line))
-    pieces = [line[a:b] for a, b in zip([0, *cuts], cuts)]
-    if not pieces or max(map(len, pieces)) <= PIECE:
-        return pieces
-    found, start, at = [], 0, 0
-    for word, end in zip(words, places):
-        if end - start > PIECE and at > start:
-            found.append(line[start:at])
-            start = at
-        if _ends(word):
-            found.append(line[start:end])
-            start = end
-        at = end
-    if at > start:
-        found.append(line[start:at])
-    return found
+    """The line cut into pieces: after the first word that ends one, else after the last word
+    of PIECE code points, else after as many."""
+    return _PIECES.findall(line)
 
 
 def _hash(data: bytes, size: int = 16) -> bytes:
@@ -73,19 +50,22 @@ def _short(digest: bytes) -> str:
 
 
 class Node:
-    """A branch or piece: hash (bytes, and as fingerprints have it), how many pieces and code
-    points it has, and branches below. A paragraph's code points hold its line's end."""
+    """A branch: its hash, how many pieces and code points it has, and what is below: of a
+    section its paragraphs, of a paragraph (hash, length) of its pieces. A paragraph's code
+    points hold its line's end. ``text`` is the branch as fingerprints have it."""
 
-    __slots__ = ("below", "digest", "length", "name", "pieces")
+    __slots__ = ("below", "digest", "length", "pieces", "text")
 
-    def __init__(self, digest: bytes, length: int, below: list[Node] | None = None, name: str | None = None):
-        self.digest, self.length, self.below, self.name = digest, length, below, name or _short(digest)
-        self.pieces = 1 if below is None else sum([b.pieces for b in below])
+    def __init__(self, digest: bytes, length: int, pieces: int, below: list, text: str):
+        self.digest, self.length, self.pieces, self.below, self.text = digest, length, pieces, below, text
 
 
-@lru_cache(1 << 16)
-def _leaf(piece: str) -> Node:
-    return Node(_hash(piece.encode("utf-8", "surrogatepass")), len(piece))
+def _paragraph(line: str) -> Node:
+    pieces = _pieces(line)
+    digests = [_hash(p.encode("utf-8", "surrogatepass")) for p in pieces]
+    digest = _hash(b"p" + b"".join(digests))
+    text = f"{_short(digest)}={base64.urlsafe_b64encode(b''.join([d[:6] for d in digests])).decode()}"
+    return Node(digest, len(line) + 1, len(pieces), list(zip(digests, map(len, pieces))), text)
 
 
 class Tree:
@@ -99,15 +79,12 @@ class Tree:
 
         def end():
             digest = _hash(b"s" + b"".join([p.digest for p in now]))
-            self.sections.append(Node(digest, sum([p.length for p in now]), list(now)))
+            self.sections.append(Node(digest, sum([p.length for p in now]), sum([p.pieces for p in now]), list(now), f"{_short(digest)}:" + ";".join([p.text for p in now])))
             now.clear()
 
         for line in text.split("\n"):
             node = self.lines.get(line) or next((t.lines[line] for t in known if line in t.lines), None)
-            if node is None:
-                pieces = list(map(_leaf, _pieces(line)))
-                node = Node(_hash(b"p" + b"".join([p.digest for p in pieces])), len(line) + 1, pieces)
-            self.lines[line] = node
+            self.lines[line] = node = node or _paragraph(line)
             now.append(node)
             if not line.strip() or node.digest[0] % SECTION == 0:
                 end()
@@ -117,7 +94,7 @@ class Tree:
         self.pieces = sum([s.pieces for s in self.sections])
 
     def __str__(self) -> str:
-        return self.root + "|" + "/".join([f"{s.name}:" + ";".join([f"{p.name}=" + "".join([x.name for x in p.below]) for p in s.below]) for s in self.sections])
+        return self.root + "|" + "/".join([s.text for s in self.sections])
 
 
 def parse(fingerprint: str) -> Tree:
@@ -130,13 +107,23 @@ def parse(fingerprint: str) -> Tree:
         below = []
         for paragraph in paragraphs.split(";"):
             name, _, pieces = paragraph.partition("=")
-            leaves = [pieces[k : k + 8] for k in range(0, len(pieces), 8)]
-            below.append(Node(name.encode(), 0, [Node(x.encode(), 0, None, x) for x in leaves], name))
-        tree.sections.append(Node(own.encode(), 0, below, own))
+            leaves = [(pieces[k : k + 8].encode(), 0) for k in range(0, len(pieces), 8)]
+            below.append(Node(name.encode(), 0, len(leaves), leaves, paragraph))
+        tree.sections.append(Node(own.encode(), 0, sum(p.pieces for p in below), below, section))
     tree.pieces = sum(s.pieces for s in tree.sections)
     return tree
 
 
+def _below(nodes: list[tuple[Node, int]]) -> list[tuple[Node, int]]:
+    """Branches below, with where each begins."""
+    found = []
+    for node, at in nodes:
+        for below in node.below:
+            found.append((below, at))
+            at += below.length
+    return found
+
+
 def compare(one: Tree, other: Tree) -> tuple[float, list[tuple[int, int]]]:
     """How like two trees are, and the spans of code points of ``one`` whose pieces ``other``
     lacks. Branches of equal hash are alike as wholes and not looked into; of the others the
@@ -150,34 +137,35 @@ def compare(one: Tree, other: Tree) -> tuple[float, list[tuple[int, int]]]:
         own.append((section, at))
         at += section.length
     theirs, common = list(other.sections), 0
-    for level in range(3):
-        there = Counter(node.digest for node in theirs)
-        alike = there & Counter(node.digest for node, _ in own)
-        left: list[tuple[Node, int]] = []
+    for level in range(2):  # sections, then paragraphs
+        alike = Counter([n.digest for n in theirs]) & Counter([n.digest for n, _ in own])
+        left: list[tuple] = []
         taken = Counter(alike)
         for node, at in own:
             if taken[node.digest] > 0:
                 taken[node.digest] -= 1
                 common += node.pieces
-            elif level == 2:
-                left.append((node, at))
             else:
-                for below in node.below:
-                    left.append((below, at))
-                    at += below.length
-        rest: list[Node] = []
+                left.append((node, at))
+        rest = []
         for node in theirs:
             if alike[node.digest] > 0:
                 alike[node.digest] -= 1
-            elif level < 2:
+            else:
                 rest += node.below
-        own, theirs = left, rest
+        own, theirs = _below(left) if level == 0 else left, rest
+    there = Counter([digest for digest, _ in theirs])
     spans: list[tuple[int, int]] = []
-    for node, at in own:
-        if spans and spans[-1][1] == at:
-            spans[-1] = (spans[-1][0], at + node.length)
-        else:
-            spans.append((at, at + node.length))
+    for paragraph, at in own:
+        for digest, length in paragraph.below:
+            if there[digest] > 0:
+                there[digest] -= 1
+                common += 1
+            elif spans and spans[-1][1] == at:
+                spans[-1] = (spans[-1][0], at + length)
+            else:
+                spans.append((at, at + length))
+            at += length
     total = one.pieces + other.pieces
     return (min(2.0 * common / total, 1 - 1e-9) if total else 0.0), spans
 

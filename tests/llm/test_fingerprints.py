@@ -1,7 +1,5 @@
 import hashlib
 import random
-import re
-import zlib
 from collections import Counter
 
 from tessera.llm import merkle
@@ -53,21 +51,27 @@ def test_likeness_does_not_depend_on_length():
         edited = text[: len(text) - len(text) // 2] + "a short next document"
         assert 0.5 < likeness(fingerprint(text), fingerprint(edited)) < 0.9, n
         assert sum(e - s for s, e in edits(Tree(text), Tree(edited))) < 0.65 * len(text), n
-    line = "".join(random.choice("日本語文書木林森山川") for _ in range(900))
+    line = "".join(random.choice("日本語文書木林森山川水火土金月星空海") for _ in range(900))
     assert "".join(merkle._pieces(line)) == line and likeness(fingerprint(line), fingerprint(line[:430])) > 0.5
 
 
 def plain_pieces(line):
-    """Runs of words that end after a word whose CRC is 0 modulo 4, or before 96 code points are passed."""
-    words = re.findall(r"[　-\U0010ffff]\s*|[^\s　-\U0010ffff]{1,32}\s*|\s+", line)
-    found = [""]
-    for w in words:
-        if found[-1] and len(found[-1] + w) > 96:
-            found.append("")
-        found[-1] += w
-        if zlib.crc32(w.rstrip().encode()) % 4 == 0:
-            found.append("")
-    return [p for p in found if p]
+    """Pieces one by one: up to a word's last character that ends one, or a wide one, and the white space after it."""
+    ends = lambda k: (line[k] in "adhlt.T0" and (k + 1 == len(line) or line[k + 1].isspace())) or ("\u3000" <= line[k] < "\ud800" and ord(line[k]) * 0x9E37 >> 3 & 3 == 0)
+    found, at = [], 0
+    while at < len(line):
+        stop = next((k + 1 for k in range(at, min(at + 96, len(line))) if ends(k)), None)
+        if stop is None:
+            stop = min(at + 96, len(line))
+            stop = next((k + 1 for k in range(stop - 1, at - 1, -1) if line[k].isspace()), stop)
+            white = line[stop - 1].isspace()
+        else:
+            white = False
+        while not white and stop < len(line) and line[stop].isspace():
+            stop += 1
+        found.append(line[at:stop])
+        at = stop
+    return found
 
 
 def plain_root(text):
