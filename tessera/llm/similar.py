@@ -261,15 +261,18 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _apart(least: float, star: int | None):
     """Pairs of sets in different components that share a bucket, with their sizes and the
     number of buckets: around one set of each bucket (in round 0 the one that shares most
-    buckets, later that one outside the largest component), or all."""
+    buckets, later that one outside the largest component), to which each other set is paired
+    in one bucket only, the one that is drawn for it; or all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, "key", 1 << 16):
             key, node, size, at, label, shared = (table.column(c).to_numpy() for c in ("key", "node", "size", "at", "label", "shared"))
             odd = np.stack([table.column(c).to_numpy() for c in PARITIES]).view(np.uint64)
+            drawn = np.ones(len(key), bool) if star is None else table.column("drawn").to_numpy(zero_copy_only=False)
             bounds = run_bounds(key)
             i, j = pairs_in_runs(bounds, 2)
-            found, held = [(i[label[i] != label[j]], j[label[i] != label[j]])], 0
+            ok = (label[i] != label[j]) & (drawn[i] | drawn[j])
+            found, held = [(i[ok], j[ok])], 0
 
             def rows():
                 i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
@@ -298,7 +301,7 @@ def _apart(least: float, star: int | None):
                     hubs = [s + int(np.argmax(np.where(where != counts.argmax(), shared[s:e], 0)))] if len(labels) > 1 else []
                 for i in hubs:
                     j = np.flatnonzero(own != label[i]) + s
-                    j = j[j > i] if star is None else j
+                    j = j[j > i] if star is None else j[drawn[j]]
                     if len(j):
                         found.append((np.full(len(j), i), j))
                         held += len(j)
@@ -376,15 +379,18 @@ def similar_components(sets: DataFrame, least: float) -> DataFrame:
         common = mended
         drop_staged(met)
     # a text that copies were made from shares more buckets than they: their edits are in none
-    known = sets.groupBy("node").agg(*[F.first(c).alias(c) for c in PARITIES]).join(met.groupBy("node").agg(F.count("*").alias("shared")), "node")
+    lots = [F.xxhash64("key", F.lit(k)) for k in range(STARS)]
+    known = sets.groupBy("node").agg(*[F.first(c).alias(c) for c in PARITIES]).join(met.groupBy("node").agg(F.count("*").alias("shared"), F.array(*map(F.min, lots)).alias("lots")), "node")
     members = stage(met.join(known, "node"), "similar-members")
     drop_staged(met)
     star: int | None = 0
     while True:
-        now = members.join(comps, "node", "left").select("key", "node", "size", "at", "shared", *PARITIES, F.coalesce("component", "node").alias("label"))
+        drawn = F.lit(True) if star is None else lots[star] == F.col("lots")[star]
+        now = members.join(comps, "node", "left").select("key", "node", "size", "at", "shared", *PARITIES, F.coalesce("component", "node").alias("label"), drawn.alias("drawn"))
         met = now.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(lean(_apart(least, star)), "u long, v long, size int, other int, n long")
-        met = met.groupBy("u", "v").agg(F.first("size").alias("size"), F.first("other").alias("other"), F.sum("n").alias("n")).where(_enough(least)).select("u", "v")
-        more = similar_links(sets, met, least)
+        met = met.groupBy("u", "v").agg(F.first("size").alias("size"), F.first("other").alias("other"), F.sum("n").alias("n"))
+        # only the last round sees all that two sets share
+        more = similar_links(sets, (met.where(_enough(least)) if star is None else met).select("u", "v"), least)
         found = not more.isEmpty()
         if found:
             links = links.union(more)
