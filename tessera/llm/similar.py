@@ -32,7 +32,7 @@ OFTEN = 4  # texts of a task that hold a shingle, from which on it may be among
 CROWD = 64  # sets that meet at a shingle, beyond which the order should have it among them
 ORDERS = 3  # times that the order is mended by such shingles, at most
 REMEMBERED = 1 << 18  # nodes that a task remembers so as to pass copies on once
-STARS = 2  # rounds in which buckets are computed around one set, before all pairs still apart
+STARS = 3  # rounds in which buckets are computed around one set, before all pairs still apart
 SENT = 2_000_000  # nodes up to which their list goes to all tasks; a longer one is joined by shuffle
 
 # --- sets ---------------------------------------------------------------------------
@@ -259,10 +259,10 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _apart(least: float, star: int | None):
-    """Pairs of sets in different components that share a bucket, with their sizes and the
-    number of buckets: around one set of each bucket (in round 0 the one that shares most
-    buckets, later that one outside the largest component), to which each other set is paired
-    in one bucket only, the one that is drawn for it; or all."""
+    """Pairs of sets in different components that share a bucket: (u, v) around one set of each
+    bucket (in round 0 the one that shares most buckets, later that one outside the largest
+    component), to which each other set is paired in one bucket only, the one that is drawn
+    for it; or, without ``star``, all, packed by u with sizes and numbers of buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, "key", 1 << 16):
@@ -284,9 +284,14 @@ def _apart(least: float, star: int | None):
                 i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
                 order = np.lexsort((node[j], node[i]))
                 i, j = i[order], j[order]
-                starts = run_bounds(np.stack((node[i], node[j]), axis=1).view([("u", np.int64), ("v", np.int64)]).reshape(-1))
-                n, i, j = np.diff(starts), i[starts[:-1]] if len(i) else i, j[starts[:-1]] if len(j) else j
-                return pa.record_batch({"u": pa.array(node[i]), "v": pa.array(node[j]), "size": pa.array(size[i]), "other": pa.array(size[j]), "n": pa.array(n)})
+                pair = np.stack((node[i], node[j]), axis=1).view([("u", np.int64), ("v", np.int64)]).reshape(-1)
+                starts = run_bounds(pair)
+                n, i, j = np.diff(starts).astype("<i4"), i[starts[:-1]] if len(i) else i, j[starts[:-1]] if len(j) else j
+                if star is not None:
+                    return pa.record_batch({"u": pa.array(node[i]), "v": pa.array(node[j])})
+                lists = run_bounds(node[i])
+                others = [node[j[s:e]].astype("<i8").tobytes() + size[j[s:e]].astype("<i4").tobytes() + n[s:e].tobytes() for s, e in zip(lists[:-1], lists[1:])] if len(i) else []
+                return pa.record_batch({"u": pa.array(node[i[lists[:-1]]] if len(i) else node[i]), "size": pa.array(size[i[lists[:-1]]] if len(i) else size[i]), "others": pa.array(others, pa.binary())})
 
             for s, e in zip(bounds[:-1], bounds[1:]):
                 if e - s < 3:
@@ -314,12 +319,32 @@ def _apart(least: float, star: int | None):
     return run
 
 
-def _enough(least: float) -> Column:
-    """Whether two sets share so many of their first shingles that they can have the
-    similarity: of the set whose first shingles end earlier in the order, only the others
-    can be shared besides."""
-    rest = lambda n: F.ceil(n * least - 1e-9) - 1
-    return F.col("n") + F.greatest(rest(F.col("size")), rest(F.col("other"))) >= F.ceil((F.col("size") + F.col("other")) * (least / (1 + least)) - 1e-9)
+def _enough(least: float):
+    """Pairs (u, v) that share so many of their first shingles, over all buckets, that they can
+    have the similarity: of the set whose first shingles end earlier in the order, only the
+    others can be shared besides. Rows are sorted by u, whose ``others`` are packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = lambda n: _up(n * least) - 1
+        for table in whole_runs(batches, "u", 4096):
+            held = [[], [], [], []]
+            for u, size, data in zip(table.column("u").to_pylist(), table.column("size").to_pylist(), table.column("others").to_pylist()):
+                m = len(data) // 16
+                for out, x in zip(held, (np.full(m, u), np.full(m, size), np.frombuffer(data, "<i8", m), np.frombuffer(data, "<i4", 2 * m, 8 * m))):
+                    out.append(x)
+            if not held[0]:
+                continue
+            u, own, v = (np.concatenate(x) for x in held[:3])
+            size, n = (np.concatenate([x.reshape(2, -1)[k] for x in held[3]]) for k in (0, 1))
+            order = np.lexsort((v, u))
+            u, own, v, size, n = u[order], own[order], v[order], size[order], n[order].astype(np.int64)
+            starts = run_bounds(np.stack((u, v), axis=1).view([("u", np.int64), ("v", np.int64)]).reshape(-1))[:-1]
+            n = np.add.reduceat(n, starts)
+            u, own, v, size = u[starts], own[starts], v[starts], size[starts]
+            ok = n + np.maximum(rest(own), rest(size)) >= _up((own + size) * (least / (1 + least)))
+            yield pa.record_batch({"u": pa.array(u[ok]), "v": pa.array(v[ok])})
+
+    return run
 
 
 def _similar(least: float):
@@ -387,10 +412,13 @@ def similar_components(sets: DataFrame, least: float) -> DataFrame:
     while True:
         drawn = F.lit(True) if star is None else lots[star] == F.col("lots")[star]
         now = members.join(comps, "node", "left").select("key", "node", "size", "at", "shared", *PARITIES, F.coalesce("component", "node").alias("label"), drawn.alias("drawn"))
-        met = now.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(lean(_apart(least, star)), "u long, v long, size int, other int, n long")
-        met = met.groupBy("u", "v").agg(F.first("size").alias("size"), F.first("other").alias("other"), F.sum("n").alias("n"))
-        # only the last round sees all that two sets share
-        more = similar_links(sets, (met.where(_enough(least)) if star is None else met).select("u", "v"), least)
+        dealt = now.repartition(n, "key").sortWithinPartitions("key", "node")
+        if star is None:  # only this round sees all that two sets share
+            lists = dealt.mapInArrow(lean(_apart(least, None)), "u long, size int, others binary")
+            met = lists.repartition(n, "u").sortWithinPartitions("u").mapInArrow(lean(_enough(least)), "u long, v long")
+        else:
+            met = dealt.mapInArrow(lean(_apart(least, star)), "u long, v long").distinct()
+        more = similar_links(sets, met, least)
         found = not more.isEmpty()
         if found:
             links = links.union(more)
