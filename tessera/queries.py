@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from functools import cached_property
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -220,6 +221,7 @@ add("args_divide_column_sums_sparse", lambda a: a.Q / a.Q.sum(axis=0), "SELECT q
 add("args_integer_floor_divide", lambda a: a.U // 3, cells("u", "(v // 3)::BIGINT", False))
 add("args_integer_remainder", lambda a: (a.U - 7) % 3, cells("uw", "(((v - 7) % 3 + 3) % 3)::BIGINT", False), True)
 add("args_integer_power", lambda a: a.U**2, cells("u", "(v * v)::BIGINT", False))
+add("args_integer_power_exact", lambda a: (a.U // a.U * 5) ** 25, "SELECT d0, d1, 298023223876953125::BIGINT AS v FROM u")
 
 # --- two arrays
 
@@ -288,6 +290,7 @@ add("reduce_sum_3d", lambda a: a.L3.sum(axis=(0, 2)), "SELECT d1 AS d0, sum(v)::
 add("reduce_mean_3d", lambda a: a.L3.mean(axis=-1), "SELECT i::BIGINT AS d0, j::BIGINT AS d1, round(coalesce(sum(v), 0) / 3.0, 6)::DOUBLE AS v FROM (SELECT unnest(range(0, (SELECT max(s_suppkey) + 1 FROM supplier)::BIGINT)) AS i) t CROSS JOIN range(0, 7) x(j) LEFT JOIN l3 ON l3.d0 = i AND l3.d1 = j GROUP BY ALL", True)
 add("reduce_sum_int", lambda a: a.U.sum(axis=1), "SELECT d0, sum(v)::BIGINT AS v FROM u GROUP BY d0")
 add("reduce_any", lambda a: (a.E > 0.4).any(axis=1), "SELECT d0, bool_or(v > 0.4) AS v FROM e GROUP BY d0")
+add("reduce_any_typed", lambda a: (a.E > 0.4).any(axis=1, dtype="int32"), "SELECT d0, bool_or(v > 0.4)::INT AS v FROM e GROUP BY d0")
 add("reduce_all", lambda a: (a.E < 0.4).all(axis=1), "SELECT d0, bool_and(v < 0.4) AS v FROM e GROUP BY d0")
 add("reduce_any_masked", lambda a: (a.EM > 0.4).any(axis=1), "SELECT d0, bool_or(v > 0.4) AS v FROM em GROUP BY d0")
 add("reduce_all_masked", lambda a: (a.EM < 0.4).all(axis=1), "SELECT d0, bool_and(v < 0.4) AS v FROM em GROUP BY d0")
@@ -307,6 +310,10 @@ add("export_csc", lambda a: _packed(tessera.to_csc(a.Q)), "SELECT d1 AS major, s
 add("export_coo", lambda a: tessera.to_coo(a.U), 'SELECT d0 AS "row", d1 AS "column", v AS value FROM u')
 add("source_triples", lambda a: tessera.from_coo(a.spark, (4, 5), [0, 3, 3], [1, 0, 4], np.array([1.5, -2.0, 4.0])), "SELECT d0::BIGINT AS d0, d1::BIGINT AS d1, v::DOUBLE AS v FROM (VALUES (0, 1, 1.5), (3, 0, -2.0), (3, 4, 4.0)) t(d0, d1, v)")
 add("source_sparse_tree", lambda a: tessera.sparse_ndarray(a.spark, (5, 3), [None, (np.array([0, 3]), np.array([1.5, -2.0])), (np.array([2]), np.array([4.0]))]), "SELECT d0::BIGINT AS d0, d1::BIGINT AS d1, v::DOUBLE AS v FROM (VALUES (0, 1, 1.5), (3, 1, -2.0), (2, 2, 4.0)) t(d0, d1, v)")
+_CELLS = "SELECT d0::BIGINT AS d0, d1::BIGINT AS d1, v::DOUBLE AS v FROM (VALUES (0, 1, 1.5), (3, 0, -2.0), (3, 4, 4.0)) t(d0, d1, v)"
+add("source_csr", lambda a: tessera.from_csr(a.spark, (4, 5), [0, 1, 1, 1, 3], [1, 0, 4], np.array([1.5, -2.0, 4.0])), _CELLS)
+add("source_csc", lambda a: tessera.from_csc(a.spark, (4, 5), [0, 1, 2, 2, 2, 3], [3, 0, 3], np.array([-2.0, 1.5, 4.0])), _CELLS)
+add("source_matrix_object", lambda a: tessera.wrap(SimpleNamespace(format="csr", shape=(4, 5), indptr=np.array([0, 1, 1, 1, 3]), indices=np.array([1, 0, 4], "int32"), data=np.array([1.5, -2.0, 4.0]))).copy(), _CELLS)
 add("source_numpy", lambda a: tessera.from_numpy(a.spark, np.arange(6.0).reshape(2, 3)), "SELECT i::BIGINT AS d0, j::BIGINT AS d1, (i * 3 + j)::DOUBLE AS v FROM range(0, 2) t(i), range(0, 3) x(j)")
 
 
