@@ -27,12 +27,14 @@ def components(ids, fps, most=2):
     return [low[i] for i in label]
 
 
-def test_against_brute_force(spark, docs, none):
+def test_against_brute_force(spark, docs, none, monkeypatch):
     rows = docs.select("doc_id", "text").collect()
     fps = [plain(r[1]) for r in rows]
     want = sorted(zip([r[0] or -1 for r in rows], fps, components([r[0] for r in rows], fps)), key=str)
-    got = simhash.near_duplicates(docs).select("doc_id", simhash.fingerprint_hex().alias("f"), "component_id").collect()
-    assert sorted(((r[0] or -1, int(r[1], 16), r[2]) for r in got), key=str) == want
+    for share in (1 / 1000, 0.2, 1.0):  # all, some and no fingerprints are of many rows
+        monkeypatch.setattr(simhash, "HOT", share)
+        got = simhash.near_duplicates(docs).select("doc_id", simhash.fingerprint_hex().alias("f"), "component_id").collect()
+        assert sorted(((r[0] or -1, int(r[1], 16), r[2]) for r in got), key=str) == want
     assert simhash.near_duplicates(none).count() == 0
 
 
