@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, free_name, lean
+from tessera.llm.common import bound_batches, free_name, lean, run_bounds
 
 BUCKET_BITS = 15
 ORDERS = (1, 2, 3)
@@ -56,13 +56,14 @@ def _hash(codes: np.ndarray, order: int) -> np.ndarray:
 
 
 def grams(texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(numbers of texts, buckets) of all n-grams of all texts, in pieces. An n-gram lies in
-    one text, whose runs of what is no letter count as one space; a lone space is none."""
+    """(numbers of texts, ascending, and buckets) of all n-grams of all texts, in pieces of one
+    order each. An n-gram lies in one text, whose runs of what is no letter count as one
+    space; a lone space is none."""
     longest = max(ORDERS)
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size, carried = 0, 0
 
-    def piece(last: bool) -> tuple[np.ndarray, np.ndarray]:
+    def piece(last: bool) -> list[tuple[np.ndarray, np.ndarray]]:
         nonlocal held, size, carried
         rows, codes = (np.concatenate([h[k] for h in held]) for k in (0, 1))
         again = (codes[1:] == 32) & (codes[:-1] == 32) & (rows[1:] == rows[:-1])
@@ -71,7 +72,7 @@ def grams(texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         rows, codes = rows[keep], codes[keep]
         # places from which all n-grams are whole: the others wait for what follows
         ready = len(codes) if last else max(0, len(codes) - longest + 1)
-        found_rows, found = [], []
+        found = []
         for order in ORDERS:
             n = min(ready, len(codes) - order + 1)
             if n <= 0:
@@ -79,12 +80,10 @@ def grams(texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             ok = rows[:n] == rows[order - 1 : n + order - 1]
             if order == 1:
                 ok &= codes[:n] != 32
-            found.append(_hash(codes, order)[:n][ok])
-            found_rows.append(rows[:n][ok])
+            found.append((rows[:n][ok], _hash(codes, order)[:n][ok]))
         held, carried = [(rows[ready:], codes[ready:])], len(codes) - ready
         size = carried
-        empty = np.zeros(0, np.int64)
-        return np.concatenate([empty, *found_rows]), np.concatenate([empty, *found])
+        return found
 
     for k, text in enumerate(texts):
         for at in range(0, len(text), STEP):
@@ -92,9 +91,9 @@ def grams(texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             held.append((np.full(len(codes), k), codes))
             size += len(codes)
             if size >= STEP:
-                yield piece(False)
+                yield from piece(False)
     if held:
-        yield piece(True)
+        yield from piece(True)
 
 
 class Model:
@@ -115,10 +114,11 @@ class Model:
         total = np.zeros((m, len(self.languages)))
         for rows, buckets in grams([t or "" for t in texts]):
             if len(rows):
-                first, n = rows[0], rows.max() + 1
-                count[first:n] += np.bincount(rows - first, minlength=n - first)
+                bounds = run_bounds(rows)
+                own = rows[bounds[:-1]]
+                count[own] += np.diff(bounds)
                 for k, log in enumerate(self.log):
-                    total[first:n, k] += np.bincount(rows - first, log[buckets], n - first)
+                    total[own, k] += np.add.reduceat(log.take(buckets), bounds[:-1])
         # n-grams of one text are far from independent: the score takes them as fewer
         odds = total * np.minimum(1.0, EVIDENCE / np.maximum(count, 1))[:, None] + self.prior
         best = np.argmax(total + self.prior, axis=1)
