@@ -30,9 +30,10 @@ CHUNK = 1 << 18  # bytes of texts hashed at once, or one text's shingle if that
 COMMON = 1 << 16  # shingles that the order puts last, at most
 OFTEN = 4  # texts of a task that hold a shingle, from which on it may be among them
 CROWD = 64  # sets that meet at a shingle, beyond which the order should have it among them
-ORDERS = 3  # times that the order is mended by such shingles, at most
+ORDERS = 2  # times that the order is mended by such shingles, at most
 REMEMBERED = 1 << 18  # nodes that a task remembers so as to pass copies on once
-STARS = 3  # rounds in which buckets are computed around one set, before all pairs still apart
+STARS = 2  # rounds in which buckets are computed around one set, before all pairs still apart
+FEW_NODES = 500_000  # nodes up to which the components found so far go to all tasks (8 MB); more are joined by shuffle
 SENT = 2_000_000  # nodes up to which their list goes to all tasks; a longer one is joined by shuffle
 
 # --- sets ---------------------------------------------------------------------------
@@ -250,7 +251,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = (key[-1], node[-1])
             yield batch.filter(pa.array(fresh))
 
-    for table in whole_runs(once(), "key", 1 << 16):
+    for table in whole_runs(once(), "key", 1 << 15):
         sizes = np.diff(run_bounds(table.column("key").to_numpy()))
         yield from table.filter(pa.array(np.repeat(sizes > 1, sizes))).to_batches()
 
@@ -265,7 +266,7 @@ def _apart(least: float, star: int | None):
     for it; or, without ``star``, all, packed by u with sizes and numbers of buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_runs(batches, "key", 1 << 16):
+        for table in whole_runs(batches, "key", 1 << 15):
             key, node, size, at, label, shared = (table.column(c).to_numpy() for c in ("key", "node", "size", "at", "label", "shared"))
             odd = np.stack([table.column(c).to_numpy() for c in PARITIES]).view(np.uint64)
             drawn = np.ones(len(key), bool) if star is None else table.column("drawn").to_numpy(zero_copy_only=False)
@@ -411,7 +412,8 @@ def similar_components(sets: DataFrame, least: float) -> DataFrame:
     star: int | None = 0
     while True:
         drawn = F.lit(True) if star is None else lots[star] == F.col("lots")[star]
-        now = members.join(comps, "node", "left").select("key", "node", "size", "at", "shared", *PARITIES, F.coalesce("component", "node").alias("label"), drawn.alias("drawn"))
+        sent = F.broadcast(comps) if comps.count() <= FEW_NODES else comps
+        now = members.join(sent, "node", "left").select("key", "node", "size", "at", "shared", *PARITIES, F.coalesce("component", "node").alias("label"), drawn.alias("drawn"))
         dealt = now.repartition(n, "key").sortWithinPartitions("key", "node")
         if star is None:  # only this round sees all that two sets share
             lists = dealt.mapInArrow(lean(_apart(least, None)), "u long, size int, others binary")
