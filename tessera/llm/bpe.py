@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bound_batches, lean, new_path, shuffle_partitions, stage
 from tessera.llm.files import Attempt, filesystem
 
-BLOCK_CHARS = 10_000_000  # of text whose distinct words are looked up together
+BLOCK_CHARS = 5_000_000  # of text whose distinct words are looked up together
 CHUNK_CHARS = 1_000_000  # of text compressed into one row
 BUCKETS = 8  # of words for each shuffle partition
 

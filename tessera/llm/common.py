@@ -40,7 +40,7 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
-BATCH_BYTES = 8 << 20  # of rows that go to a Python worker at once
+BATCH_BYTES = 4 << 20  # of rows that go to a Python worker at once
 
 
 def bound_batches(spark: SparkSession) -> None:
