@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bound_batches, lean, new_path, shuffle_partitions, stage
 from tessera.llm.files import Attempt, filesystem
 
-BLOCK_CHARS = 5_000_000  # of text whose distinct words are looked up together
+BLOCK_CHARS = 10_000_000  # of text whose distinct words are looked up together
 CHUNK_CHARS = 1_000_000  # of text compressed into one row
-BUCKETS = 8  # of words for each shuffle partition
+BUCKETS = 4  # of words for each shuffle partition
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -88,16 +88,16 @@ class PreTokenizer:
         return self.find(" " + piece)
 
 
-def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
+def _blocks(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[tuple[int, list, list[str]]]:
     """(block, doc_ids, texts): pieces of the stream, in order; blocks are numbered by
-    task and hold about BLOCK_CHARS of text."""
+    task and hold about ``most`` code points of text."""
     block, chars = TaskContext.get().partitionId() << 24, 0
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
         at = 0
         for k, text in enumerate(texts):
             chars += len(text)
-            if chars >= BLOCK_CHARS:
+            if chars >= most:
                 yield block, ids[at : k + 1], texts[at : k + 1]
                 at, block, chars = k + 1, block + 1, 0
         if at < len(texts):
@@ -112,13 +112,13 @@ def _unpack(data: bytes):
     return pickle.loads(zstandard.decompress(data))
 
 
-def _store(folder: str):
+def _store(folder: str, most: int):
     """Writes texts in compressed chunks of blocks to a file for each task, and gives where they
     are: rows that appear only when the file is whole, and name the file of their own attempt."""
 
     def run(batches):
         out, rows, seq = None, [], 0
-        for block, ids, texts in _blocks(batches):
+        for block, ids, texts in _blocks(batches, most):
             at = chars = 0
             for k in range(len(texts)):
                 chars += len(texts[k])
@@ -259,7 +259,7 @@ ENCODED = "doc_id long, ids binary"
 DECODED = "doc_id long, ids binary, bytes binary"
 
 
-def _encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def _encoded(docs: DataFrame, path: str, pattern: str, block_chars: int) -> DataFrame:
     """Rows (block, seq, words, path, offset, length) from which ``_assemble`` makes the ids:
     of each block the packed words with their ids (seq 0), then where its texts are. Texts are
     read from what was stored once, so a task that runs again finds the same blocks."""
@@ -267,21 +267,22 @@ def _encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     bound_batches(spark)
     n = shuffle_partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    stored = stage(rows.mapInArrow(lean(_store(new_path(spark, "bpe-texts"))), "block long, seq long, path string, offset long, length long"), "bpe-blocks")
-    dealt = stored.repartition(4 * n, "block").sortWithinPartitions("block", "seq")
+    stored = stage(rows.mapInArrow(lean(_store(new_path(spark, "bpe-texts"), block_chars)), "block long, seq long, path string, offset long, length long"), "bpe-blocks")
+    dealt = stored.repartition(n, "block").sortWithinPartitions("block", "seq")
     words = dealt.mapInArrow(lean(_distinct_words(pattern, BUCKETS * n)), "bucket int, block long, words binary")
     coded = words.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_encode_words(path, pattern)), "block long, words binary").withColumn("seq", F.lit(0).cast("long"))
-    return coded.unionByName(stored, allowMissingColumns=True).repartition(4 * n, "block").sortWithinPartitions("block", "seq")
+    return coded.unionByName(stored, allowMissingColumns=True).repartition(n, "block").sortWithinPartitions("block", "seq")
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, ids) for each row of ``docs`` (doc_id, text; other columns are ignored):
     ids of the whole text as little-endian unsigned 32-bit integers, each match of
     ``pattern`` encoded separately by the rank file ``path``, no special tokens.
 
     Null and empty texts have no ids (an empty binary). Rows with equal or null
-    doc_id are each encoded. An empty table gives an empty result."""
-    return _encoded(docs, path, pattern).mapInArrow(lean(_assemble(pattern)), ENCODED)
+    doc_id are each encoded. An empty table gives an empty result. Words are looked up for
+    blocks of ``block_chars``: larger ones shuffle less and take more memory."""
+    return _encoded(docs, path, pattern, block_chars).mapInArrow(lean(_assemble(pattern)), ENCODED)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -292,10 +293,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(_decode(path), DECODED)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``decode`` of ``encode``: (doc_id, ids, bytes), both steps in one process of a task."""
     assemble, back = _assemble(pattern), _decode(path)
-    return _encoded(docs, path, pattern).mapInArrow(lean(lambda batches: back(assemble(batches))), DECODED)
+    return _encoded(docs, path, pattern, block_chars).mapInArrow(lean(lambda batches: back(assemble(batches))), DECODED)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

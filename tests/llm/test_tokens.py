@@ -23,8 +23,9 @@ def library():
 def test_byte_bpe_against_the_library(spark, docs, none, monkeypatch):
     enc = library()
     want = sorted((r[0] or -1, np.array(enc.encode_ordinary(r[1] or ""), "<u4").tobytes(), (r[1] or "").encode()) for r in docs.select("doc_id", "text").collect())
-    got = bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS).collect()
-    assert sorted((r[0] or -1, bytes(r[1]), bytes(r[2])) for r in got) == want
+    for size in (10_000_000, 40):  # one block for each task, and many
+        got = bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN, block_chars=size), RANKS).collect()
+        assert sorted((r[0] or -1, bytes(r[1]), bytes(r[2])) for r in got) == want
     key = lambda i: -1 if i is None else i
     want = [(r[0], np.array(enc.encode_ordinary(r[1] or ""), "<u4").tobytes(), (r[1] or "").encode()) for r in docs.select("doc_id", "text").collect()]
     made = {key(r[0]): tuple(r[1:]) for r in bpe.digests(docs, RANKS, public_tokenizers.PATTERN).collect()}
