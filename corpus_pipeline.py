@@ -36,7 +36,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Ids of every document as little-endian unsigned 32-bit integers, with whether they
     decode to its text."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    decoded = bpe.round_trip(docs, path, public_tokenizers.PATTERN)
+    decoded = bpe.round_trip(docs, path, public_tokenizers.PATTERN, block_chars=4_000_000)  # executors that have run four stages have less memory left
     return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
