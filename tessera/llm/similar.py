@@ -11,6 +11,8 @@ pairs out before they leave a task.
 
 Sets hold 48 bits of a 64-bit polynomial hash of each shingle, computed for whole batches at
 once. Equal sets are one node; a node with its set travels once for each pair that is computed.
+All sets together are larger than the stored texts, so they are never written: each pass
+computes from the texts those it needs.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ COMMON = 1 << 16  # shingles that the order puts last, at most
 OFTEN = 4  # texts of a task that hold a shingle, from which on it may be among them
 CROWD = 64  # sets that meet at a shingle, beyond which the order should have it among them
 ORDERS = 2  # times that the order is mended by such shingles, at most
+SAMPLE = 8  # one row of so many shows which they are
+NEIGHBOURS = 64  # sets that meet at a shingle, up to which all pairs of them are looked at to find those that none can be similar to
 REMEMBERED = 1 << 18  # nodes that a task remembers so as to pass copies on once
 STARS = 2  # rounds in which buckets are computed around one set, before all pairs still apart
 FEW_NODES = 500_000  # nodes up to which the components found so far go to all tasks (8 MB); more are joined by shuffle
@@ -120,7 +124,7 @@ def unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u4", n).astype(np.uint64) << np.uint64(16) | np.frombuffer(data, "<u2", n, 4 * n).astype(np.uint64)
 
 
-_SETS = "key long, doc_id long, node long, size int, fp long, p0 long, p1 long, p2 long, p3 long, shingles binary"
+_ROWS = "key long, doc_id long, node long, size int, fp long, p0 long, p1 long, p2 long, p3 long, odd binary"
 PARITIES = ("p0", "p1", "p2", "p3")
 
 
@@ -131,33 +135,78 @@ def parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
 
 
+MOST_CELLS = 16  # bits of the number of cells of a long set, at most
+
+
+def odd_cells(top: np.ndarray) -> bytes:
+    """As ``parities``, of 48-bit hashes and with about a cell for each of them: bounds that
+    hold long texts apart, too."""
+    cells = 1 << min(max(6, (len(top) - 1).bit_length()), MOST_CELLS)
+    odd = np.bincount((top & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def least_apart(one: bytes, other: bytes) -> int:
+    """Hashes that only one of two sets has, at least, by their ``odd_cells``."""
+    x, y = np.frombuffer(one, np.uint8), np.frombuffer(other, np.uint8)
+    while len(x) != len(y):  # the halves of the longer one fall into the same cells
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), "text")
 
 
+def texts_of(docs: DataFrame) -> DataFrame:
+    """(key, text) of every row of ``docs``: a hash of id and text, and the text's bytes."""
+    return docs.select(row_key().alias("key"), F.col("text").cast("binary").alias("text"))
+
+
+def _node(packed: bytes) -> int:
+    return xxhash.xxh64_intdigest(packed, 42)
+
+
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(key, doc_id, node, size, fp, p0 to p3, shingles) of every row: a hash of id and text,
-    a hash of its set, the set's size, SimHash, parities and the set."""
+    """(key, doc_id, node, size, fp, p0 to p3, odd) of every row: a hash of id and text, a hash
+    of its set, the set's size, SimHash, parities and odd cells."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, fps, odd = [], [], []
+            sizes, nodes, fps, odd, cells = [], [], [], [], []
             for h in shingle_hashes([t.as_py() or b"" for t in batch.column(2)], width):
-                sets.append(pack(h))
+                packed = pack(h)
+                sizes.append(len(packed) // 6)
+                nodes.append(_node(packed))
                 fps.append(simhash(h))
                 odd.append(parities(h))
+                cells.append(odd_cells(unpack(packed)))
             odd = np.stack(odd, axis=1) if odd else np.zeros((4, 0), np.int64)
-            nodes = np.array([xxhash.xxh64_intdigest(x, 42) for x in sets], np.uint64).view(np.int64)
-            yield pa.record_batch({"key": batch.column(0), "doc_id": batch.column(1), "node": pa.array(nodes), "size": pa.array([len(x) // 6 for x in sets], pa.int32()), "fp": pa.array(np.array(fps, np.uint64).view(np.int64)), **{name: pa.array(odd[k]) for k, name in enumerate(PARITIES)}, "shingles": pa.array(sets, pa.binary())})
+            yield pa.record_batch({"key": batch.column(0), "doc_id": batch.column(1), "node": pa.array(np.array(nodes, np.uint64).view(np.int64)), "size": pa.array(sizes, pa.int32()), "fp": pa.array(np.array(fps, np.uint64).view(np.int64)), **{name: pa.array(odd[k]) for k, name in enumerate(PARITIES)}, "odd": pa.array(cells, pa.binary())})
+
+    return docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), _ROWS)
+
+
+def _from_sets(texts: DataFrame, width: int, run, schema: str) -> DataFrame:
+    """``run`` over batches (node, shingles) of the sets of ``texts``, which stay in their task."""
+    bound_batches(texts.sparkSession)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [pack(h) for h in shingle_hashes([t.as_py() or b"" for t in batch.column(0)], width)]
+            nodes = np.array([_node(x) for x in packed], np.uint64).view(np.int64)
+            yield pa.record_batch({"node": pa.array(nodes), "shingles": pa.array(packed, pa.binary())})
 
-    return docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), _SETS)
+    return texts.select("text").mapInArrow(lean(lambda batches: run(sets(batches))), schema)
 
 
 # --- places where sets meet ------------------------------------------------------------
 
 
-def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of shingles that many texts hold, and their counts: at most COMMON."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +217,7 @@ def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             return pa.record_batch({"h": pa.array(values[counts >= OFTEN].view(np.int64)), "n": pa.array(counts[counts >= OFTEN])})
 
         for batch in batches:
-            for x in batch.column(0):
+            for x in batch.column(1):
                 held.append(unpack(x.as_py()))
                 n += len(held[-1])
                 if n > 1 << 18:
@@ -177,7 +226,7 @@ def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield counted()
 
-    found = sets.select("shingles").mapInArrow(lean(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    found = _from_sets(texts, width, run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
     hashes, counts = found.column("h").to_numpy().astype(np.uint64), found.column("n").to_numpy()
     order = np.argsort(hashes)
     return hashes[order], counts[order]
@@ -236,10 +285,11 @@ def _firsts(least: float, common: tuple[np.ndarray, np.ndarray]):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and node, each node once in a bucket, and buckets of several only."""
+def _shared(least: float | None):
+    """Of rows sorted by key and node, each node once in a bucket, and buckets of several only;
+    with ``least``, without the rows that can reach it with no other of their bucket."""
 
-    def once():
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
             key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -251,9 +301,21 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = (key[-1], node[-1])
             yield batch.filter(pa.array(fresh))
 
-    for table in whole_runs(once(), "key", 1 << 15):
-        sizes = np.diff(run_bounds(table.column("key").to_numpy()))
-        yield from table.filter(pa.array(np.repeat(sizes > 1, sizes))).to_batches()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(once(batches), "key", 1 << 15):
+            bounds = run_bounds(table.column("key").to_numpy())
+            sizes = np.diff(bounds)
+            if least is None:
+                keep = np.repeat(sizes > 1, sizes)
+            else:
+                keep = np.repeat(sizes > NEIGHBOURS, sizes)
+                size, at = (table.column(c).to_numpy() for c in ("size", "at"))
+                i, j = pairs_in_runs(bounds, NEIGHBOURS)
+                ok = _may_reach(least, size[i], at[i], size[j], at[j])
+                keep[i[ok]] = keep[j[ok]] = True
+            yield from table.filter(pa.array(keep)).to_batches()
+
+    return run
 
 
 # --- pairs ----------------------------------------------------------------------------------
@@ -361,19 +423,50 @@ def _similar(least: float):
     return run
 
 
-def similar_links(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """Those of the distinct ``pairs`` (u, v) whose sets in ``sets`` (node, shingles) have the
-    similarity."""
+def _may_be(least: float):
+    """Pairs (u, v) that sizes and odd cells do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            most = both - 2 * _up(both * (least / (1 + least)))
+            apart = np.array([least_apart(a.as_py(), b.as_py()) for a, b in zip(batch.column(4), batch.column(5))], np.int64)
+            yield pa.record_batch({"u": batch.column(0), "v": batch.column(1)}).filter(pa.array(apart <= most))
+
+    return run
+
+
+def similar_links(texts: DataFrame, rows: DataFrame, width: int, pairs: DataFrame, least: float) -> DataFrame:
+    """Those of the distinct ``pairs`` (u, v) whose sets have the similarity. ``rows`` (key,
+    node, size, odd) tells whose they are. Only sets of pairs that odd cells leave open are
+    computed, each from one row of ``texts``."""
     pairs = stage(pairs, "similar-pairs")
     n = pairs.count()
     if not n:
         return pairs
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    held = stage(sets.select("node", "shingles").join(F.broadcast(ids) if 2 * n <= SENT else ids, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "similar-sets")
-    both = pairs.join(held.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v").join(held.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
-    links = stage(both.select("u", "v", "a", "b").mapInArrow(lean(_similar(least)), "u long, v long"), "similar-links")
+
+    def nodes(pairs: DataFrame, n: int) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        return F.broadcast(ids) if 2 * n <= SENT else ids
+
+    def with_both(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
+        for end in "vu":
+            pairs = pairs.join(of.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns]), end)
+        return pairs.select("u", "v", *[f"{c}_{end}" for c in columns for end in "uv"])
+
+    whose = stage(rows.join(nodes(pairs, n), "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("odd").alias("odd")), "similar-whose")
+    left = stage(with_both(pairs, whose, "size", "odd").mapInArrow(lean(_may_be(least)), "u long, v long"), "similar-open")
     drop_staged(pairs)
-    drop_staged(held)
+    n = left.count()
+    if not n:
+        drop_staged(whose)
+        return left
+    keys = whose.join(nodes(left, n), "node", "left_semi").select("key")
+    own = texts.join(F.broadcast(keys) if 2 * n <= SENT else keys, "key", "left_semi")
+    held = stage(_from_sets(own, width, lambda batches: batches, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "similar-sets")
+    links = stage(with_both(left, held, "shingles").mapInArrow(lean(_similar(least)), "u long, v long"), "similar-links")
+    for done in (whose, left, held):
+        drop_staged(done)
     return links
 
 
@@ -388,22 +481,28 @@ def fingerprint_pairs(sets: DataFrame) -> DataFrame:
     return equal.union(near).distinct()
 
 
-def similar_components(sets: DataFrame, least: float) -> DataFrame:
-    """(node, component) of all nodes of ``sets`` (node, size, fp, shingles) that links of
+def similar_components(docs: DataFrame, sets: DataFrame, width: int, least: float) -> DataFrame:
+    """(node, component) of all nodes of ``sets``, the shingle sets of ``docs``, that links of
     Jaccard similarity ``least`` or more join to others; no pair is left out."""
     n = shuffle_partitions(sets.sparkSession)
-    links = similar_links(sets, fingerprint_pairs(sets), least)
+    texts = texts_of(docs)
+    links = similar_links(texts, sets, width, fingerprint_pairs(sets), least)
     comps = stage(connected_components(links), "similar-components")
-    common = common_shingles(sets)
-    for k in range(ORDERS + 1):
-        first = sets.select("node", "shingles").mapInArrow(lean(_firsts(least, common)), "key long, node long, size int, at int")
-        met = stage(first.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(lean(_shared), "key long, node long, size int, at int"), "similar-met")
-        crowds = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
-        mended = _merged(common, (crowds.column("key").to_numpy().astype(np.uint64), crowds.column("n").to_numpy()))
-        if k == ORDERS or np.array_equal(mended[0], common[0]):
+    common = common_shingles(texts, width)
+
+    def dealt_firsts(texts: DataFrame, least_met: float | None) -> DataFrame:
+        schema = "key long, node long, size int, at int"
+        first = _from_sets(texts, width, _firsts(least, common), schema)
+        return first.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(lean(_shared(least_met)), schema)
+
+    some = texts.where(F.pmod("key", F.lit(SAMPLE)) == 0)
+    for _ in range(ORDERS):  # by a sample: the order bears on speed only, and whole tables are dealt once
+        crowds = dealt_firsts(some, None).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD / SAMPLE).orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
+        mended = _merged(common, (crowds.column("key").to_numpy().astype(np.uint64), SAMPLE * crowds.column("n").to_numpy()))
+        if np.array_equal(mended[0], common[0]):
             break
         common = mended
-        drop_staged(met)
+    met = stage(dealt_firsts(texts, least), "similar-met")
     # a text that copies were made from shares more buckets than they: their edits are in none
     lots = [F.xxhash64("key", F.lit(k)) for k in range(STARS)]
     known = sets.groupBy("node").agg(*[F.first(c).alias(c) for c in PARITIES]).join(met.groupBy("node").agg(F.count("*").alias("shared"), F.array(*map(F.min, lots)).alias("lots")), "node")
@@ -420,7 +519,7 @@ def similar_components(sets: DataFrame, least: float) -> DataFrame:
             met = lists.repartition(n, "u").sortWithinPartitions("u").mapInArrow(lean(_enough(least)), "u long, v long")
         else:
             met = dealt.mapInArrow(lean(_apart(least, star)), "u long, v long").distinct()
-        more = similar_links(sets, met, least)
+        more = similar_links(texts, sets, width, met, least)
         found = not more.isEmpty()
         if found:
             links = links.union(more)
@@ -438,9 +537,10 @@ def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     ``least`` or more on shingles of ``width`` words join, one row stays, that of the smallest
     doc_id; null ids come last, rows of one id by a hash of their text. Rows are told apart
     by id and text: unlike texts that share an id, or have none, all stay. Wordless and
-    null texts are one group. Columns of any name pass unchanged; an empty table stays empty."""
+    null texts are one group. Columns of any name pass unchanged; an empty table stays empty.
+    ``docs`` is read several times: it should be a stored table."""
     sets = stage(shingle_sets(docs, width), "similar-rows")
-    comps = similar_components(sets, least)
+    comps = similar_components(docs, sets, width, least)
     found = sets.select("key", "doc_id", "node").join(comps, "node", "left").select("key", "doc_id", F.coalesce("component", "node").alias("root"))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("key")).select("key", F.lit(True).alias("stays"))
     keys = stage(found.groupBy("key").agg(F.count("*").alias("n")).join(first, "key", "left").select("key", "n", F.coalesce("stays", F.lit(False)).alias("stays")), "similar-keys")

@@ -1,3 +1,4 @@
+import pathlib
 import random
 
 import numpy as np
@@ -106,3 +107,36 @@ def test_components_are_the_same_by_one_task_or_many(spark, monkeypatch):
         monkeypatch.setattr(common, "FEW", few)
         assert dict(map(tuple, common.connected_components(df).collect())) == label
         assert common.connected_components(df.where("false")).count() == 0
+
+
+def test_odd_cells_never_hold_more_than_differs():
+    rng = np.random.default_rng(11)
+    for n, m in ((1, 1), (40, 40), (60, 70), (500, 520), (1025, 1024), (70_000, 80_000)):
+        for share in (0.0, 0.5, 0.95):
+            pool = np.unique(rng.integers(0, 1 << 48, n + m, np.uint64))
+            rng.shuffle(pool)
+            both = int(share * min(n, m))
+            a, b = pool[:n], np.concatenate((pool[:both], pool[n : n + m - both]))
+            x, y = similar.odd_cells(a), similar.odd_cells(b)
+            apart = len(np.setxor1d(a, b))
+            assert similar.least_apart(x, x) == 0
+            assert apart / 8 <= similar.least_apart(x, y) == similar.least_apart(y, x) <= apart
+
+
+def test_sets_are_not_written_and_the_table_is_dealt_once(spark, monkeypatch):
+    random.seed(12)
+    draw = lambda n: " ".join(f"w{random.randint(0, 10**6)}" for _ in range(n))
+    passages = [draw(40) for _ in range(4)]  # in many texts: the order of shingles has to be mended
+    texts = [f"{passages[k % 4]} {draw(120)}" for k in range(1200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(60)
+    written, real = [], similar.stage
+
+    def stage(frame, name):
+        out = real(frame, name)
+        written.append((name, sum(f.stat().st_size for f in pathlib.Path(out.staged_path).rglob("part-*"))))
+        return out
+
+    monkeypatch.setattr(similar, "stage", stage)
+    assert similar.keep_one(df).count() == len(texts)
+    assert [name for name, _ in written].count("similar-met") == 1
+    assert max(n for _, n in written) < 6 * 156 * len(texts) / 2  # 6 bytes for each shingle
