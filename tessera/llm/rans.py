@@ -43,7 +43,7 @@ PART = struct.Struct("<IQI")  # first step, first word, CRC of ids; the states f
 PIECES_CHARS = 4_000_000  # of texts whose distinct pieces are looked up together
 
 
-#: Kinds of bytes of lower-case text in UTF-8. Signs are of ASCII; × and ÷ are no letters and count as others.
+#: Kinds of bytes of text in UTF-8 whose A-Z are in lower case. Signs are of ASCII; × and ÷ are no letters and count as others.
 SPACE, LETTER, DIGIT, SIGN, SHORT, FIRST, SECOND, OTHER = range(8)
 KINDS = np.full(256, OTHER, np.uint8)
 KINDS[list(range(33, 127))] = SIGN
@@ -51,7 +51,12 @@ KINDS[list(b" \t\n\x0b\x0c\r")] = SPACE
 KINDS[list(b"0123456789")] = DIGIT
 KINDS[list(b"abcdefghijklmnopqrstuvwxyz")] = LETTER
 KINDS[0xC3] = FIRST
-KINDS[[0x9F, *range(0xA0, 0xB7), *range(0xB8, 0xC0)]] = SECOND
+KINDS[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = SECOND
+KINDS_OF = KINDS.tobytes()
+LOWERED = bytes(range(256)).lower()
+#: Second bytes of capitals to those of lower-case letters.
+SMALL = np.arange(256, dtype=np.uint8)
+SMALL[0x80:0x9F] += 0x20
 #: The pattern of words that is matched by kinds of bytes.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -65,6 +70,7 @@ WORD_BYTES = [*LOWER.encode(), 0xC3, 0x9F, *range(0xA0, 0xB7), *range(0xB8, 0xC0
 
 NUMBERS = np.zeros(256, np.uint8)
 NUMBERS[WORD_BYTES] = np.arange(1, len(WORD_BYTES) + 1)
+NUMBERS_OF = NUMBERS.tobytes()
 
 
 @lru_cache(1)
@@ -112,8 +118,8 @@ class Tokenizer:
 
     For a file that folds white space, lower-cases, keeps the matches of a pattern and
     maps bytes to letters (the steps are read from the file), texts of ASCII and Latin-1
-    letters are cut into words by their bytes, many texts at once; words of letters are
-    merged together by tiktoken under the file's merges (``word_ranks``), other matches are
+    letters are cut into words by their bytes, many texts at once; of their distinct words those
+    of letters are merged together by tiktoken under the file's merges (``word_ranks``), others are
     looked up. Of other texts the distinct pieces between white space are cut into words,
     and each distinct word is encoded once and remembered, at most ``remember`` of them;
     pieces with letters beyond Latin-1 go to the library as they are, and so do whole texts
@@ -145,6 +151,8 @@ class Tokenizer:
             self.merge = tiktoken.Encoding("words", pat_str=r"[^\x00]+", mergeable_ranks=ranks, special_tokens={})
             self.id_of = np.zeros(max(ids) + 1, np.uint32)
             self.id_of[list(ids)] = list(ids.values())
+            self.last = np.zeros(len(self.id_of), bool)
+            self.last[[rank for token, rank in ranks.items() if token[-1] > len(WORD_BYTES)]] = True
         else:
             self.merge = None
         self.words: dict[str, bytes] = {}
@@ -200,78 +208,89 @@ class Tokenizer:
         places = np.concatenate(([0], 4 * ends))[np.cumsum([0] + [len(own) for own in cut])].tolist()
         return [data[s:e] for s, e in zip(places, places[1:])]
 
-    def _by_bytes(self, texts: list[str]) -> list[bytes | None]:
-        """Ids of texts of ASCII and Latin-1 letters; None for others."""
-        data = np.frombuffer("\n".join([*texts, ""]).lower().encode(), np.uint8)
-        kind = KINDS[data]
-        second = np.concatenate(([False], data[:-1] == 0xC3))
-        # second bytes stand after the first byte, which stands before nothing else
-        kind[second != (kind == SECOND)] = OTHER
-        kind[(kind == SECOND) | (data == 0xC3) & (kind == FIRST)] = LETTER
+    def _units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        """The texts' bytes in lower case with a line end after each, where the pattern's matches
+        begin in them, the texts' bounds, and which texts have others than ASCII and
+        Latin-1 letters; those are blank here."""
+        raw = [t.encode() for t in texts]
+        lines = np.cumsum([0] + [len(t) + 1 for t in raw])
+        text = b"\n".join([*raw, b""]).translate(LOWERED)
+        data = np.frombuffer(bytearray(text), np.uint8)
+        kind = np.frombuffer(bytearray(text.translate(KINDS_OF)), np.uint8)
+        firsts = np.flatnonzero(kind == FIRST)
+        if len(firsts):  # a letter of two bytes, the second of which stands after nothing else
+            right = kind[firsts + 1] == SECOND
+            kind[firsts[~right]] = OTHER
+            firsts = firsts[right]
+            kind[firsts] = kind[firsts + 1] = LETTER
+            data[firsts + 1] = SMALL[data[firsts + 1]]
+        odd = np.flatnonzero(np.maximum.reduceat(kind, lines[:-1]) == OTHER).tolist()
+        for k in odd:
+            kind[lines[k] : lines[k + 1]], data[lines[k] : lines[k + 1]] = SPACE, 32
         # an apostrophe that begins a run of signs goes with the letters that the pattern names
-        before, ahead = np.concatenate(([SPACE], kind[:-1])), np.concatenate((data, [0, 0]))
-        marks = np.flatnonzero((data == 39) & (before != SIGN))
-        one, two = ahead[marks + 1], ahead[marks + 2]
+        marks = np.flatnonzero((data == 39) & (kind == SIGN))
+        marks = marks[(marks == 0) | (kind[marks - 1] != SIGN)]
+        one, two = data[marks + 1], data[np.minimum(marks + 2, len(data) - 1)]
         size = np.where(np.isin(one, list(b"stmd")), 2, np.where(((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108), 3, 0))
         for k in range(3):
             kind[marks[size > k] + k] = SHORT
-        # units: runs of letters, runs of signs, digits, apostrophes with their letters
-        starts = (kind != np.concatenate(([SPACE], kind[:-1]))) | (kind == DIGIT)
+        # runs of letters, runs of signs, digits, apostrophes with their letters
+        starts = kind == DIGIT
+        starts[:1] |= kind[:1] != SPACE
+        starts[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] != SPACE)
         starts[marks[size > 0]] = True
-        starts = np.flatnonzero(starts & (kind != SPACE))
-        kinds = kind[starts]
-        stops = np.concatenate((starts[1:], [len(data)]))
-        # a unit ends where white space begins, too
-        gaps = np.flatnonzero((kind == SPACE) & (before != SPACE))
-        if len(gaps):
-            place = np.minimum(np.searchsorted(gaps, starts, "right"), len(gaps) - 1)
-            stops = np.where(gaps[place] > starts, np.minimum(stops, gaps[place]), stops)
-        letters = kinds == LETTER
-        symbols = np.where(kind == LETTER, NUMBERS[data], 0).astype(np.uint8)
-        symbols[stops[letters] - 1] += len(WORD_BYTES)
-        # words stand apart even where one follows another without a gap, as after an apostrophe's letters they do
+        return data, np.flatnonzero(starts), lines, odd
+
+    def _distinct(self, data: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, lengths) of matches, which stand with the white space after them between
+        ``bounds`` of ``data``."""
+        symbols = np.frombuffer(bytearray(data.translate(NUMBERS_OF)), np.uint8)
+        letters = symbols[bounds[:-1]] > 0
+        others = np.flatnonzero(~letters)
+        held = []
+        for s, e in zip(bounds[others].tolist(), bounds[others + 1].tolist()):
+            symbols[s:e] = 0
+            word = data[s:e].rstrip(b" \t\n\x0b\x0c\r").decode()
+            if word not in self.words:
+                if len(self.words) >= self.remember:
+                    self.words = {}
+                self.words[word] = self.word(word)
+            held.append(self.words[word])
+        stops, begins = symbols > 0, np.zeros(len(symbols) + 1, bool)
+        begins[bounds] = True
+        stops[:-1] &= (symbols[1:] == 0) | begins[1:-1]
+        symbols[stops] += len(WORD_BYTES)
+        # words stand apart even where one follows another without a gap
         merged = self.merge.encode_to_numpy(symbols.tobytes().decode("latin-1"), disallowed_special=()) if letters.any() else np.zeros(0, np.uint32)
-        own = self.id_of[merged]
         # a token that ends a word holds a symbol of the upper half last
-        if not hasattr(self, "last"):
-            self.last = np.zeros(len(self.id_of), bool)
-            for token, rank in word_ranks(self.path)[0].items():
-                self.last[rank] = token[-1] > len(WORD_BYTES)
         ends = np.flatnonzero(self.last[merged]) + 1
-        first, count = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-        first[letters] = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-        count[letters] = np.diff(np.concatenate(([0], ends)))
-        held, at, raw = [own], len(own), data.tobytes()
-        places: dict[bytes, tuple[int, int]] = {}
-
-        def place_of(word: bytes) -> tuple[int, int]:
-            nonlocal at
-            if word not in places:
-                text = word.decode()
-                if text not in self.words:
-                    if len(self.words) >= self.remember:
-                        self.words = {}
-                    self.words[text] = self.word(text)
-                held.append(np.frombuffer(self.words[text], "<u4"))
-                places[word] = at, len(held[-1])
-                at += len(held[-1])
-            return places[word]
-
-        lone = ~letters & (kinds != OTHER) & (stops - starts == 1)
-        table = np.zeros((256, 2), np.int64)
-        for byte in np.unique(data[starts[lone]]).tolist():
-            table[byte] = place_of(bytes([byte]))
-        first[lone], count[lone] = table[data[starts[lone]]].T
-        for k in np.flatnonzero(~letters & (kinds != OTHER) & ~lone).tolist():
-            first[k], count[k] = place_of(raw[starts[k] : stops[k]])
-        ids = np.concatenate(held).astype("<u4")
-        total = np.cumsum(count)
-        n = int(total[-1]) if len(total) else 0
-        out = ids[np.repeat(first - (total - count), count) + np.arange(n)].tobytes()
-        lines = np.cumsum([0] + [len(t.lower().encode()) + 1 for t in texts])
-        cuts = np.concatenate(([0], total))[np.searchsorted(starts, lines)] * 4
-        odd = np.add.reduceat(kind == OTHER, lines[:-1]) > 0 if len(texts) else []
-        return [None if bad else out[s:e] for bad, s, e in zip(odd, cuts.tolist(), cuts[1:].tolist())]
+        starts, lengths = np.zeros(len(letters), np.int64), np.zeros(len(letters), np.int64)
+        starts[letters] = np.concatenate(([0], ends))[: len(ends)]
+        lengths[letters] = ends - starts[letters]
+        lengths[others] = [len(ids) // 4 for ids in held]
+        starts[others] = len(merged) + np.cumsum(lengths[others]) - lengths[others]
+        return np.concatenate((self.id_of[merged], np.frombuffer(b"".join(held), "<u4"))), starts, lengths
+
+    def _by_bytes(self, texts: list[str]) -> list[bytes | None]:
+        """Ids of texts of ASCII and Latin-1 letters; None for others."""
+        data, begins, lines, odd = self._units(texts)
+        if len(begins):
+            bounds = pa.py_buffer(np.concatenate((begins, [len(data)])))
+            units = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, bounds, pa.py_buffer(data)]).dictionary_encode()
+            _, bounds, data = units.dictionary.buffers()
+            bounds = np.frombuffer(bounds, np.int64, len(units.dictionary) + 1)
+            ids, starts, lengths = self._distinct(data.to_pybytes()[: bounds[-1]], bounds)
+            index = units.indices.to_numpy()
+            n = lengths[index]
+            total = np.concatenate(([0], np.cumsum(n)))
+            out = ids[np.repeat(starts[index] - total[:-1], n) + np.arange(total[-1])].astype("<u4", copy=False).tobytes()
+        else:
+            total, out = np.zeros(1, np.int64), b""
+        cuts = (4 * total[np.searchsorted(begins, lines)]).tolist()
+        found: list[bytes | None] = [out[s:e] for s, e in zip(cuts, cuts[1:])]
+        for k in odd:
+            found[k] = None
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -282,14 +301,15 @@ class Tokenizer:
         def look_up():
             nonlocal held, size
             parts = [part for _, part in held]
-            found = self._by_bytes(parts) if self.merge else [None] * len(parts)
+            found = self._by_bytes(parts) if self.merge and parts else [None] * len(parts)
+            found = [self.whole(part) if ids is None and self.ODD.search(part) else ids for part, ids in zip(parts, found)]
             rest = iter(self._together([part for part, ids in zip(parts, found) if ids is None]))
             for (k, _), ids in zip(held, found):
                 out[k].append(next(rest) if ids is None else ids)
             held, size = [], 0
 
         for k, text in enumerate(texts):
-            if not self.by_piece or self.ODD.search(text) or any(t in text for t in self.added):
+            if not self.by_piece or len(text) > PIECES_CHARS and self.ODD.search(text) or any(t in text for t in self.added):
                 out[k].append(self.whole(text))
                 continue
             at = 0

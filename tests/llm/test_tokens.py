@@ -77,6 +77,24 @@ def test_tokenizer_memo_is_the_library(monkeypatch):
             assert np.frombuffer(ids, "<u4").tolist() == right, text
 
 
+def test_tokenizer_merges_each_word_of_many_texts_once(monkeypatch):
+    own, merged = rans.Tokenizer(WORDS), []
+
+    class Counted:
+        def encode_to_numpy(self, text, **options):
+            merged.append(len(text))
+            return merge.encode_to_numpy(text, **options)
+
+    merge, own.merge = own.merge, Counted()
+    texts = ["Größe und Ähnliches, don't 'STOP' at 12 × 3.", "\u65e5\u672c only", "the quick brown fox's höhle; " * 500, "", "Été ÷ 'llama' THE\tquick\n\nbrown " * 500]
+    library = tokenizers.Tokenizer.from_file(WORDS)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in own.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    texts = [texts[2], *texts[2:4] * 3]  # of ASCII and Latin-1 letters
+    merged.clear()
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in own.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 0 < sum(merged) < 200 < sum(map(len, texts))
+
+
 @pytest.mark.parametrize("n", [0, 1, 700, 60_000])
 def test_coder(n):
     ids = np.minimum(np.random.default_rng(n).zipf(1.3, n), 60_000).astype(np.uint32)
