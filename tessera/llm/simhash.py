@@ -28,7 +28,7 @@ from tessera.llm.common import bound_batches, connected_components, lean, merge_
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (lowest bit, width)
 GENERATOR = 0b110001110101  # of the binary Golay code: x^11+x^10+x^6+x^5+x^4+x^2+1
-HOT = 1 / 1000  # share of all rows beyond which a fingerprint's rows stay where they are
+HOT = 1 / 1000  # share of all rows beyond which a fingerprint's or a component's rows stay where they are
 PAIRWISE = 65536  # rows of a bucket up to which all its pairs are counted; beyond, every mask of one or two bits is looked up
 
 
@@ -201,6 +201,15 @@ def link_fingerprints(fps: DataFrame, most: int = 2) -> DataFrame:
     return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_forest(most), "u long, v long")
 
 
+def hand_back(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """``rows`` with what ``values`` (a row for each key, of n rows) has for their key. Keys of
+    more than a share of all rows, of which there are at most 1 / HOT, go to all tasks:
+    their rows need not meet."""
+    hot = F.broadcast(values.where(F.col("n") > HOT * rows.count()).drop("n"))
+    rest = rows.join(hot, key, "left_anti").join(values.drop("n"), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame:
     """SimHash near-duplicates: (doc_id, fp long, component_id) for each row of ``docs``
     (doc_id, text; other columns are ignored). component_id is the smallest doc_id
@@ -213,14 +222,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame
     fps = stage(fingerprints(docs, width), "simhash")
     firsts = fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     comps = stage(connected_components(link_fingerprints(fps, most)), "simhash-components")
-    roots = firsts.join(comps.select(F.col("node").alias("fp"), F.col("component").alias("root")), "fp")
-    smallest = roots.groupBy("root").agg(F.min("first").alias("low"))
-    linked = roots.join(smallest, "root").select("fp", "low")
+    roots = stage(firsts.join(comps.select(F.col("node").alias("fp"), F.col("component").alias("root")), "fp").select("fp", "first", "root"), "simhash-roots")
+    smallest = stage(roots.groupBy("root").agg(F.min("first").alias("low"), F.count("*").alias("n")), "simhash-smallest")
+    linked = hand_back(roots.select("fp", "root"), smallest, "root").select("fp", "low")
     resolved = stage(firsts.join(linked, "fp", "left").select("fp", "n", F.coalesce("low", "first").alias("component_id")), "simhash-resolved")
-    # fingerprints of more than a share of all rows, of which there are at most 1 / HOT, go to all tasks: their rows need not meet
-    hot = F.broadcast(resolved.where(F.col("n") > HOT * fps.count()).select("fp", "component_id"))
-    rest = fps.join(hot, "fp", "left_anti").join(resolved.select("fp", "component_id"), "fp")
-    return fps.join(hot, "fp").unionByName(rest).select("doc_id", "fp", "component_id")
+    return hand_back(fps, resolved, "fp").select("doc_id", "fp", "component_id")
 
 
 def fingerprint_hex(column: str = "fp"):

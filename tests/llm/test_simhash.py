@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from tessera.llm import simhash
 from tessera.llm.simhash import golay_index, keys_of, link_bucket
@@ -38,6 +39,28 @@ def test_against_brute_force(spark, docs, none, monkeypatch):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_rows_of_one_component_need_not_meet(spark, monkeypatch):
+    """One fingerprint, f, and all that differ from it in a bit: what their component is goes to
+    tasks by fingerprint, and no task is dealt all of them by component."""
+    dealt, stage = [], simhash.stage
+
+    def seen(df, name):
+        if name == "simhash-resolved":
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            dealt.append([line for line in plan.splitlines() if "Join Inner, (root" in line])
+        return stage(df, name)
+
+    monkeypatch.setattr(simhash, "stage", seen)
+    near = [1 << b for b in range(63)] + [0]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, width: docs.select("doc_id", F.col("text").cast("long").alias("fp")))
+    monkeypatch.setattr(simhash, "HOT", 0.5)
+    far = 0b1111 << 40
+    docs = spark.createDataFrame([*enumerate(map(str, near)), (64, str(far)), (65, str(far | 1))], "doc_id long, text string").repartition(4)
+    got = {r[0]: r[2] for r in simhash.near_duplicates(docs).collect()}
+    assert got == {k: 0 for k in range(64)} | {64: 64, 65: 64}
+    assert any("rightHint=(strategy=broadcast)" in line for line in dealt[0])
+
+
 def test_spark_hash_agrees(spark):
     assert spark.sql("select xxhash64('the cat sat')").first()[0] % 2**64 == xxhash.xxh64_intdigest(b"the cat sat", 42)
 
