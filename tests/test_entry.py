@@ -69,3 +69,15 @@ def test_all_cells_are_there(spark):
         assert len(got) == len(want) == n * (1 + name.startswith("combine")), name
         for a, b in zip(got, want):
             assert all(x == y or (isinstance(x, float) and math.isclose(x, y, abs_tol=2e-6)) for x, y in zip(a, b)), (name, a, b)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
+@pytest.mark.parametrize("name", ["export_csc", "export_csr"])
+def test_a_compressed_row_of_several_parts_is_one_row_of_the_query(spark, name, monkeypatch):
+    duckdb = pytest.importorskip("duckdb")
+    monkeypatch.setattr("tessera.operators.export.PART", 3)
+    c = duckdb.connect()
+    c.execute(f"create view lineitem as select * from '{FOLDER}/lineitem.parquet'")
+    got, want = rows(entry.queries()[name](spark, FOLDER).toPandas()), rows(c.execute(entry.oracle_sql()[name]).fetchdf())
+    assert len(got) == len(want)
+    assert all(a[:2] == b[:2] and math.isclose(a[2], b[2], abs_tol=2e-6) for a, b in zip(got, want))
