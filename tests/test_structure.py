@@ -204,3 +204,20 @@ def test_slices_reach_the_scan(spark, tmp_path):
     same((x * 2)[2:4].to_numpy(), X[2:4] * 2)
     plan = (x * 2)[2:4].to_df()._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(d0,2)" in plan and "LessThanOrEqual(d0,3)" in plan
+
+
+def test_absent_cells_are_written_out_behind_the_shuffle(spark, monkeypatch):
+    masked = sparse((7, 5, 3), 8, 0.4)
+    for run in (1, 4, 1 << 18):
+        monkeypatch.setattr("tessera.plans.compile.RUN", run)
+        for local, lazy in ((S, lazy_sparse(spark, S)), (masked, lazy_sparse(spark, masked))):
+            got = (lazy + 2.5).to_df(dense=True).toPandas()
+            want = np.ma.masked_array(local + 2.5)
+            assert len(got) == local.size == len(got.drop_duplicates(["d0", "d1", "d2"]))
+            at = want[got["d0"], got["d1"], got["d2"]]
+            assert (np.ma.getmaskarray(at) == got["v"].isna().to_numpy()).all()
+            np.testing.assert_allclose(got["v"].to_numpy()[~np.ma.getmaskarray(at)], at.compressed())
+    outside = tessera.from_table(spark.createDataFrame([(0, 1, 5.0), (2, 0, 6.0), (0, -1, 7.0), (None, 0, 8.0)], "i long, j long, v double"), ["i", "j"], "v", (2, 2))
+    assert sorted(map(tuple, outside.to_df(dense=True).collect())) == [(0, 0, 0.0), (0, 1, 5.0), (1, 0, 0.0), (1, 1, 0.0)]
+    plan = lazy_sparse(spark, S).to_df(dense=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" in plan and plan.index("Generate") < plan.index("Exchange")
