@@ -221,3 +221,25 @@ def test_absent_cells_are_written_out_behind_the_shuffle(spark, monkeypatch):
     assert sorted(map(tuple, outside.to_df(dense=True).collect())) == [(0, 0, 0.0), (0, 1, 5.0), (1, 0, 0.0), (1, 1, 0.0)]
     plan = lazy_sparse(spark, S).to_df(dense=True)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Generate" in plan and plan.index("Generate") < plan.index("Exchange")
+
+
+def test_validate_takes_more_tasks_for_larger_tables(spark, monkeypatch):
+    from tessera import sources
+
+    cells = spark.range(4000).selectExpr("id % 100 as i", "id div 100 as j", "1.0d as v")
+    whole = cells.unionByName(spark.createDataFrame([(5, 5, 2.0), (5, 5, 2.0), (100, 0, 2.0), (None, 0, 2.0)], "i long, j long, v double"))
+    table = tessera.from_table(whole, ["i", "j"], "v", (100, 40))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    tracker, asked = spark.sparkContext.statusTracker(), []
+    for share in (1 << 40, 1 << 10):
+        monkeypatch.setattr(sources, "SHARE", share)
+        group = f"validate {share}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            assert tessera.validate(table) == {"outside": 2, "repeated": 1}
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        stages = [s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+        asked.append(max(tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s)))
+    assert asked[1] > 30 > asked[0]  # 32 KB of numbers and more
+    assert {k: spark.conf.get(k) for k in before} == before
